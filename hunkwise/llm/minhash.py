@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hunkwise.llm.keyed import only
 from hunkwise.llm.shelf import Shelf
 from hunkwise.llm.textbits import U, Words, mix, runs
 
@@ -39,8 +40,6 @@ MISS = 1e-6
 #: Buckets of up to so many classes compare across components as pairs, larger ones in blocks.
 SMALL = 32
 BLOCK = 512
-#: Bits of the map of documents whose sets are needed; its size never changes (1 MB).
-MAP_BITS = 23
 
 
 @lru_cache(maxsize=2)
@@ -230,9 +229,8 @@ def near_duplicates(
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        needed = _in_map(ends)
-        sets = docs.where(needed).mapInArrow(_sets(shingle), "node long, shingles binary")
-        sets = shelf.put(sets.join(ends, "node", "left_semi").distinct())
+        wanted = only(docs, ends.withColumnRenamed("node", "doc_id"), "doc_id")
+        sets = shelf.put(wanted.mapInArrow(_sets(shingle), "node long, shingles binary").distinct())
         side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}"))
         out = shelf.put(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(per_100), "a long, b long"))
         shelf.drop(sets)
@@ -285,28 +283,6 @@ def _best(ends: DataFrame, most: int) -> DataFrame:
     return ends.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most)
 
 
-def _in_map(ends: DataFrame) -> Column:
-    """Whether doc_id may be among ``ends``: a test on a bit map of fixed size."""
-    spot = F.shiftrightunsigned(F.xxhash64("node"), 64 - MAP_BITS)
-    word = ends.select(F.shiftright(spot, 6).alias("w"), spot.bitwiseAND(63).alias("bit")).distinct()
-    word = word.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("v"))
-    bits = np.zeros(1 << (MAP_BITS - 6), np.int64)
-    for row in word.toLocalIterator():
-        bits[row.w] = row.v
-    return _bit_test(ends.sparkSession, bits)
-
-
-def _bit_test(spark, bits: np.ndarray) -> Column:
-    held = spark.sparkContext.broadcast(bits)
-
-    @F.pandas_udf("boolean")
-    def test(h: pd.Series) -> pd.Series:
-        at = h.to_numpy(np.int64).view(np.uint64) >> U(64 - MAP_BITS)
-        return pd.Series((held.value[(at >> U(6)).astype(np.int64)].view(np.uint64) >> (at & U(63))) & U(1) == 1)
-
-    return test(F.xxhash64("doc_id"))
-
-
 def _blocks(large: DataFrame, nodes: DataFrame, width: int, similarity: float, miss: float) -> DataFrame:
     """Surviving pairs across components in large buckets.
 
@@ -334,4 +310,5 @@ def _blocks(large: DataFrame, nodes: DataFrame, width: int, similarity: float, m
                 out.append(pd.DataFrame({"a": np.minimum(node, ends), "b": np.maximum(node, ends), "est": share}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "est": []})
 
-    return left.select(keep).groupBy("bucket", "i", "j").cogroup(right.select(keep).groupBy("bucket", "i", "j")).applyInPandas(run, "a long, b long, est double")
+    left, right = left.select(keep).toDF(*keep), right.select(keep).toDF(*keep)  # apart, although of one origin
+    return left.groupBy("bucket", "i", "j").cogroup(right.groupBy("bucket", "i", "j")).applyInPandas(run, "a long, b long, est double")

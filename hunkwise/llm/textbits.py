@@ -52,7 +52,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def runs(column: pa.Array, most_bytes: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def runs(column: pa.Array, most_bytes: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of documents: (first, past the last, their bytes, offsets from 0). Null reads as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
