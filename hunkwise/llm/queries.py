@@ -7,7 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hunkwise.llm.maxscore import quantised, top_k
 from hunkwise.llm.minhash import near_duplicates
+from hunkwise.llm.packing import pack
+from hunkwise.llm.quality import quality_scores
+from hunkwise.llm.toxicity import toxicity_scores
+from hunkwise.llm.winnowing import contamination
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,12 +21,85 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), quantised(F.col("embedding")).alias("vector"))
+    return top_k(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, per_100=80)
 
 
 QUERIES: dict[str, Query] = {
+    "op1_maxscore": op1_maxscore,
+    "op2_packing": op2_packing,
+    "op4_toxicity": op4_toxicity,
+    "op8_winnowing": op8_winnowing,
+    "op9_quality": op9_quality,
     "op10_minhash": op10_minhash,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: A-Z alone are lower-cased, as in the operator.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_maxscore": """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+  where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+), r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5
+""",
+    "op8_winnowing": f"""
+with d as (select row_number() over () as row, doc_id, {_WORDS} as w from documents),
+b as (select item_id, {_WORDS} as w from benchmark where item_id is not null),
+bw as (
+  select distinct item_id, least(10, len(w)) as n, array_to_string(list_slice(w, i, i + least(10, len(w)) - 1), ' ') as win
+  from b, unnest(range(1, len(w) - least(10, len(w)) + 2)) t(i) where len(w) > 0
+), sizes as (select distinct n from bw),
+dw as (
+  select row, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') as win
+  from d, sizes, unnest(range(1, len(w) - n + 2)) t(i) where len(w) >= n
+), hit as (select row, i, dw.n, item_id from dw join bw using (win)),
+per as (
+  select row, count(distinct p) as n_hit from (select row, unnest(range(i, i + n)) as p from hit) group by row
+), items as (select row, count(distinct item_id) as n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as ids from hit group by row)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join per using (row) left join items using (row)
+""",
+}
