@@ -8,21 +8,23 @@ With very many keys the map fills up and the join has all the work; the result i
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bits in a map, as a power of two: 2 MB.
 MAP_BITS = 24
 
 
-def bit_map(keys: DataFrame, key: str, bits: int = MAP_BITS) -> np.ndarray:
-    """The map of a column of 64-bit hashes, as 64-bit words. At most 2**(bits - 6) rows reach the driver."""
+def _words(keys: DataFrame, key: str, bits: int) -> DataFrame:
     spot = F.shiftrightunsigned(F.col(key), 64 - bits)
     word = keys.where(F.col(key).isNotNull()).select(F.shiftright(spot, 6).alias("w"), spot.bitwiseAND(63).alias("bit"))
-    word = word.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("v"))
+    return word.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("v"))
+
+
+def bit_map(keys: DataFrame, key: str, bits: int = MAP_BITS) -> np.ndarray:
+    """The map of a column of 64-bit hashes, as 64-bit words. At most 2**(bits - 6) rows reach the driver."""
     out = np.zeros(1 << (bits - 6), np.int64)
-    for row in word.collect():
+    for row in _words(keys, key, bits).collect():
         out[row.w] = row.v
     return out
 
@@ -34,28 +36,24 @@ def held(words: np.ndarray, hashes: np.ndarray, bits: int = MAP_BITS) -> np.ndar
     return (of >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def maybe_in(spark, words: np.ndarray, hashed: Column, bits: int = MAP_BITS) -> Column:
-    """The test as a column, for a column of 64-bit hashes."""
-    shared = spark.sparkContext.broadcast(words)
-
-    @F.pandas_udf("boolean")
-    def test(h: pd.Series) -> pd.Series:
-        return pd.Series(held(shared.value, h.to_numpy(np.int64), bits))
-
-    return test(hashed)
+def _near(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """df with _near: false where the key is surely not among ``keys``. The joined map has at most
+    2**(MAP_BITS - 6) rows of 16 bytes whatever the number of keys."""
+    words = _words(keys.where(F.col(key).isNotNull()).select(F.xxhash64(key).alias("h")), "h", MAP_BITS).toDF("_w", "_v")
+    spot = F.shiftrightunsigned(F.xxhash64(key), 64 - MAP_BITS)
+    marked = df.withColumn("_spot", spot).join(F.broadcast(words), F.shiftright("_spot", 6) == F.col("_w"), "left")
+    bit = F.expr("shiftright(_v, cast(_spot & 63 as int)) & 1") == 1
+    return marked.withColumn("_near", F.col(key).isNotNull() & F.coalesce(bit, F.lit(False))).drop("_spot", "_w", "_v")
 
 
 def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows of df whose key is not among keys[key]; null keys stay."""
-    words = bit_map(keys.select(F.xxhash64(key).alias("h")), "h")
-    test = maybe_in(df.sparkSession, words, F.xxhash64(key))
-    near = df.withColumn("_near", F.col(key).isNotNull() & test)
+    near = _near(df, keys, key)
     out = near.where(~F.col("_near")).drop("_near")
     return out.unionByName(near.where("_near").drop("_near").join(keys.select(key).distinct(), key, "left_anti").select(*df.columns))
 
 
 def only(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows of df whose key is among keys[key]."""
-    words = bit_map(keys.select(F.xxhash64(key).alias("h")), "h")
-    test = maybe_in(df.sparkSession, words, F.xxhash64(key))
-    return df.where(F.col(key).isNotNull() & test).join(keys.select(key).distinct(), key, "left_semi").select(*df.columns)
+    near = _near(df, keys, key).where("_near").drop("_near")
+    return near.join(keys.select(key).distinct(), key, "left_semi").select(*df.columns)

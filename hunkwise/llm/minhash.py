@@ -6,9 +6,10 @@ candidate going as soon as the posterior probability of reaching the wanted simi
 ``miss``; survivors are confirmed on the full sets. Linked classes form components.
 
 No step emits all pairs of a group. First each class meets one leader per bucket. Then only
-buckets that still hold several components go on: small ones compare across components, large
-ones compare in blocks inside tasks, and only surviving pairs leave them. Confirmations are done
-best estimate first, and pairs whose ends a confirmed link has joined meanwhile need none.
+buckets that still hold several components go on: small ones compare across components; what
+large ones hold is compared block against block inside tasks, on the full sets, and only links
+that join components leave a block. Confirmations are done best estimate first, and pairs whose
+ends a confirmed link has joined meanwhile need none.
 
 Edge cases: null or wordless text is empty and linked with nothing. Rows that share a doc_id are
 one document. A row with a null doc_id cannot name a document: it is linked with nothing and kept.
@@ -39,7 +40,7 @@ BATCH = 36
 MISS = 1e-6
 #: Buckets of up to so many classes compare across components as pairs, larger ones in blocks.
 SMALL = 32
-BLOCK = 512
+BLOCK = 256
 
 
 @lru_cache(maxsize=2)
@@ -227,10 +228,12 @@ def near_duplicates(
         with_sigs = pairs.join(signed_nodes("a"), "a").join(signed_nodes("b"), "b")
         return with_sigs.mapInArrow(_prune(width, similarity, miss), pair_columns)
 
+    def sets_of(ends: DataFrame) -> DataFrame:
+        wanted = only(docs, ends.select(F.col("node").alias("doc_id")), "doc_id")
+        return shelf.put(wanted.mapInArrow(_sets(shingle), "node long, shingles binary").distinct())
+
     def confirmed(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        wanted = only(docs, ends.withColumnRenamed("node", "doc_id"), "doc_id")
-        sets = shelf.put(wanted.mapInArrow(_sets(shingle), "node long, shingles binary").distinct())
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         side = lambda c: sets.select(F.col("node").alias(c), F.col("shingles").alias(f"set_{c}"))
         out = shelf.put(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "set_a", "set_b").mapInArrow(_confirm(per_100), "a long, b long"))
         shelf.drop(sets)
@@ -239,14 +242,12 @@ def near_duplicates(
     def settle(pool: DataFrame) -> None:
         """Confirm the pool's pairs, best first, as long as they join different components."""
         done = None
-        for most in (2, 16, None):
+        for most in (2, 32, None):
             cross = links.crossing(pool)
             if done is not None:
                 cross = cross.join(done, ["a", "b"], "left_anti")
             if most:
-                # the best of each node towards each other component, from either end
-                ends = cross.withColumn("end", F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("cb").alias("c")), F.struct(F.col("b").alias("x"), F.col("ca").alias("c")))))
-                cross = _best(ends, most)
+                cross = _best(cross, most)
             todo = shelf.put(cross.select("a", "b").distinct())
             if todo.isEmpty():
                 return
@@ -256,18 +257,24 @@ def near_duplicates(
     pool = shelf.put(pruned(members.where("node != leader").select(*_pairs("node", "leader")).distinct()))
     settle(pool)
     # buckets of three or more that still hold several components
-    rest = links.comp(members.where("n > 2").select("bucket", "node", "n"), "node", "comp")
-    mixed = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket", "lo")
-    rest = shelf.put(rest.join(mixed, "bucket"))
-    small = rest.where(F.col("n") <= SMALL)
+    many = members.where("n > 2").select("bucket", "node", "n")
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        rows = links.comp(rows, "node", "comp")
+        lo = rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("bucket", "lo")
+        return shelf.put(rows.join(lo, "bucket"))
+
+    small = mixed(many.where(F.col("n") <= SMALL))
     x, y = (small.select("bucket", F.col("node").alias(c), F.col("comp").alias(f"c{c}")) for c in ("a", "b"))
     pairs = x.join(y, "bucket").where("a < b and ca != cb").select("a", "b").distinct()
-    pairs = pairs.join(pool.select("a", "b"), ["a", "b"], "left_anti")
-    second = pruned(pairs)
-    large = rest.where(F.col("n") > SMALL)
+    settle(shelf.put(pruned(pairs.join(pool.select("a", "b"), ["a", "b"], "left_anti"))))
+    large = mixed(many.where(F.col("n") > SMALL)).select("bucket", "node").distinct()
     if not large.isEmpty():
-        second = second.union(_blocks(large, nodes, width, similarity, miss))
-    settle(shelf.put(second.groupBy("a", "b").agg(F.max("est").alias("est"))))
+        # neighbourhoods: what large buckets hold together
+        around = _Links(shelf)
+        around.add(large.join(large.groupBy("bucket").agg(F.min("node").alias("b")), "bucket").select(F.col("node").alias("a"), "b"))
+        near = links.comp(around.of.toDF("node", "area"), "node", "comp")
+        links.add(shelf.put(_blocks(shelf.put(near), sets_of(near.select("node")), per_100)))
 
     out = signed.join(classes, "digest", "left")
     if links.of is not None:
@@ -278,37 +285,56 @@ def near_duplicates(
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _best(ends: DataFrame, most: int) -> DataFrame:
-    by = Window.partitionBy("end.x", "end.c").orderBy(F.col("est").desc(), "a", "b")
+def _best(cross: DataFrame, most: int) -> DataFrame:
+    """The best pairs of each component towards any other."""
+    ends = cross.withColumn("end", F.explode(F.array("ca", "cb")))
+    by = Window.partitionBy("end").orderBy(F.col("est").desc(), "a", "b")
     return ends.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most)
 
 
-def _blocks(large: DataFrame, nodes: DataFrame, width: int, similarity: float, miss: float) -> DataFrame:
-    """Surviving pairs across components in large buckets.
+def _blocks(near: DataFrame, sets: DataFrame, per_100: int) -> DataFrame:
+    """Confirmed links that join the components of each area (node, area, comp).
 
-    Members outside the bucket's smallest component meet all members, block against block, inside
-    tasks of bounded size; what leaves a block is each node's best pairs towards every component.
+    Nodes outside the area's largest component meet all its nodes, block against block, in tasks
+    of bounded size that compare the full sets. A block gives a spanning forest of its links: at
+    most one row for each component in it, and no link is lost to the components.
     """
-    sized = large.withColumn("odd", F.col("comp") != F.col("lo"))
-    n_odd = sized.where("odd").groupBy("bucket").agg(F.count("*").alias("n_odd"))
-    sized = sized.join(n_odd, "bucket").join(nodes, "node")
+    main = near.groupBy("area", "comp").agg(F.count("*").alias("m")).groupBy("area").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("n"))
+    sized = near.join(main.select("area", F.col("top.comp").alias("main"), "n", (F.col("n") - F.col("top.m")).alias("n_odd")), "area").join(sets, "node")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), blocks("n_odd"))).cast("int")
     other = F.pmod(F.xxhash64("node", F.lit(1)), blocks("n")).cast("int")
-    left = sized.where("odd").withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), blocks("n") - 1)))
-    right = sized.withColumn("j", other).withColumn("i", F.explode(F.sequence(F.lit(0), blocks("n_odd") - 1)))
-    keep = ["bucket", "i", "j", "node", "comp", "sig"]
+    left = sized.where("comp != main").withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), blocks("n") - 1)))
+    right = sized.where("n_odd > 0").withColumn("j", other).withColumn("i", F.explode(F.sequence(F.lit(0), blocks("n_odd") - 1)))
+    keep = ["area", "i", "j", "node", "comp", "shingles"]
 
     def run(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out, up = [], {}
+
+        def top(c: int) -> int:
+            while up.get(c, c) != c:
+                c = up[c]
+            return c
+
         if len(p) and len(q):
-            y, yc, yn = _unpack(q["sig"], width), q["comp"].to_numpy(), q["node"].to_numpy()
-            for node, comp, sig in zip(p["node"], p["comp"], p["sig"], strict=True):
-                at = np.flatnonzero(yc != comp)
-                alive, share = survives(np.broadcast_to(np.frombuffer(sig, np.uint16), (len(at), width)), y[at], similarity, miss)
-                ends = yn[at[alive]]
-                out.append(pd.DataFrame({"a": np.minimum(node, ends), "b": np.maximum(node, ends), "est": share}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "est": []})
+            sets_q = [np.frombuffer(s, np.uint64) for s in q["shingles"]]
+            sizes, yc, yn = np.array([len(s) for s in sets_q]), q["comp"].to_numpy(), q["node"].to_numpy()
+            flat = np.concatenate(sets_q)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], np.repeat(np.arange(len(sets_q)), sizes)[order]
+            for node, comp, data in zip(p["node"], p["comp"], p["shingles"], strict=True):
+                mine = np.frombuffer(data, np.uint64)
+                lo, hi = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
+                n = hi - lo
+                at = np.arange(n.sum()) + np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+                both = np.bincount(owner[at], minlength=len(sets_q))
+                linked = np.flatnonzero((100 * both >= per_100 * (len(mine) + sizes - both)) & (yc != comp))
+                for c, i in zip(*np.unique(yc[linked], return_index=True), strict=True):
+                    x, y = top(int(comp)), top(int(c))
+                    if x != y:
+                        up[max(x, y)] = min(x, y)
+                        out.append((int(node), int(yn[linked[i]])))
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     left, right = left.select(keep).toDF(*keep), right.select(keep).toDF(*keep)  # apart, although of one origin
-    return left.groupBy("bucket", "i", "j").cogroup(right.groupBy("bucket", "i", "j")).applyInPandas(run, "a long, b long, est double")
+    return left.groupBy("area", "i", "j").cogroup(right.groupBy("area", "i", "j")).applyInPandas(run, "a long, b long")

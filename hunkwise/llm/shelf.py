@@ -23,6 +23,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand Python 8 MB of rows at a time, so that long texts do not fill a worker. Results are the same."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     if jvm is None:
@@ -36,6 +41,7 @@ class Shelf:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        small_batches(spark)
         self.folder = f"{shared_folder(spark)}/hunkwise/{uuid.uuid4().hex}"
         self.n = 0
         atexit.register(self._leave)
