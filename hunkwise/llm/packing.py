@@ -99,6 +99,8 @@ class Packer:
         """(rows, pieces left over); with ``last`` nothing is left over."""
         rows: list[tuple[int, int, int, int, int]] = []
         n = len(pieces)
+        if not n:
+            return rows, []
         room_for = n + 16
         own = np.zeros((room_for, 3), np.int64)
         own[:n] = pieces

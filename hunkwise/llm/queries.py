@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hunkwise.llm import licenses, secrets
 from hunkwise.llm.maxscore import quantised, top_k
 from hunkwise.llm.minhash import near_duplicates
 from hunkwise.llm.packing import pack
 from hunkwise.llm.quality import quality_scores
+from hunkwise.llm.sharding import shards
 from hunkwise.llm.toxicity import toxicity_scores
+from hunkwise.llm.urls import judge
 from hunkwise.llm.winnowing import contamination
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,10 +39,31 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"), path="source")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: Host and path rules of the URL filter.
+URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shards(table(spark, sf_dir, "documents"), 16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -63,7 +87,11 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_maxscore": op1_maxscore,
     "op2_packing": op2_packing,
+    "op3_secrets": op3_secrets,
     "op4_toxicity": op4_toxicity,
+    "op5_urls": op5_urls,
+    "op6_licenses": op6_licenses,
+    "op7_sharding": op7_sharding,
     "op8_winnowing": op8_winnowing,
     "op9_quality": op9_quality,
     "op10_minhash": op10_minhash,
