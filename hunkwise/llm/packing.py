@@ -18,51 +18,93 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import os
+import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-#: Distinct white-space-separated strings whose ids a worker remembers.
-REMEMBERED = 150_000
+#: Distinct words of a generation whose ids a worker remembers.
+REMEMBERED = 200_000
 #: Sequences' worth of tokens that a pool gathers before it is packed.
 POOL = 128
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 
 
+#: Letters that NFC leaves alone and whose lower case is one letter.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
+_SPACE = r" \t\n\r\x0b\x0c"
+_PLAIN = rf"\x00-\x08\x0e-\x1f!-\x7f{_LETTERS}"
+#: Whole strings between white space that hold anything but plain characters; else the tokenizer's own words.
+_PIECES = re.compile(rf"[{_PLAIN}]*+[^{_PLAIN}{_SPACE}][^{_SPACE}]*|'(?:[sStTmMdD]|[rR][eE]|[vV][eE]|[lL][lL])|[{_LETTERS}]+|[0-9]|[^{_SPACE}0-9{_LETTERS}]+")
+_STRINGS = re.compile(rf"[^{_SPACE}]+")
+_ODD = re.compile(rf"[^{_PLAIN}{_SPACE}]")
+
+
 class Tokens:
     """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
 
-    ASCII white space never lies inside a token of this kind of tokenizer, so each string between
-    white space is encoded once and remembered.
+    For tokenizers that split lower-cased NFC text into runs of letters, digits and other signs, and
+    code each run alone. Every run is coded once and remembered, in two generations so that memory
+    is bounded. Strings with characters beyond plain letters, and texts with added tokens, are coded
+    whole by the tokenizer, as are all others that it has not met.
     """
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
         self.tokenizer = Tokenizer.from_file(file)
-        self.known: dict[bytes, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = [a.lower() for a in self.added]
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, pieces: set[str]) -> None:
+        known, old = self.known, self.old
+        forms: dict[str, list[str]] = {}
+        for p in pieces:
+            code = old.get(p)
+            if code is not None:
+                known[p] = code
+            else:
+                low = p.lower()
+                forms.setdefault(p if _ODD.search(p) or any(a in low for a in self.marks) else low, []).append(p)
+        new = list(forms)
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            for form, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                ids = coded.ids
+                code = struct.pack(f"<{len(ids)}I", *ids)
+                for p in forms[form]:
+                    known[p] = code
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        known, out = self.known, []
-        for lo in range(0, len(texts), 512):
-            split = [(t or "").encode().split() for t in texts[lo : lo + 512]]
-            new = list({w for words in split for w in words if w not in known})
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list({w for words in split for w in words})
-            for at in range(0, len(new), 4096):
-                part = new[at : at + 4096]
-                coded = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-                known.update(zip(part, (np.array(c.ids, "<u4").tobytes() for c in coded), strict=True))
-            out += [b"".join([known[w] for w in words]) for words in split]
+        out = []
+        for lo in range(0, len(texts), 64):
+            split = [(_STRINGS if any(a in t for a in self.added) else _PIECES).findall(t) for t in (x or "" for x in texts[lo : lo + 64])]
+            known = self.known
+            if len(known) > REMEMBERED:
+                self.old, self.known = known, {}
+                known = self.known
+            self._learn({p for pieces in split for p in pieces if p not in known})
+            out += [b"".join(map(known.__getitem__, pieces)) for pieces in split]
         return out
 
 
+@lru_cache(maxsize=1)
+def shared_tokens(file: str) -> Tokens:
+    """One for all tasks of a worker."""
+    return Tokens(file)
+
+
 def powers_of_two(n: int) -> list[int]:
     """n as falling powers of two."""
     return [1 << i for i in range(n.bit_length() - 1, -1, -1) if n >> i & 1]
@@ -145,7 +187,7 @@ def pack(
     segments: int = 512,
     loss: int = 4096,
     end_id: int = 2,
-    tokens: Callable[[str], Callable[[list[str | None]], list[bytes]]] = Tokens,
+    tokens: Callable[[str], Callable[[list[str | None]], list[bytes]]] = shared_tokens,
 ) -> DataFrame:
     """One row for each piece of every document of docs (doc_id, text), with its place."""
 
