@@ -190,8 +190,8 @@ def stem(path: Column | str) -> Column:
 def test_evidence(files: DataFrame) -> DataFrame:
     """diff_id, stems: of every part of the paths of a diff's test files; diffs without any are absent."""
     parts = F.transform(F.split(_low("path"), "/"), _without_extension)
-    for affix in (r"^test[_-]", r"[_-]test$", r"\.(?:test|spec)$"):
-        parts = F.transform(parts, lambda p, a=affix: F.regexp_replace(p, a, ""))
+    without = lambda p, affix: F.regexp_replace(p, affix, "")
+    parts = F.transform(parts, lambda p: without(without(without(p, r"^test[_-]"), r"[_-]test$"), r"\.(?:test|spec)$"))
     stems = F.filter(parts, lambda p: (p != "") & ~p.isin(*GENERIC_STEMS))
     return files.where(is_test("path")).groupBy("diff_id").agg(F.array_distinct(F.flatten(F.collect_set(stems))).alias("stems"))
 

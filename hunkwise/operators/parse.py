@@ -24,7 +24,8 @@ def records(diffs: DataFrame) -> DataFrame:
     """diff_id, file_seq (from 1), record: one row for each file of every diff (diff_id, text)."""
     text = F.regexp_replace("text", _LINE_END, "\n")
     text = F.when(F.endswith(text, F.lit("\n")), text).otherwise(F.concat(text, F.lit("\n")))
-    diffs = diffs.where(F.length("text") > 0).select("diff_id", text.alias("text"))
+    # a generator between keeps the text from being computed again for each use below
+    diffs = diffs.where(F.length("text") > 0).select("diff_id", F.explode(F.array(text)).alias("text"))
 
     def starting(with_: str) -> Column:
         return F.filter(F.split("text", f"(?dm)^(?={with_})"), lambda r: F.startswith(r, F.lit(with_)))
@@ -134,5 +135,7 @@ def diff_counts(hunks: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def file_rollup(hunks: DataFrame) -> DataFrame:
-    """Lines added and removed, for each file and (file_seq null) each diff."""
-    return hunks.rollup("diff_id", "file_seq").agg(F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.count("*").alias("hunks")).where("diff_id is not null")
+    """Lines added and removed, for each file and (file_seq 0) each diff."""
+    per_file = hunks.groupBy("diff_id", "file_seq").agg(F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.count("*").alias("hunks"))
+    levels = per_file.withColumn("file_seq", F.explode(F.array("file_seq", F.lit(0))))
+    return levels.groupBy("diff_id", "file_seq").agg(*[F.sum(c).alias(c) for c in ("added", "removed", "hunks")])

@@ -102,7 +102,8 @@ def control() -> Column:
     plus, minus = bare(F.col("_plus")), bare(F.col("_minus"))
     both = F.concat(plus, minus)
     text = F.array_join(both, "\n")
-    holds = lambda lines: F.array_compact(F.array(*[F.when(F.exists(lines, lambda x, o=o: F.contains(x, F.lit(o))), F.lit(o)) for o in OPERATORS]))
+    has = lambda lines, o: F.exists(lines, lambda x: F.contains(x, F.lit(o)))
+    holds = lambda lines: F.array_compact(F.array(*[F.when(has(lines, o), F.lit(o)) for o in OPERATORS]))
     ops_plus, ops_minus = holds(plus), holds(minus)
     shown = lambda ops: F.when(F.size(ops) == 0, "·").otherwise(F.array_join(F.array_sort(ops), "/"))
     lost, gained = F.array_except(ops_minus, ops_plus), F.array_except(ops_plus, ops_minus)

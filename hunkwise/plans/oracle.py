@@ -250,7 +250,7 @@ SQL: dict[str, str] = {
     "parse_hunks": _sql(f"select {KEY}, file_path, change_type, new_start as old_start, old_lines, new_start, new_lines, heading, added, removed, changed, md5(body) as body_md5 from h", BASE),
     "hunk_ids": _sql(f"select {KEY}, id from h", BASE),
     "diff_counts": _sql("select diff_id, count(distinct file_seq) as files, count(*) as hunks, sum(added)::bigint as added, sum(removed)::bigint as removed from h group by diff_id", BASE),
-    "file_rollup": _sql("select diff_id, file_seq, sum(added)::bigint as added, sum(removed)::bigint as removed, count(*) as hunks from h group by grouping sets ((diff_id, file_seq), (diff_id))", BASE),
+    "file_rollup": _sql("select diff_id, coalesce(file_seq, 0)::int as file_seq, sum(added)::bigint as added, sum(removed)::bigint as removed, count(*) as hunks from h group by grouping sets ((diff_id, file_seq), (diff_id))", BASE),
     "rule_size": _long(_size()),
     "rule_surface": _long(_surface()),
     "rule_surface_extra": _long(_surface(corpus.EXTRA_SURFACE)),

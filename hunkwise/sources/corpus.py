@@ -86,7 +86,8 @@ def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _joined(F.when(k % 2 == 0, file).otherwise(""), head, F.array_join(lines, "\n"), "\n")
 
     chunks = F.sequence(F.lit(0), F.ceil(F.size("ls") / F.col("per")).cast("int") - 1)
-    return docs.select(F.col("doc_id").alias("diff_id"), F.array_join(F.transform(chunks, hunk), "").alias("text"))
+    # a generator, so that the text is computed once whatever reads it
+    return docs.select(F.col("doc_id").alias("diff_id"), F.explode(F.array(F.array_join(F.transform(chunks, hunk), ""))).alias("text"))
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
