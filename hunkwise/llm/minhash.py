@@ -281,7 +281,7 @@ def near_duplicates(
         out = out.join(links.of, "node", "left")
     else:
         out = out.withColumn("comp", F.lit(None).cast("long"))
-    component = F.coalesce("comp", "node", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("comp", "node", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
