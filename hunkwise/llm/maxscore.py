@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD, BLOCK = 4096, 512
+SHARD, BLOCK = 8192, 256
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
@@ -97,12 +97,12 @@ class Shard:
                 done += len(step)
                 for _, d, s in step:
                     x = self.columns[d, stay]
-                    total = total + query[d] * np.where(x * s > 0, x, 0)
+                    total = total + query[d] * (np.maximum(x, 0) if s > 0 else np.minimum(x, 0))
                 alive = total + rest[done] >= least
                 stay, total = stay[alive], total[alive]
             for d, s in lowering:
                 x = self.columns[d, stay]
-                total = total + query[d] * np.where(x * s > 0, x, 0)
+                total = total + query[d] * (np.maximum(x, 0) if s > 0 else np.minimum(x, 0))
         order = np.lexsort((self.ids[stay], -total))[:k]
         return [(int(total[i]), int(self.ids[stay[i]])) for i in order]
 
