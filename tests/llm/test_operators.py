@@ -138,3 +138,37 @@ def test_secrets_and_licences(spark):
     assert {r.doc_id for r in secrets.scan(frame).where("is_secret").collect()} == {1}
     assert [r.t for r in frame.select(secrets.redacted(frame).alias("t"), "doc_id").orderBy("doc_id").collect()][1:3] == ["plain words only", None]
     assert {(r.doc_id, r.family) for r in licenses.scan(frame).collect()} == {(4, "mit")}
+
+
+def test_url_scores_by_brute_force(spark):
+    from hunkwise.llm.urls import ESCAPE, ORDER, judge
+
+    rng = np.random.default_rng(3)
+    urls = [f"http://{t}/" + "".join(map(chr, rng.integers(33, 126, 40))) for t in ("com/fr", "com/de", "net") for _ in range(150)] + [None, "", "é"]
+    counts = [{}, {}]
+
+    def walk(url):
+        data = url.encode()
+        for i, b in enumerate(data):
+            yield b, [(k, i if i < k else k, data[max(0, i - k) : i]) for k in range(ORDER + 1)]
+
+    for url in urls[:300]:
+        for b, contexts in walk(url):
+            for c in contexts:
+                for key in (c, (c, b)):
+                    n = counts["com/fr" in url]
+                    n[key] = n.get(key, 0) + 1
+
+    def score(url):
+        total = 0.0
+        for b, contexts in walk(url):
+            p = [1 / 256, 1 / 256]
+            for c in contexts:
+                p = [(n.get((c, b), 0) + ESCAPE * q) / (n.get(c, 0) + ESCAPE) for n, q in zip(counts, p)]
+            total += np.log(p[1] / p[0])
+        return total / max(1, len(url.encode()))
+
+    frame = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    got = {r.page_id: r.score for r in judge(frame, [("allow", "com/fr/"), ("block", "com/de/")]).collect()}
+    assert got.keys() == set(range(len(urls)))
+    assert max(abs(got[i] - score(u or "")) for i, u in enumerate(urls)) < 1e-9
