@@ -41,8 +41,8 @@ _PATTERNS = (
     ("named", re.compile(_NAMES + r"[\w-]*[\"']?\s*(?:=>|[:=])\s*[\"']?([^\s\"'<>,;]{6,})", re.IGNORECASE), 1),
     ("long", re.compile(r"(?<![0-9A-Za-z+/_=-])(?=[a-zA-Z+/_-]*[0-9])[0-9A-Za-z+/_=-]{20,}"), 0),
 )
-#: A text without any of these has no candidate; kept cheap because every text meets it.
-_MAYBE = r"(?i)PRIVATE KEY-----|AKIA|gh[pousr]_|xox[abprs]-|AIza|sk_(live|test)_|secret|token|passw|pwd|api[_-]?key|access[_-]?key|credential|auth|[0-9A-Za-z+/_=-]{20}"
+#: A text without any of these has no candidate; kept cheap because every text meets it. Case folds as in re, beyond ASCII.
+_MAYBE = r"(?iu)PRIVATE KEY-----|AKIA|gh[pousr]_|xox[abprs]-|AIza|sk_(live|test)_|[0-9A-Za-z+/_=-]{20}|" + _NAMES
 
 _WORDS = (
     "the and for with that this from have your here key secret token password example sample test change changeme placeholder dummy fake none null true false user name admin default value "

@@ -172,3 +172,16 @@ def test_url_scores_by_brute_force(spark):
     got = {r.page_id: r.score for r in judge(frame, [("allow", "com/fr/"), ("block", "com/de/")]).collect()}
     assert got.keys() == set(range(len(urls)))
     assert max(abs(got[i] - score(u or "")) for i, u in enumerate(urls)) < 1e-9
+
+
+def test_every_pattern_passes_the_secret_prefilter(spark):
+    from hunkwise.llm import secrets
+
+    names = ("secret", "token", "password", "passwd", "pwd", "apiKey", "api-key", "ACCESS_KEY", "private_key", "privateKey", "private-key", "credential", "auth", "pa\u017f\u017fword", "to\u212aen", "credent\u0131al", "credent\u0130al")
+    texts = [f"{n}: x9!Fq2#Lm7" for n in names] + ["-----BEGIN PRIVATE KEY-----\nab\n-----END PRIVATE KEY-----", "AKIA" + "A1B2" * 4, "ghp_" + "a1" * 18, "xoxb-0123456789", "AIza" + "b2-_c" * 7, "sk_test_" + "a1" * 8, "0" * 20]
+    assert all(secrets.candidates(t) for t in texts)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in secrets.scan(frame).collect()} == set(range(len(texts)))
+    # the only finding of its text
+    frame = spark.createDataFrame([(1, "private_key: 'x9!Fq2#Lm7$Rt8vKp3'"), (2, "privateKey: q8Zr!2mVx7Lw4Tn9Ks")], "doc_id long, text string")
+    assert all(secrets.MASK in r.t for r in frame.select(secrets.redacted(frame).alias("t")).collect())
