@@ -9,8 +9,9 @@ Labelled findings are rows (candidate, before, after, path, label); ``example_fi
 bounded list of them. Candidates are found and judged over whole texts, where the texts are.
 
 Edge cases: null and empty texts have no findings. Repeated rows give repeated findings.
-Overlapping candidates give one finding, the earliest and then the longest. Positions count
-characters.
+Every candidate is judged. Accepted ones that overlap give one finding over all of them, with the
+kind and score of the likeliest; of the rejected ones that overlap no accepted one, the earliest and
+then the longest is a finding. Positions count characters.
 """
 
 from __future__ import annotations
@@ -61,12 +62,9 @@ class Candidate(NamedTuple):
 
 
 def candidates(text: str) -> list[Candidate]:
+    """All that the patterns propose, by start, the longest first; they may overlap. A span that several propose is the first pattern's."""
     found = sorted((m.start(g), -m.end(g), order, kind) for order, (kind, rx, g) in enumerate(_PATTERNS) for m in rx.finditer(text))
-    out: list[Candidate] = []
-    for start, end, _, kind in found:
-        if not out or start >= out[-1].end:
-            out.append(Candidate(start, -end, kind))
-    return out
+    return [Candidate(start, -end, kind) for i, (start, end, _, kind) in enumerate(found) if not i or found[i - 1][:2] != (start, end)]
 
 
 @lru_cache(maxsize=1)
@@ -205,6 +203,29 @@ def train(findings: Sequence[tuple[str, str, str, str, int]] | None = None) -> F
     return Forest(np.array([describe(*r[:4]) for r in rows]), np.array([r[4] for r in rows], float))
 
 
+def settled(scored: Sequence[tuple[Candidate, float]]) -> list[tuple[Candidate, float]]:
+    """One finding for each place, from judged candidates by start."""
+    found: list[tuple[Candidate, float]] = []
+    for c, score in scored:
+        if score < CUT:
+            continue
+        if found and c.start < found[-1][0].end:
+            last, best = found[-1]
+            kind, best = (c.kind, score) if score > best else (last.kind, best)
+            found[-1] = Candidate(last.start, max(last.end, c.end), kind), best
+        else:
+            found.append((c, score))
+    out: list[tuple[Candidate, float]] = []
+    at, free = 0, 0
+    for c, score in scored:
+        while at < len(found) and found[at][0].end <= c.start:
+            at += 1
+        if score < CUT and c.start >= free and (at == len(found) or found[at][0].start >= c.end):
+            out.append((c, score))
+            free = c.end
+    return sorted(found + out)
+
+
 def judged(text: str, path: str, forest: Forest) -> list[tuple[Candidate, float]]:
     out = []
     for c in candidates(text):
@@ -212,11 +233,11 @@ def judged(text: str, path: str, forest: Forest) -> list[tuple[Candidate, float]
             out.append((c, 1.0))
         else:
             out.append((c, forest.score(describe(text[c.start : c.end], text[max(0, c.start - CONTEXT) : c.start], text[c.end : c.end + CONTEXT], path))))
-    return out
+    return settled(out)
 
 
 def scan(docs: DataFrame, path: str | None = None, forest: Forest | None = None) -> DataFrame:
-    """doc_id, start, end, kind, score, is_secret for every candidate in docs (doc_id, text, and a path column)."""
+    """doc_id, start, end, kind, score, is_secret for every finding in docs (doc_id, text, and a path column)."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(forest or train())

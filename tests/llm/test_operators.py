@@ -185,3 +185,31 @@ def test_every_pattern_passes_the_secret_prefilter(spark):
     # the only finding of its text
     frame = spark.createDataFrame([(1, "private_key: 'x9!Fq2#Lm7$Rt8vKp3'"), (2, "privateKey: q8Zr!2mVx7Lw4Tn9Ks")], "doc_id long, text string")
     assert all(secrets.MASK in r.t for r in frame.select(secrets.redacted(frame).alias("t")).collect())
+
+
+def test_overlapping_secrets_are_all_judged():
+    from hunkwise.llm import secrets
+
+    class Only:
+        """Accepts candidates of one length."""
+
+        def __init__(self, *lengths):
+            self.lengths = lengths
+
+        def score(self, row):
+            return 0.9 if row[0] in self.lengths else 0.1
+
+    key = "wJalrXUtnFEMI7K9MDENGbPxRfiCYzEXq3Lm8TzA"
+    text = f"see oauth2_token={key} end"
+    at = text.index(key)
+    assert secrets.judged(text, "", Only(len(key))) == [((at, at + len(key), "named"), 0.9)]
+    run = len("oauth2_token=" + key)
+    assert secrets.judged(text, "", Only(run)) == secrets.judged(text, "", Only(run, len(key))) == [((4, at + len(key), "long"), 0.9)]
+    assert secrets.judged(text, "", Only()) == [((4, at + len(key), "long"), 0.1)]
+    key = "ghp_" + "a1B2" * 9
+    text = f"https://x.com/v2/{key} end"
+    at = text.index(key)
+    assert secrets.judged(text, "", Only(len(key))) == [((at, at + len(key), "format"), 0.9)]
+    c = secrets.Candidate
+    assert secrets.settled([(c(0, 9, "a"), 0.1), (c(5, 12, "b"), 0.6), (c(10, 20, "c"), 0.8), (c(11, 13, "d"), 0.1), (c(20, 25, "e"), 0.1), (c(22, 30, "f"), 0.2)]) == [
+        ((5, 20, "c"), 0.8), ((20, 25, "e"), 0.1)]
