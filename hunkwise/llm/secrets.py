@@ -68,8 +68,8 @@ def candidates(text: str) -> list[Candidate]:
 
 
 @lru_cache(maxsize=1)
-def _transitions() -> dict[str, float]:
-    """log2 of smoothed letter transitions of ordinary words."""
+def _transitions() -> np.ndarray:
+    """log2 of smoothed letter transitions of ordinary words, a to z; the 27th is any other character."""
     pairs: dict[str, int] = {}
     firsts: dict[str, int] = {}
     for w in _WORDS:
@@ -77,7 +77,9 @@ def _transitions() -> dict[str, float]:
             pairs[a + b] = pairs.get(a + b, 0) + 1
             firsts[a] = firsts.get(a, 0) + 1
     letters = "abcdefghijklmnopqrstuvwxyz"
-    return {a + b: math.log2((pairs.get(a + b, 0) + 0.3) / (firsts.get(a, 0) + 0.3 * 26)) for a in letters for b in letters}
+    out = np.full((27, 27), -7.0)
+    out[:26, :26] = [[math.log2((pairs.get(a + b, 0) + 0.3) / (firsts.get(a, 0) + 0.3 * 26)) for b in letters] for a in letters]
+    return out
 
 
 def describe(candidate: str, before: str, after: str, path: str) -> list[float]:
@@ -85,7 +87,9 @@ def describe(candidate: str, before: str, after: str, path: str) -> list[float]:
     n = max(1, len(candidate))
     low = candidate.lower()
     counts = [low.count(c) / n for c in set(low)]
-    steps = [_transitions().get(low[i : i + 2], -7.0) for i in range(min(len(low), 400) - 1)]
+    letters = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) - ord("a")
+    letters[(letters < 0) | (letters > 25)] = 26
+    steps = _transitions()[letters[:-1], letters[1:]]
     covered = np.zeros(len(low), bool)
     for w in _WORDS:
         if len(w) >= 4:
@@ -99,7 +103,7 @@ def describe(candidate: str, before: str, after: str, path: str) -> list[float]:
     return [
         float(len(candidate)),
         -sum(p * math.log2(p) for p in counts),
-        float(np.mean(steps)) if steps else 0.0,
+        float(steps.mean()) if len(steps) else 0.0,
         float(covered.mean()) if len(low) else 0.0,
         *kinds.mean(axis=0).tolist(),
         float(changes),

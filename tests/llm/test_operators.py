@@ -213,3 +213,15 @@ def test_overlapping_secrets_are_all_judged():
     c = secrets.Candidate
     assert secrets.settled([(c(0, 9, "a"), 0.1), (c(5, 12, "b"), 0.6), (c(10, 20, "c"), 0.8), (c(11, 13, "d"), 0.1), (c(20, 25, "e"), 0.1), (c(22, 30, "f"), 0.2)]) == [
         ((5, 20, "c"), 0.8), ((20, 25, "e"), 0.1)]
+
+
+def test_transitions_of_whole_candidates():
+    from hunkwise.llm.secrets import describe
+
+    def mean(text):
+        return describe(text, "", "", "")[2]
+
+    words, noise = "the" * 200, "xq" * 300
+    # the join adds the pair "ex"
+    assert abs(mean(words + noise) * 1199 - (mean(words) * 599 + mean(noise) * 599 + mean("ex"))) < 1e-6
+    assert mean("a") == mean("") == 0.0 and mean("é1") == mean("a_") == -7.0
