@@ -225,3 +225,18 @@ def test_transitions_of_whole_candidates():
     # the join adds the pair "ex"
     assert abs(mean(words + noise) * 1199 - (mean(words) * 599 + mean(noise) * 599 + mean("ex"))) < 1e-6
     assert mean("a") == mean("") == 0.0 and mean("é1") == mean("a_") == -7.0
+
+
+def test_halves_of_notices_are_licences(spark):
+    from hunkwise.llm import licenses
+
+    halves = {
+        "mit": ["obtaining a copy of this software and associated documentation files", "included in all copies or substantial portions of the Software"],
+        "bsd": ["without modification, are permitted provided that the following conditions are met", "notice, this list of conditions and the following disclaimer"],
+        "isc": ["for any purpose with or without fee is hereby granted"],
+    }
+    want = [(family, t) for family, texts in halves.items() for t in texts]
+    docs = [(i, t) for i, (_, t) in enumerate(want)] + [(100 + i, f"the house number {i} of the town and the street by the river") for i in range(40)]
+    docs += [(200, "He lost his driving license and needs permission to travel"), (201, "words\nReleased under the MIT License"), (None, "Released under the MIT License")]
+    got = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.paragraph, r.family) for r in got} == {(i, 0, family) for i, (family, _) in enumerate(want)} | {(201, 1, "mit"), (None, 0, "mit")}
