@@ -18,9 +18,9 @@ Other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
-import struct
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -31,7 +31,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 #: Distinct words of a generation whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
+#: New words that are coded in one call.
+LINE = 64
 #: Sequences' worth of tokens that a pool gathers before it is packed.
 POOL = 128
 
@@ -64,27 +66,50 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(file)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.marks = [a.lower() for a in self.added]
+        self.shortest_mark = min((len(a) for a in self.marks), default=0) - 1
+        # the same model for lower-cased words between spaces
+        parts = json.loads(self.tokenizer.to_str())
+        suffix = parts["model"].get("end_of_word_suffix")
+        between = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
+        level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        self.bare = Tokenizer.from_str(json.dumps({**parts, "normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [between, level]}}))
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
+    def _coded(self, pieces: list[str], encoder: object) -> list[bytes]:
+        """Each piece coded alone."""
+        return [np.array(c.ids, "<u4").tobytes() for c in encoder.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _coded_words(self, words: list[str]) -> list[bytes]:
+        """Each word coded alone, many words a call: a word's last token, and no other, ends a word."""
+        out: list[bytes] = []
+        lines = [words[at : at + LINE] for at in range(0, len(words), LINE)]
+        for line, coded in zip(lines, self.bare.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(coded.ids, "<u4")
+            ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            data = ids.tobytes()
+            out += [data[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)] if len(ends) == len(line) else self._coded(line, self.bare)
+        return out
+
     def _learn(self, pieces: set[str]) -> None:
         known, old = self.known, self.old
-        forms: dict[str, list[str]] = {}
+        words: dict[str, list[str]] = {}
+        odd: list[str] = []
         for p in pieces:
             code = old.get(p)
             if code is not None:
                 known[p] = code
+            elif _ODD.search(p) or len(p) > self.shortest_mark and any(a in p.lower() for a in self.marks):
+                odd.append(p)
             else:
-                low = p.lower()
-                forms.setdefault(p if _ODD.search(p) or any(a in low for a in self.marks) else low, []).append(p)
-        new = list(forms)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for form, coded in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = coded.ids
-                code = struct.pack(f"<{len(ids)}I", *ids)
-                for p in forms[form]:
-                    known[p] = code
+                words.setdefault(p.lower(), []).append(p)
+        known.update(zip(odd, self._coded(odd, self.tokenizer), strict=True))
+        for of_word, code in zip(words.values(), self._coded_words(list(words)), strict=True):
+            for p in of_word:
+                known[p] = code
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         out = []
