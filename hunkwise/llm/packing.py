@@ -12,6 +12,9 @@ Documents are packed where they are read: no shuffle, and a pool of bounded size
 longer document leaves whole sequences at once. Sequence ids are the partition's number and a
 counter, so that a task that runs again gives the same ids.
 
+A document is an optional prompt, which bears no loss, its text and an end token. Without a prompt only
+its first token bears none, so the limit on loss tokens is slack unless it is below the capacity.
+
 Edge cases: null text is empty and holds the end token alone. Repeated rows are packed each.
 Other columns are ignored.
 """
@@ -29,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Distinct words of a generation whose ids a worker remembers.
 REMEMBERED = 300_000
@@ -135,8 +139,13 @@ def powers_of_two(n: int) -> list[int]:
     return [1 << i for i in range(n.bit_length() - 1, -1, -1) if n >> i & 1]
 
 
+def bearing(start, length, silent):
+    """Tokens of a piece that bear loss: those from the document's token ``silent`` on."""
+    return np.maximum(0, start + length - np.maximum(start, silent))
+
+
 class Packer:
-    """Packs pieces (start, length) of numbered documents; emits rows (doc, start, length, sequence, offset)."""
+    """Packs pieces of numbered documents; emits rows (doc, start, length, sequence, offset)."""
 
     def __init__(self, capacity: int, segments: int, loss: int, first_sequence: int):
         self.limits = np.array([capacity, segments, loss], float)
@@ -157,27 +166,19 @@ class Packer:
                     pieces.append((doc, start + take, length - take))
             self.sequence += 1
 
-    @staticmethod
-    def _loss(start: int, length: int) -> int:
-        """Tokens that bear loss: all but a document's first, which nothing precedes."""
-        return length - (start == 0)
-
-    def pack(self, pieces: list[tuple[int, int, int]], last: bool) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int]]]:
-        """(rows, pieces left over); with ``last`` nothing is left over."""
+    def pack(self, pieces: list[tuple[int, int, int, int]], last: bool) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int, int]]]:
+        """(rows, pieces left over) of pieces (doc, start, length, the document's tokens without loss); with
+        ``last`` nothing is left over."""
         rows: list[tuple[int, int, int, int, int]] = []
         n = len(pieces)
         if not n:
             return rows, []
-        room_for = n + 16
-        own = np.zeros((room_for, 3), np.int64)
-        own[:n] = pieces
-        need = np.zeros((room_for, 3))
-        need[:n, 0] = own[:n, 2]
-        need[:n, 1] = 1
-        need[:n, 2] = own[:n, 2] - (own[:n, 1] == 0)
-        live = np.zeros(room_for, bool)
-        live[:n] = True
-        total = int(need[:n, 0].sum())
+        own = np.array(pieces, np.int64)
+        need = np.ones((n, 3))
+        need[:, 0] = own[:, 2]
+        need[:, 2] = bearing(own[:, 1], own[:, 2], own[:, 3])
+        live = np.ones(n, bool)
+        total = int(need[:, 0].sum())
         while total and (last or total >= self.capacity):
             room, chosen, used = self.limits.copy(), [], 0
             while room[0] > 0 and room[1] > 0 and total:
@@ -189,18 +190,18 @@ class Packer:
                     took = own[i].tolist()
                 else:
                     i = int(np.where(live, share, -1).argmax())
-                    doc, start, length = own[i].tolist()
-                    cut = int(min(room[0], room[2] + (start == 0), length))
+                    doc, start, length, silent = own[i].tolist()
+                    cut = int(min(room[0], room[2] + max(0, silent - start), length))
                     if cut <= 0:
                         break
-                    took = [doc, start, cut]
-                    own[i] = doc, start + cut, length - cut
-                    need[i] = length - cut, 1, length - cut
+                    took = [doc, start, cut, silent]
+                    own[i] = doc, start + cut, length - cut, silent
+                    need[i] = length - cut, 1, bearing(start + cut, length - cut, silent)
                     live[i] = length > cut
-                chosen.append(tuple(took))
+                chosen.append(tuple(took[:3]))
                 used += took[2]
                 total -= took[2]
-                room -= (took[2], 1, self._loss(took[1], took[2]))
+                room -= (took[2], 1, bearing(*took[1:]))
             rows.extend(self._close(chosen, used))
         return rows, [tuple(x) for x in own[live].tolist()]
 
@@ -212,23 +213,27 @@ def pack(
     segments: int = 512,
     loss: int = 4096,
     end_id: int = 2,
+    prompt: str | None = None,
     tokens: Callable[[str], Callable[[list[str | None]], list[bytes]]] = shared_tokens,
 ) -> DataFrame:
-    """One row for each piece of every document of docs (doc_id, text), with its place."""
+    """One row for each piece of every document of docs (doc_id, text), with its place.
+
+    ``prompt`` names a column of text that comes before ``text`` in its document and bears no loss.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokens(tokenizer)
         end = np.array([end_id], "<u4").tobytes()
         packer = Packer(capacity, segments, loss, TaskContext.get().partitionId() << 36)
-        ids: dict[int, tuple[int | None, bytes]] = {}
-        pool: list[tuple[int, int, int]] = []
+        ids: dict[int, tuple[int | None, bytes, int]] = {}
+        pool: list[tuple[int, int, int, int]] = []
         held, number = 0, 0
 
-        def out(rows: list[tuple[int, int, int, int, int]], left: list[tuple[int, int, int]]) -> pa.RecordBatch:
+        def out(rows: list[tuple[int, int, int, int, int]], left: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
             cols: list[list] = [[] for _ in range(8)]
             for doc, start, length, sequence, offset in rows:
-                doc_id, data = ids[doc]
-                row = (doc_id, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), len(data) // 4, length - (start == 0), sequence, offset)
+                doc_id, data, silent = ids[doc]
+                row = (doc_id, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), len(data) // 4, int(bearing(start, length, silent)), sequence, offset)
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
             keep = {p[0] for p in left}
@@ -237,12 +242,14 @@ def pack(
             return pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
+            doc_ids, texts, prompts = (batch.column(c).to_pylist() for c in ("doc_id", "text", "prompt"))
             for lo in range(0, len(texts), 256):
-                for doc_id, data in zip(doc_ids[lo : lo + 256], encode(texts[lo : lo + 256]), strict=True):
-                    ids[number] = doc_id, data + end
-                    n = len(data) // 4 + 1
-                    pool.append((number, 0, n))
+                before = encode(prompts[lo : lo + 256]) if prompt else [b""] * 256
+                for doc_id, first, data in zip(doc_ids[lo : lo + 256], before, encode(texts[lo : lo + 256]), strict=False):
+                    # nothing precedes a document's first token
+                    ids[number] = doc_id, first + data + end, max(1, len(first) // 4)
+                    n = (len(first) + len(data)) // 4 + 1
+                    pool.append((number, 0, n, ids[number][2]))
                     held, number = held + n, number + 1
                     if held >= POOL * capacity:
                         rows, pool = packer.pack(pool, last=False)
@@ -251,4 +258,5 @@ def pack(
         rows, pool = packer.pack(pool, last=True)
         yield out(rows, pool)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    before = F.col(prompt) if prompt else F.lit(None).cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), before.alias("prompt")).mapInArrow(run, SCHEMA)
