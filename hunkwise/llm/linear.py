@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hunkwise.llm.shelf import Shelf
 from hunkwise.llm.textbits import runs
 
 #: features(bytes, offsets) -> (document, feature id, value), sorted by document
@@ -36,8 +39,17 @@ def score_column(features: Features, weights: np.ndarray, bias: float) -> Callab
     return score
 
 
-def gather(docs: DataFrame, features: Features, dim_bits: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(y, ids, values) of every row of docs (y, text): a sample whose bound the caller states."""
+class Rows(NamedTuple):
+    """Labelled sparse rows: row i has ids[first[i] : first[i + 1]] with values of the same places (None: all 1)."""
+
+    y: np.ndarray
+    first: np.ndarray
+    ids: np.ndarray
+    values: np.ndarray | None
+
+
+def _described(features: Features, dim_bits: int):
+    """Rows (y, draw, ids, vals) of rows (y, draw, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -51,13 +63,71 @@ def gather(docs: DataFrame, features: Features, dim_bits: int) -> list[tuple[int
                 for lo, hi in zip(cut[:-1], cut[1:], strict=True):
                     ids_of.append(ids[lo:hi].tobytes())
                     values_of.append(total[lo:hi].tobytes())
-            yield pa.record_batch([batch.column("y").cast(pa.int32()), pa.array(ids_of, pa.binary()), pa.array(values_of, pa.binary())], names=["y", "ids", "vals"])
+            yield pa.record_batch([batch.column("y").cast(pa.int32()), batch.column("draw"), pa.array(ids_of, pa.binary()), pa.array(values_of, pa.binary())], names=["y", "draw", "ids", "vals"])
+
+    return run
+
+
+def _frequencies(dim_bits: int):
+    """Rows (id, n): in how many of a task's documents each feature is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << dim_bits, np.int64)
+        for batch in batches:
+            for ids in batch.column("ids"):
+                n[np.frombuffer(ids.as_py(), np.int32)] += 1  # each id of a document once
+        used = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(used), pa.array(n[used])], names=["id", "n"])
+
+    return run
+
 
-    rows = docs.select("y", "text").mapInArrow(run, "y int, ids binary, vals binary").collect()
-    out = [(r["y"], np.frombuffer(r["ids"], np.int32), np.frombuffer(r["vals"], np.float32)) for r in rows]
-    return sorted(out, key=lambda x: (x[0], x[1].tobytes()))  # the same model whatever order the rows came in
+def _only(usable: Broadcast):
+    """Rows (y, draw, ids) without features that are not usable."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = np.unpackbits(np.frombuffer(usable.value, np.uint8)).astype(bool)
+        for batch in batches:
+            ids = [np.frombuffer(x.as_py(), np.int32) for x in batch.column("ids")]
+            yield pa.record_batch([batch.column("y"), batch.column("draw"), pa.array([x[keep[x]].tobytes() for x in ids], pa.binary())], names=["y", "draw", "ids"])
+
+    return run
+
+
+def gather(docs: DataFrame, features: Features, dim_bits: int, shelf: Shelf | None = None, least_docs: int = 0, most_share: float = 1.0) -> Rows:
+    """The features of every row of docs (y, draw, text): a sample whose bound the caller states.
+
+    With ``least_docs`` only the presence of those features comes that so many rows, and at most
+    ``most_share`` of them, have; they are counted before anything reaches the driver. Rows come in
+    the order of ``draw``, so that the model is the same whatever task they came from.
+    """
+    described = docs.select("y", "draw", "text").mapInArrow(_described(features, dim_bits), "y int, draw long, ids binary, vals binary")
+    if least_docs:
+        described = (shelf or Shelf(docs.sparkSession)).put(described)
+        most = most_share * described.count()
+        seen = described.select("ids").mapInArrow(_frequencies(dim_bits), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+        usable = np.zeros(1 << dim_bits, bool)
+        usable[seen.where((F.col("n") >= least_docs) & (F.col("n") <= most)).select("id").toArrow().column("id").to_numpy()] = True  # 2**dim_bits ids at most
+        shared = docs.sparkSession.sparkContext.broadcast(np.packbits(usable).tobytes())
+        described = described.mapInArrow(_only(shared), "y int, draw long, ids binary")
+    rows = described.toArrow()
+    rows = rows.take(np.lexsort((rows.column("draw").to_numpy(), rows.column("y").to_numpy())))
+
+    def flat(name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        parts = [np.frombuffer(x, kind) for x in rows.column(name).to_pylist()]
+        return np.concatenate([np.zeros(0, kind), *parts]), np.cumsum([0, *map(len, parts)])
+
+    ids, first = flat("ids", np.int32)
+    return Rows(rows.column("y").to_numpy(), first, ids, None if least_docs else flat("vals", np.float32)[0])
 
 
 def sample(ids: DataFrame, most: int, seed: int) -> DataFrame:
-    """Up to ``most`` rows (doc_id, y), the same ones on every run."""
-    return ids.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "y").limit(most)
+    """Up to ``most`` of the different doc_ids, the same ones on every run: doc_id, y, draw."""
+    draw = F.xxhash64("doc_id", F.lit(seed))
+    return ids.where("doc_id is not null").groupBy("doc_id").agg(F.max("y").alias("y")).select("doc_id", "y", draw.alias("draw")).orderBy("draw", "doc_id").limit(most)
+
+
+def texts_of(docs: DataFrame, drawn: DataFrame) -> DataFrame:
+    """y, draw, text of the drawn ids: a document once, by the smallest text of its rows."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")
+    return rows.groupBy("doc_id", "y", "draw").agg(F.min("text").alias("text"))

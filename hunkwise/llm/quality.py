@@ -7,7 +7,8 @@ sparse dot product plus a bias.
 
 The sample that trains the model is bounded by ``most``; every document is scored over its whole
 text. Null and empty texts score by the bias alone. Labels that are null, or of a held-out fold,
-are never read; repeated labels of a document count once, the higher one. Without labels every
+are never read; repeated labels of a document count once, the higher one; repeated rows train once, by
+the smallest text. Without labels every
 score is 0.5.
 """
 
@@ -17,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hunkwise.llm.linear import fold, gather, sample, score_column
+from hunkwise.llm.linear import Rows, fold, gather, sample, score_column, texts_of
 from hunkwise.llm.textbits import U, Words, mix
 
 DIM_BITS = 18
@@ -63,11 +64,11 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return doc, (np.concatenate(ids) >> U(64 - DIM_BITS)).astype(np.int64), 1.0 / np.maximum(n, 1)[doc]
 
 
-def fit_ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], alpha: float = 2.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, rounds: int = 3) -> tuple[np.ndarray, float]:
-    """Per-coordinate FTRL-proximal: weights and bias from rows (y, feature ids, values)."""
+def fit_ftrl(rows: Rows, alpha: float = 2.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, rounds: int = 3) -> tuple[np.ndarray, float]:
+    """Per-coordinate FTRL-proximal: weights and bias from rows, in a shuffled order each round."""
     dim = 1 << DIM_BITS
     z, n = np.zeros(dim + 1), np.zeros(dim + 1)
-    if not rows:
+    if not len(rows.y):
         return np.zeros(dim), 0.0
 
     def weight(at: np.ndarray) -> np.ndarray:
@@ -77,9 +78,9 @@ def fit_ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], alpha: float = 2.0,
 
     order = np.random.default_rng(3)
     for _ in range(rounds):
-        for i in order.permutation(len(rows)):
-            y, ids, values = rows[i]
-            at, x = np.append(ids, dim), np.append(values, 1.0)
+        for i in order.permutation(len(rows.y)):
+            y, own = int(rows.y[i]), slice(rows.first[i], rows.first[i + 1])
+            at, x = np.append(rows.ids[own], dim), np.append(rows.values[own], 1.0)
             w = weight(at)
             p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
             g = (p - y) * x
@@ -95,7 +96,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> tuple[np.ndarra
     known = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
     known = known.where(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("y").alias("y"))
     drawn = sample(known, most, 3)  # bounded
-    return fit_ftrl(gather(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"), features, DIM_BITS))
+    return fit_ftrl(gather(texts_of(docs, drawn), features, DIM_BITS))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most: int = MOST) -> DataFrame:

@@ -9,7 +9,8 @@ that may be learned from.
 
 The sample that trains the model is bounded by ``positives`` and ``unlabelled``; every document is
 scored over its whole text. Null and empty texts score by the bias alone. Labels that are null, or
-of a held-out fold, are never read; repeated labels of a document count once, as toxic if any is.
+of a held-out fold, are never read; repeated labels of a document count once, as toxic if any is;
+repeated rows train once, by the smallest text.
 Without a toxic label nothing can be learned and every score is 0.
 """
 
@@ -19,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hunkwise.llm.linear import fold, gather, sample, score_column
+from hunkwise.llm.linear import Rows, fold, gather, sample, score_column, texts_of
 from hunkwise.llm.textbits import U, Words
 
 DIM_BITS = 18
@@ -57,30 +58,29 @@ def presence_of(weights: np.ndarray):
     return run
 
 
-def fit_nnpu(rows: list[tuple[int, np.ndarray, np.ndarray]], prior: float, steps: int = 200, rate: float = 0.05, l1: float = 5e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias from rows (1: positive, 0: unlabelled; feature ids; values), by Adam with soft thresholds."""
-    dim = 1 << DIM_BITS
-    weights = np.zeros(dim)
-    y = np.array([r[0] for r in rows])
+def fit_nnpu(rows: Rows, prior: float, steps: int = 200, rate: float = 0.05, l1: float = 5e-4) -> tuple[np.ndarray, float]:
+    """Weights and bias from rows (y 1: positive, 0: unlabelled; feature ids), by Adam with soft thresholds."""
+    weights, y = np.zeros(1 << DIM_BITS), rows.y
     if not (y == 1).any() or not (y == 0).any() or prior <= 0:
         return weights, -500.0
-    ids = np.concatenate([r[1] for r in rows]).astype(np.int64)
-    doc = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-    seen = np.bincount(ids, minlength=dim)
-    usable = (seen >= LEAST_DOCS) & (seen <= MOST_SHARE * len(rows))
-    doc, ids = doc[usable[ids]], ids[usable[ids]]
-    used, ids = np.unique(ids, return_inverse=True)
-    if not len(ids):
+    if not len(rows.ids):
         return weights, float(np.log(prior / (1 - prior))) if prior < 1 else 500.0
-    by_feature = np.argsort(ids, kind="stable")
-    doc_of, feature_at = doc[by_feature], np.searchsorted(ids[by_feature], np.arange(len(used)))
-    has, doc_at = np.unique(doc, return_index=True)  # documents with a feature left
+    used = np.flatnonzero(np.bincount(rows.ids, minlength=len(weights)))
+    place = np.zeros(len(weights), np.int32)
+    place[used] = np.arange(len(used))
+    ids = place[rows.ids]
+    n = np.diff(rows.first)
+    by_feature = np.argsort(ids, kind="stable").astype(np.int32)
+    doc_of = np.repeat(np.arange(len(y), dtype=np.int32), n)[by_feature]
+    feature_at = np.searchsorted(ids[by_feature], np.arange(len(used)))
+    del by_feature
+    has, doc_at = np.flatnonzero(n), rows.first[:-1][n > 0]  # documents with a feature left
     w, b = np.zeros(len(used)), np.log(prior / (1 - prior)) if prior < 1 else 0.0
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     pos, unl = y == 1, y == 0
     share = np.where(pos, prior / pos.sum(), 1 / unl.sum())
     for t in range(1, steps + 1):
-        raw = np.full(len(rows), b)
+        raw = np.full(len(y), b)
         raw[has] += np.add.reduceat(w[ids], doc_at)
         p = 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
         # logistic losses: called positive log(1 + e^-raw), called negative log(1 + e^raw)
@@ -105,10 +105,10 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     known = labels.where("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("y"))
     known = known.where(fold(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("y").alias("y"))
     prior = known.agg(F.avg("y")).first()[0] or 0.0
-    drawn = sample(known.where("y = 1"), positives, 1).unionByName(sample(docs.select("doc_id", F.lit(0).alias("y")), unlabelled, 2))
-    # bounded: at most positives + unlabelled ids
-    rows = gather(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id"), presence, DIM_BITS)
-    return fit_nnpu(rows, prior)
+    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).alias("y"))
+    # bounded: at most positives + unlabelled documents
+    drawn = sample(known.where("y = 1"), positives, 1).unionByName(sample(some, unlabelled, 2))
+    return fit_nnpu(gather(texts_of(docs, drawn), presence, DIM_BITS, least_docs=LEAST_DOCS, most_share=MOST_SHARE), prior)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Column:
