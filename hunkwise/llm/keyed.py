@@ -36,24 +36,35 @@ def held(words: np.ndarray, hashes: np.ndarray, bits: int = MAP_BITS) -> np.ndar
     return (of >> (at & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _near(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """df with _near: false where the key is surely not among ``keys``. The joined map has at most
-    2**(MAP_BITS - 6) rows of 16 bytes whatever the number of keys."""
-    words = _words(keys.where(F.col(key).isNotNull()).select(F.xxhash64(key).alias("h")), "h", MAP_BITS).toDF("_w", "_v")
-    spot = F.shiftrightunsigned(F.xxhash64(key), 64 - MAP_BITS)
-    marked = df.withColumn("_spot", spot).join(F.broadcast(words), F.shiftright("_spot", 6) == F.col("_w"), "left")
-    bit = F.expr("shiftright(_v, cast(_spot & 63 as int)) & 1") == 1
-    return marked.withColumn("_near", F.col(key).isNotNull() & F.coalesce(bit, F.lit(False))).drop("_spot", "_w", "_v")
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores before them until df has no such columns."""
+    taken = {c.lower() for c in df.columns}
+    lead = "_"
+    while any(lead + n.lower() in taken for n in names):
+        lead += "_"
+    return [lead + n for n in names]
+
+
+def _near(df: DataFrame, keys: DataFrame, key: str, near: str) -> DataFrame:
+    """df with a column ``near``: false where the key is surely not among ``keys``. The joined map has at
+    most 2**(MAP_BITS - 6) rows of 16 bytes whatever the number of keys."""
+    spot, w, v = fresh(df, "spot", "w", "v")
+    words = _words(keys.where(F.col(key).isNotNull()).select(F.xxhash64(key).alias("h")), "h", MAP_BITS).toDF(w, v)
+    marked = df.withColumn(spot, F.shiftrightunsigned(F.xxhash64(key), 64 - MAP_BITS)).join(F.broadcast(words), F.shiftright(spot, 6) == F.col(w), "left")
+    bit = F.expr(f"shiftright({v}, cast({spot} & 63 as int)) & 1") == 1
+    return marked.withColumn(near, F.col(key).isNotNull() & F.coalesce(bit, F.lit(False))).drop(spot, w, v)
 
 
 def without(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows of df whose key is not among keys[key]; null keys stay."""
-    near = _near(df, keys, key)
-    out = near.where(~F.col("_near")).drop("_near")
-    return out.unionByName(near.where("_near").drop("_near").join(keys.select(key).distinct(), key, "left_anti").select(*df.columns))
+    (flag,) = fresh(df, "near")
+    near = _near(df, keys, key, flag)
+    out = near.where(~F.col(flag)).drop(flag)
+    return out.unionByName(near.where(flag).drop(flag).join(keys.select(key).distinct(), key, "left_anti").select(*df.columns))
 
 
 def only(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows of df whose key is among keys[key]."""
-    near = _near(df, keys, key).where("_near").drop("_near")
+    (flag,) = fresh(df, "near")
+    near = _near(df, keys, key, flag).where(flag).drop(flag)
     return near.join(keys.select(key).distinct(), key, "left_semi").select(*df.columns)
