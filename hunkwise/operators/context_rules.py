@@ -20,9 +20,11 @@ OTHER_OWNER, UNOWNED = 8, 12
 UNOWNED_REASON = "no CODEOWNERS entry — unowned file"
 # Fixed values of the intent rule.
 INTENT_STOPWORDS = (
-    "the a an and or but for to of in on at by is are be this that with from it as if add adds added fix fixes fixed update updates updated change changes changed pr prs make makes use uses "
-    "new remove removes removed refactor wip chore feat docs test tests into when not no so we our you your can will"
-).split()
+    "the", "a", "an", "and", "or", "but", "for", "to", "of", "in", "on", "at", "by", "is", "are", "be", "this", "that", "with", "from", "it", "as",
+    "if", "add", "adds", "added", "fix", "fixes", "fixed", "update", "updates", "updated", "change", "changes", "changed", "pr", "prs", "make",
+    "makes", "use", "uses", "new", "remove", "removes", "removed", "refactor", "wip", "chore", "feat", "docs", "test", "tests", "into", "when", "not",
+    "no", "so", "we", "our", "you", "your", "can", "will",
+)
 NO_OVERLAP, WEAK_OVERLAP, WEAK_RATIO = 12, 6, 0.15
 # Fixed values of the test rule.
 TEST_PATHS = (r"(^|/)tests?/", r"(^|/)__tests__/", r"(^|/)test_[^/]+$", r"_test\.[^/.]+$", r"\.test\.[^/.]+$", r"\.spec\.[^/.]+$", r"(^|/)test[^/]*\.[^/.]+$")
@@ -33,18 +35,22 @@ NO_TESTS_REASON = "risky change with no test changes anywhere in this diff"
 OTHER_TESTS_REASON = "risky change to {} with no matching test change in this diff (other tests moved)"
 # Fixed values of the blast radius rule.
 SYMBOL_STOPWORDS = (
-    "if else elif for while return def class func function const let var import from export default public private protected static void int str bool true false none null self this new "
-    "type interface package module async await try catch except finally with as in is and or not pass break continue get set data value key name id i j k x y"
-).split()
+    "if", "else", "elif", "for", "while", "return", "def", "class", "func", "function", "const", "let", "var", "import", "from", "export", "default",
+    "public", "private", "protected", "static", "void", "int", "str", "bool", "true", "false", "none", "null", "self", "this", "new", "type",
+    "interface", "package", "module", "async", "await", "try", "catch", "except", "finally", "with", "as", "in", "is", "and", "or", "not", "pass",
+    "break", "continue", "get", "set", "data", "value", "key", "name", "id", "i", "j", "k", "x", "y",
+)
 CONTEXT_SYMBOLS = (
     r"\b(?:def|class)\s+([A-Za-z_][A-Za-z0-9_]*)",
     r"\b(?:func|function)\s+([A-Za-z_][A-Za-z0-9_]*)",
     r"\bexport\s+(?:default\s+)?(?:async\s+)?(?:function|class|const|let|var)?\s*([A-Za-z_$][A-Za-z0-9_$]*)",
 )
 CHANGED_SYMBOLS = (
-    *CONTEXT_SYMBOLS,
+    r"\b(?:def|class)\s+([A-Za-z_][A-Za-z0-9_]*)",
+    r"\b(?:func|function)\s+([A-Za-z_][A-Za-z0-9_]*)",
     r"\b(?:const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)\s*=",
     r"^\s*([A-Za-z_][A-Za-z0-9_]*)\s*(?::[^=]+)?=(?!=)",
+    r"\bexport\s+(?:default\s+)?(?:async\s+)?(?:function|class|const|let|var)?\s*([A-Za-z_$][A-Za-z0-9_$]*)",
 )
 BLAST = ((40, 16, "reverberates across the codebase"), (15, 11, "is widely used"), (5, 6, "is used in several places"))
 
@@ -86,32 +92,69 @@ def parse_codeowners(text: str) -> list[tuple[str, list[str]]]:
     return [(r[0], r[1:]) for r in rows if r and not r[0].startswith("#")]
 
 
-def _glob(pattern: str, one: str = ".") -> str:
-    """A shell pattern as a regular expression; ``one`` is what ? and * stand for: any sign, slashes too."""
-    out = "".join(one + "*" if c == "*" else one if c == "?" else c if c in "[]" else re.escape(c) for c in pattern)
-    return out.replace("[!", "[^")
-
-
-def owner_pattern(pattern: str) -> str:
-    """The paths that a CODEOWNERS pattern owns, as one anchored regular expression."""
+def _one_of(body: str) -> str:
+    """What stands between the brackets of a shell pattern, as a regular expression for one sign."""
+    negative, body = body.startswith("!"), body.removeprefix("!")
+    spans, at = [], 0
+    while at < len(body):
+        if body[at + 1 : at + 2] == "-" and at + 2 < len(body):
+            lo, hi, at = body[at], body[at + 2], at + 3
+        else:
+            lo, hi, at = body[at], body[at], at + 1
+        if lo <= hi:  # a range that runs backwards holds nothing
+            spans.append(f"\\x{{{ord(lo):x}}}-\\x{{{ord(hi):x}}}")
+    if not spans:
+        return "." if negative else "(?!)"
+    return f"[{'^' if negative else ''}{''.join(spans)}]"
+
+
+def _glob(pattern: str) -> str:
+    """A shell pattern as a regular expression; ? and * stand for any sign, slashes too. An open bracket is a sign."""
+    out, at = [], 0
+    while at < len(pattern):
+        c, at = pattern[at], at + 1
+        end = -1
+        if c == "[":
+            first = at + (pattern[at : at + 1] == "!")
+            end = pattern.find("]", first + 1)  # a bracket that comes first is one of the signs
+        if end >= 0:
+            out.append(_one_of(pattern[at:end]))
+            at = end + 1
+        else:
+            out.append(".*" if c == "*" else "." if c == "?" else f"\\x{{{ord(c):x}}}")
+    return "".join(out)
+
+
+def _literal(text: str) -> str:
+    return "".join(f"\\x{{{ord(c):x}}}" for c in text)
+
+
+def owner_pattern(pattern: str) -> tuple[str, bool]:
+    """(regular expression of the paths that a CODEOWNERS pattern owns, whether a path's last part may fit as well)."""
     if pattern in ("*", "/*"):
-        return "(?s)^.*$"
+        return r"(?s)\A.*\z", False
     body = pattern.lstrip("/").rstrip("/")
-    below = re.escape(body) + "/.*"
+    below = _literal(body) + "/.*"
     if pattern.endswith("/"):
-        return f"(?s)^(?:{re.escape(body)}|{below})$"
+        return rf"(?s)\A(?:{_literal(body)}|{below})\z", False
     if "/" not in body:
-        return f"(?s)^(?:{_glob(body)}|(?:.*/)?{_glob(body, '[^/]')})$"  # the whole path, or its last part
-    more = f"|{re.escape(body[:-3])}.*" if body.endswith("/**") else ""
-    return f"(?s)^(?:{_glob(body)}|{below}{more})$"
+        return rf"(?s)\A{_glob(body)}\z", True
+    more = f"|{_literal(body[:-3])}.*" if body.endswith("/**") else ""
+    return rf"(?s)\A(?:{_glob(body)}|{below}{more})\z", False
 
 
 def owners_of(path: Column, entries: Sequence[tuple[str, list[str]]]) -> Column:
-    """The owners by the last entry that fits; empty if none."""
-    out = F.array().cast("array<string>")
-    for pattern, owners in entries:
-        out = F.when(F.rlike(path, F.lit(owner_pattern(pattern))), F.array(*map(F.lit, owners)).cast("array<string>")).otherwise(out)
-    return out
+    """The owners by the last entry that fits; empty if none. One flat choice, however many entries."""
+    last_part = F.substring_index(path, "/", -1)
+    out = None
+    for pattern, owners in reversed(entries):
+        rx_, by_part = owner_pattern(pattern)
+        fits = F.rlike(path, F.lit(rx_))
+        fits = fits | F.rlike(last_part, F.lit(rx_)) if by_part else fits
+        value = F.array(*map(F.lit, owners)).cast("array<string>")
+        out = F.when(fits, value) if out is None else out.when(fits, value)
+    none_ = F.array().cast("array<string>")
+    return none_ if out is None else out.otherwise(none_)
 
 
 def owners(entries: Sequence[tuple[str, list[str]]], author: str) -> Column:
@@ -128,7 +171,8 @@ def owners(entries: Sequence[tuple[str, list[str]]], author: str) -> Column:
 def with_owners(hunks: DataFrame, entries: Sequence[tuple[str, list[str]]], author: str) -> DataFrame:
     if not entries or not author:
         return hunks
-    out = hunks.withColumn("_owners", owners_of(F.replace("file_path", F.lit("\\"), F.lit("/")), entries))
+    # a generator keeps the choice from being made again for each use below
+    out = hunks.select("*", F.explode(F.array(owners_of(slashed("file_path"), entries))).alias("_owners"))
     return out.withColumn("signals", F.concat("signals", owners(entries, author))).drop("_owners")
 
 
@@ -140,7 +184,7 @@ def keywords(text: Column) -> Column:
     words = F.regexp_extract_all(text, F.lit("([A-Za-z0-9]+)"), 1)
     parts = F.flatten(F.transform(words, lambda w: F.regexp_extract_all(w, F.lit("([A-Z]?[a-z0-9]+|[A-Z]+(?![a-z]))"), 1)))
     low = F.transform(parts, F.lower)
-    return F.array_distinct(F.filter(low, lambda w: (F.length(w) >= 3) & ~w.isin(INTENT_STOPWORDS)))
+    return F.array_distinct(F.filter(low, lambda w: (F.length(w) >= 3) & ~w.isin(*INTENT_STOPWORDS)))
 
 
 def hunk_keywords() -> Column:
@@ -225,24 +269,48 @@ def symbols() -> Column:
         .when(F.startswith(x, F.lit(" ")), names(F.substring(x, 2, 1 << 30), CONTEXT_SYMBOLS)).otherwise(F.array().cast("array<string>")),
     )
     every = F.concat(names(F.col("heading"), CHANGED_SYMBOLS), F.flatten(lines))
-    return F.array_distinct(F.filter(every, lambda s: (F.length(s) >= 3) & ~F.lower(s).isin(SYMBOL_STOPWORDS)))
+    return F.array_distinct(F.filter(every, lambda s: (F.length(s) >= 3) & ~F.lower(s).isin(*SYMBOL_STOPWORDS)))
 
 
 def token_counts(tree: DataFrame) -> DataFrame:
-    """token, path, n: occurrences in every file of a tree (path, text)."""
-    words = F.explode(F.regexp_extract_all("text", F.lit(r"(?U)(\w+)"), 1))
-    return tree.select("path", words.alias("token")).groupBy("token", "path").agg(F.count("*").alias("n"))
+    """token, path, n: occurrences in every file of a tree (path, text). Tokens are words, and runs of
+    word signs and ``$`` that hold a ``$``."""
+    words = F.concat(F.regexp_extract_all("text", F.lit(r"(?U)(\w+)"), 1), F.regexp_extract_all("text", F.lit(r"(?U)([\w$]*\$[\w$]*)"), 1))
+    return tree.select("path", F.explode(words).alias("token")).groupBy("token", "path").agg(F.count("*").alias("n"))
+
+
+def _dollar_counts(asked: DataFrame, counts: DataFrame) -> DataFrame:
+    """Counts of the symbols with a ``$`` (asked: symbol) at word boundaries: such a symbol begins and ends
+    at boundaries of a run, so the parts of a run between boundaries, no longer than the longest symbol, meet
+    the symbols in a join."""
+    runs = counts.where(F.contains("token", F.lit("$")))
+    longest = asked.agg(F.max(F.length("symbol")).alias("longest"))
+    runs = runs.crossJoin(F.broadcast(longest))  # one row
+    n = F.length("token")
+    is_word = lambda i: (i >= 1) & (i <= n) & (F.substring("token", i, F.lit(1)) != "$")
+    edges = F.filter(F.sequence(F.lit(1), n + 1), lambda i: is_word(i) != is_word(i - 1))
+    runs = runs.select("token", "path", "n", "longest", F.explode(F.array(edges)).alias("edges"))
+    ends = lambda i: F.filter("edges", lambda j: (j > i) & (j - i <= F.col("longest")))
+    parts = F.array_distinct(F.flatten(F.transform("edges", lambda i: F.transform(ends(i), lambda j: F.substring("token", i, j - i)))))
+    parts = runs.select("token", "path", "n", F.explode(F.filter(parts, lambda p: F.contains(p, F.lit("$")))).alias("symbol")).join(asked, "symbol")
+    pattern = F.concat(F.lit(r"(?U)\b\Q"), "symbol", F.lit(r"\E\b"))
+    return parts.groupBy("symbol", "path").agg(F.sum(F.col("n") * F.regexp_count("token", pattern)).alias("n")).select(F.col("symbol").alias("token"), "path", "n")
 
 
 def symbol_uses(hunks: DataFrame, counts: DataFrame) -> DataFrame:
     """diff_id, file_seq, hunk_seq, symbol, uses outside the hunk's own file. Distinct (symbol, path)
     pairs meet the tree's sums for each symbol, less the own file's: no pair of hunk and file is made."""
     key = ["diff_id", "file_seq", "hunk_seq"]
-    own = hunks.select(*key, "file_path", F.explode(symbols()).alias("symbol"))
-    everywhere = counts.groupBy("token").agg(F.sum("n").alias("all")).withColumnRenamed("token", "symbol")
-    here = counts.select(F.col("token").alias("symbol"), F.col("path").alias("file_path"), F.col("n").alias("own"))
-    out = own.join(everywhere, "symbol").join(here, ["symbol", "file_path"], "left")
-    return out.select(*key, "symbol", (F.col("all") - F.coalesce("own", F.lit(0))).alias("uses"))
+    own = hunks.select(*key, slashed("file_path").alias("file_path"), F.explode(symbols()).alias("symbol"))
+    asked = own.select("symbol", "file_path").distinct()
+    plain = counts.where(~F.contains("token", F.lit("$")))
+    counts = plain.unionByName(_dollar_counts(asked.select("symbol").where(F.contains("symbol", F.lit("$"))).distinct(), counts))
+    counts = counts.withColumnRenamed("token", "symbol").join(asked.select("symbol").distinct(), "symbol", "left_semi")
+    everywhere = counts.groupBy("symbol").agg(F.sum("n").alias("all"))
+    here = counts.select("symbol", F.col("path").alias("file_path"), F.col("n").alias("own"))
+    uses = asked.join(everywhere, "symbol").join(here, ["symbol", "file_path"], "left")
+    uses = uses.select("symbol", "file_path", (F.col("all") - F.coalesce("own", F.lit(0))).alias("uses"))
+    return own.join(uses, ["symbol", "file_path"]).select(*key, "symbol", "uses")
 
 
 def with_blast_radius(hunks: DataFrame, counts: DataFrame) -> DataFrame:
@@ -255,5 +323,3 @@ def with_blast_radius(hunks: DataFrame, counts: DataFrame) -> DataFrame:
     key = ["diff_id", "file_seq", "hunk_seq"]
     per = hit.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list("s")), lambda x: x["s"]).alias("_blast"))
     return hunks.join(per, key, "left").withColumn("signals", F.concat("signals", F.coalesce("_blast", none()))).drop("_blast")
-
-

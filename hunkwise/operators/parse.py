@@ -17,7 +17,11 @@ _LINE_END = r"\r\n|[\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 _HUNK = r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@(.*)"
 _BEFORE_HUNK = r"(?dm)^(?=@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@)"
 _FIELD = r"^(?:old mode |new mode |deleted file mode |new file mode |rename from |rename to |copy from |copy to |Binary files |GIT binary patch|--- |\+\+\+ )"
-_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "a": "\x07", "b": "\b", "f": "\f", "v": "\v"}
+_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "a": "\x07", "b": "\b", "f": "\f", "v": "\v", "\\": "\\", '"': '"', "'": "'"}
+#: What a quoted path is made of: escapes by number, other escapes, and plain text.
+_PART = r"""\\[0-7]{1,3}|\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+"""
+#: Escapes that cannot be read leave the path between the quotes as it is.
+_BROKEN = r"""^(?:[^\\]|\\[^xuU])*+(?:\\x(?![0-9A-Fa-f]{2})|\\u(?![0-9A-Fa-f]{4})|\\U(?!00(?:0[0-9A-Fa-f]|10)[0-9A-Fa-f]{4})|\\$)"""
 
 
 def records(diffs: DataFrame) -> DataFrame:
@@ -36,16 +40,20 @@ def records(diffs: DataFrame) -> DataFrame:
 
 
 def _unquoted(path: Column) -> Column:
-    """C escapes of a quoted path; octal ones are single characters."""
-    parts = F.regexp_extract_all(F.substring(path, 2, 1 << 20), F.lit(r"(\\[0-7]{3}|\\.|[^\\\"]+)"), 1)
+    """C escapes of a quoted path; those by number are single characters, unknown ones stay."""
+    inside = F.substring(path, F.lit(2), F.length(path) - 2)
+    parts = F.regexp_extract_all(inside, F.lit(f"(?s)({_PART})"), 1)
 
     def plain(p: Column) -> Column:
-        out = F.when(F.rlike(p, F.lit(r"^\\[0-7]{3}$")), F.char(F.conv(F.substring(p, 2, 3), 8, 10).cast("int")))
+        number = F.when(F.rlike(p, F.lit(r"^\\[0-7]")), F.conv(F.substring(p, 2, 3), 8, 10)).when(F.rlike(p, F.lit(r"^\\[xuU]")), F.conv(F.substring(p, 3, 8), 16, 10)).cast("int")
+        # one character of any plane, by its four UTF-32 bytes; half of a surrogate pair is none
+        out = F.when(number.between(0xD800, 0xDFFF), "\ufffd").when(number.isNotNull(), F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
         for name, value in _ESCAPES.items():
             out = out.when(p == F.lit("\\" + name), F.lit(value))
-        return out.when(F.startswith(p, F.lit("\\")), F.substring(p, 2, 1)).otherwise(p)
+        return out.otherwise(p)
 
-    return F.when(F.startswith(path, F.lit('"')) & F.endswith(path, F.lit('"')) & (F.length(path) > 1), F.array_join(F.transform(parts, plain), "")).otherwise(path)
+    quoted = F.startswith(path, F.lit('"')) & F.endswith(path, F.lit('"')) & (F.length(path) > 1)
+    return F.when(quoted & F.rlike(inside, F.lit(_BROKEN)), inside).when(quoted, F.array_join(F.transform(parts, plain), "")).otherwise(path)
 
 
 def _path(value: Column) -> Column:
@@ -107,7 +115,7 @@ def parse_hunks(diffs: DataFrame) -> DataFrame:
     hunks = recs.select(
         "diff_id", "file_seq", "hunk_seq", "file_path", "change_type",
         number(1).alias("old_start"), number(2).alias("old_lines"), number(3).alias("new_start"), number(4).alias("new_lines"),
-        F.trim(part(5)).alias("heading"), kept.alias("_body"),
+        part(5).alias("heading"), kept.alias("_body"),
     )
     count = lambda sign: F.size(F.filter("_body", lambda x: F.startswith(x, F.lit(sign))))
     hunks = hunks.withColumns({"body": F.array_join("_body", "\n"), "added": count("+"), "removed": count("-")}).drop("_body")
@@ -123,7 +131,7 @@ def with_id(hunks: DataFrame) -> DataFrame:
 def header() -> Column:
     """A hunk's header line again: counts of 1 are left out."""
     count = lambda c: F.when(F.col(c) == 1, "").otherwise(F.concat(F.lit(","), F.col(c).cast("string")))
-    heading = F.when(F.col("heading") == "", "").otherwise(F.concat(F.lit(" "), "heading"))
+    heading = F.when((F.col("heading") == "") | F.startswith("heading", F.lit(" ")), F.col("heading")).otherwise(F.concat(F.lit(" "), "heading"))
     return F.concat(F.lit("@@ -"), F.col("old_start").cast("string"), count("old_lines"), F.lit(" +"), F.col("new_start").cast("string"), count("new_lines"), F.lit(" @@"), heading)
 
 

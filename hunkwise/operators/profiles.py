@@ -32,14 +32,34 @@ PROFILES = {
     "security": {"auth": 1.5, "crypto": 1.5, "env": 1.5, "deps": 1.3, "lockfile": 1.2},
 }
 
+#: What a profile may weigh.
+CATEGORIES = ("auth", "crypto", "migration", "sql", "ci", "container", "deps", "lockfile", "env", "frontend")
+
+
+class ProfileError(ValueError):
+    """A profile that is not known, or not one."""
+
+
+def checked(custom: Mapping[str, Mapping[str, float]]) -> dict[str, dict[str, float]]:
+    """Custom profiles, whose categories are known and whose multipliers are numbers from 0 on."""
+    for name, by in custom.items():
+        if not isinstance(by, Mapping):
+            raise ProfileError(f"profile {name!r} is not a table of category = multiplier")
+        for category, m in by.items():
+            if category not in CATEGORIES:
+                raise ProfileError(f"profile {name!r}: unknown category {category!r}; there are {', '.join(CATEGORIES)}")
+            if isinstance(m, bool) or not isinstance(m, int | float) or not m >= 0:
+                raise ProfileError(f"profile {name!r}: the multiplier of {category!r} must be a number from 0 on, not {m!r}")
+    return {name: {c: float(m) for c, m in by.items()} for name, by in custom.items()}
+
 
 def composed(names: Iterable[str], custom: Mapping[str, Mapping[str, float]] | None = None) -> dict[str, float]:
     """The product of the named profiles, category by category."""
-    known = {**PROFILES, **(custom or {})}
+    known = {**PROFILES, **checked(custom or {})}
     out: dict[str, float] = {}
-    for name in names:
+    for name in filter(None, map(str.strip, names)):
         if name not in known:
-            raise ValueError(f"unknown profile {name!r}; there are {', '.join(sorted(known))}")
+            raise ProfileError(f"unknown profile {name!r}; there are {', '.join(sorted(known))}")
         for category, by in known[name].items():
             out[category] = out.get(category, 1.0) * by
     return out

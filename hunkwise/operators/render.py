@@ -1,44 +1,168 @@
-"""Rows and documents for people and tools. Documents are per diff, as long as its own text."""
+"""Rows and documents for people and tools, from ranked hunks. Documents are per diff, as long as its own text.
+
+A diff without hunks has no rows. Where ``diffs`` (diff_id) are given, documents say so for them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hunkwise.operators.budgets import tokens
+from hunkwise.operators.budgets import Budget, TimeModel, duration, tokens
 from hunkwise.operators.parse import header
-from hunkwise.operators.score import why
+from hunkwise.operators.score import TIERS, why
 
-# Fixed values of the presentations.
+#: The name that documents bear.
+NAME = "hunkwise"
+# Fixed values of the presentations: marks of the tiers, words, widths and table heads.
+LABEL = {"gulp": "GULP", "sip": "SIP ", "savor": "SAVR"}
 EMOJI = {"gulp": "🔴", "sip": "🟡", "savor": "🟢"}
 LEVEL = {"gulp": "error", "sip": "warning", "savor": "note"}
 QUIET = "no notable signals — skim-safe"
-SAFE_RULE = "skim-safe"
-BAR_CELLS = 20
+SAFE_RULE, SAFE_MESSAGE = "skim-safe", "No notable risk signals — skim-safe."
+BAR_CELLS, WIDTH, LEAST_WIDTH, LEAST_WHY, MOST_RULE = 20, 100, 40, 24, 120
 TABLE_HEAD = "| | # | Tier | Score | Location | Why |\n|---|---:|---|---:|---|---|"
-MARKER = "<!-- hunkwise:review-menu -->"
+RULE_TEXTS = {
+    "size": "The hunk changes a large number of lines.",
+    "surface": "The hunk touches a sensitive surface (auth, CI, config, infra, ...).",
+    "danger": "The hunk contains a risky construct (eval/exec, secrets, a large deletion, ...).",
+    "blast-radius": "The hunk changes a symbol used widely elsewhere in the repo.",
+    "hotspots": "The hunk lands in a historically bug-prone file (high churn / fix frequency).",
+    "skim-safe": "No notable risk signals fired — this hunk is skim-safe.",
+}
+SARIF_VERSION = "2.1.0"
+SARIF_SCHEMA = "https://raw.githubusercontent.com/oasis-tcs/sarif-spec/main/sarif-2.1/schema/sarif-schema-2.1.0.json"
+PREAMBLE = (
+    "# Code review — highest-risk hunks first\n\nReview the following diff hunks, **in order** — they are ranked most-risky-first by {name}'s heuristics "
+    "(size, changed surface, and dangerous patterns). Each hunk lists *why* it was flagged. Focus your attention on the earlier, higher-risk hunks; "
+    "call out real bugs, security issues, and risky changes."
+)
+# Terminal colours.
+COLOURS = {"gulp": "1;31", "sip": "33", "savor": "32"}
+
+_LEAST = dict(TIERS)
 
 
 def _chosen(values: dict[str, str]) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col("tier"))
 
 
+def _text(*parts: Column | str | int) -> Column:
+    return F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+
+
+def _plural(n: Column, word: str) -> Column:
+    return F.when(n == 1, word).otherwise(word + "s")
+
+
 def location() -> Column:
-    return F.concat("file_path", F.lit(":"), F.col("new_start").cast("string"))
+    return _text(F.col("file_path"), ":", F.col("new_start"))
+
+
+def _completed(documents: DataFrame, diffs: DataFrame | None, empty: str) -> DataFrame:
+    if diffs is None:
+        return documents
+    return diffs.select("diff_id").join(documents, "diff_id", "left").select("diff_id", F.coalesce("document", F.lit(empty)).alias("document"))
+
+
+def _in_rank(rows: Column, of: str = "row") -> Column:
+    """Collected structs (rank, row) as their rows in order."""
+    return F.transform(F.array_sort(rows), lambda x: x[of])
+
+
+# ---- JSON
+
+
+def _json_fields() -> Column:
+    return F.struct("id", F.col("file_path").alias("file"), "old_start", "new_start", "added", "removed", "score", "raw", "signals")
 
 
 def json_rows(hunks: DataFrame) -> DataFrame:
     """diff_id, rank, json: one object for each hunk."""
-    fields = F.struct("id", F.col("file_path").alias("file"), "old_start", "new_start", "added", "removed", "score", "raw", "signals")
-    return hunks.select("diff_id", "rank", F.to_json(fields).alias("json"))
+    return hunks.select("diff_id", "rank", F.to_json(_json_fields()).alias("json"))
+
+
+def json_documents(hunks: DataFrame, diffs: DataFrame | None = None) -> DataFrame:
+    """diff_id, document: an array of a diff's hunks, ranked."""
+    per = hunks.groupBy("diff_id").agg(F.to_json(_in_rank(F.collect_list(F.struct("rank", _json_fields().alias("row"))))).alias("document"))
+    return _completed(per, diffs, "[]")
+
+
+# ---- text menu
+
+
+def bar(full: str = "#", rest: str = " ") -> Column:
+    cells = F.least(F.lit(BAR_CELLS), F.greatest(F.lit(0), F.bround(F.col("score") / 100 * BAR_CELLS).cast("int")))
+    return F.concat(F.repeat(F.lit(full), cells), F.repeat(F.lit(rest), F.lit(BAR_CELLS) - cells))
 
 
 def text_rows(hunks: DataFrame) -> DataFrame:
-    """diff_id, rank, tier, score, bar, location, why."""
-    full = F.bround(F.col("score") * BAR_CELLS / 100).cast("int")
-    bar = F.concat(F.repeat(F.lit("█"), full), F.repeat(F.lit("░"), F.lit(BAR_CELLS) - full))
-    reasons = F.when(F.size("signals") == 0, QUIET).otherwise(why())
-    return hunks.select("diff_id", "rank", "tier", "score", bar.alias("bar"), location().alias("location"), reasons.alias("why"))
+    """diff_id, rank, label, score, bar, why: location and reasons, not yet wrapped."""
+    reasons = F.when(F.size("signals") == 0, f"({QUIET})").otherwise(why())
+    return hunks.select("diff_id", "rank", _chosen(LABEL).alias("label"), "score", _text("[", bar(), "]").alias("bar"), _text(location(), "  ", reasons).alias("why"))
+
+
+def wrapped(text: Column, width: Column) -> Column:
+    """Lines of at most ``width`` characters, broken at white space only; a longer word is a line of its own."""
+    spaced = F.regexp_extract_all(F.translate(text, "\t\n\x0b\x0c\r", "     "), F.lit(r"( *)([^ ]+)"), 0)
+    word = lambda x: F.ltrim(x)
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))
+
+    def put(s: Column, x: Column) -> Column:
+        fits = (s["line"] == "") | (F.char_length(s["line"]) + F.char_length(x) <= width)
+        first = (s["line"] == "") & (F.size(s["done"]) > 0)
+        return F.struct(
+            F.when(fits, s["done"]).otherwise(F.array_append(s["done"], s["line"])).alias("done"),
+            F.when(fits & ~first, F.concat(s["line"], x)).otherwise(word(x)).alias("line"),
+        )
+
+    return F.aggregate(spaced, start, put, lambda s: F.array_append(s["done"], s["line"]))
+
+
+def _head_counts(of_files: str = "files") -> list[Column]:
+    return [F.count("*").alias("n"), F.countDistinct("file_path").alias(of_files), F.max("score").alias("top")]
+
+
+def menu(hunks: DataFrame, budget: Budget | None = None, width: int = WIDTH, color: bool = False, diffs: DataFrame | None = None, name: str = NAME, model: TimeModel = TimeModel()) -> DataFrame:
+    """diff_id, document: the ranked menu for a terminal, with a cut line where ``hunks`` are marked by ``within``.
+
+    ``color`` adds terminal colours and fuller bars; the words are the same.
+    """
+    total_width = max(LEAST_WIDTH, width)
+    paint = (lambda x, code: F.concat(F.lit("\x1b["), code, F.lit("m"), x, F.lit("\x1b[0m"))) if color else (lambda x, code: x)
+    n = F.count("*").over(Window.partitionBy("diff_id"))  # the rows of one diff, which is a row of the source
+    index_width = F.greatest(F.lit(2), F.length(n.cast("string")))
+    rows = hunks.withColumns({"_n": n, "_index": index_width})
+    gutter = F.col("_index") + (2 + 2 + 4 + 2 + 3 + 2 + BAR_CELLS + 2 + 2)
+    why_width = F.greatest(F.lit(LEAST_WHY), F.lit(total_width) - gutter)
+    rule = F.least(F.lit(MOST_RULE), gutter + why_width)
+    reasons = F.when(F.size("signals") == 0, f"({QUIET})").otherwise(why())
+    cells = F.concat(paint(bar("█", "░"), _chosen(COLOURS)), F.lit("  ")) if color else _text("[", bar(), "]")
+    left = _text("  ", F.lpad(F.col("rank").cast("string"), F.col("_index"), F.lit(" ")), "  ", paint(_chosen(LABEL), _chosen(COLOURS)), "  ", F.lpad(F.col("score").cast("string"), 3, " "), "  ", cells, "  ")
+    lines = wrapped(_text(location(), "  ", reasons), why_width)
+    row = F.concat(left, F.array_join(F.transform(lines, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.repeat(F.lit(" "), gutter), x))), "\n"))
+    columns = [row.alias("row"), "diff_id", "rank", "file_path", "score", gutter.alias("gutter"), rule.alias("rule")]
+    aggregates = [*_head_counts(), F.first("gutter").alias("gutter"), F.first("rule").alias("rule"), F.collect_list(F.struct("rank", "row")).alias("rows")]
+    if budget is not None:
+        columns += [F.when(F.col("reviewed"), 1).otherwise(0).alias("above"), F.when(F.col("reviewed"), model.seconds()).otherwise(0.0).alias("seconds")]
+        aggregates += [F.sum("above").alias("cut"), F.sum("seconds").alias("spent")]
+    per = rows.select(*columns).groupBy("diff_id").agg(*aggregates)
+    listed = _in_rank(F.col("rows"))
+    if budget is not None:
+        spec = _text("budget ", F.col("cut"), " of ", F.col("n"), " hunks") if budget.hunks is not None else _text("budget ", duration(F.lit(float(budget.seconds or 0))), " · ≈", duration(F.col("spent")), " above")
+        said = _text("─ cut: review ", F.col("cut"), " above · skim ", F.col("n") - F.col("cut"), " below · ", spec, " ")
+        said = F.rpad(said, F.greatest(F.col("rule"), F.char_length(said)), F.lit("─"))
+        cut = F.col("cut").cast("int")
+        listed = F.when((cut > 0) & (cut < F.col("n")), F.concat(F.slice(listed, 1, cut), F.array(said), F.slice(listed, cut + 1, F.size(listed)))).otherwise(listed)
+    summary = _text(f"🍷 {name} — ", F.col("n"), " ", _plural(F.col("n"), "hunk"), " across ", F.col("files"), " ", _plural(F.col("files"), "file"), " · top risk ", F.col("top"))
+    index = F.col("gutter") - (2 + 2 + 4 + 2 + 3 + 2 + BAR_CELLS + 2 + 2)
+    table_head = _text("  ", F.lpad(F.lit("#"), index.cast("int"), F.lit(" ")), "  TIER  SCR  ", f"{'RISK':<{BAR_CELLS + 2}}", "  WHY")
+    legend = f"Tiers: GULP (read first, ≥{_LEAST['gulp']}) · SIP (read, ≥{_LEAST['sip']}) · SAVR (skim-safe, <{_LEAST['sip']}).  Listed most-risky-first."
+    parts = F.concat(F.array(summary, F.lit(""), table_head, F.repeat(F.lit("─"), F.col("rule"))), listed, F.array(F.lit(""), F.lit(legend)))
+    return _completed(per.select("diff_id", F.array_join(parts, "\n").alias("document")), diffs, f"{name} — nothing to taste (0 hunks). Pipe a diff to get a menu.")
+
+
+# ---- Markdown
 
 
 def _cell(text: Column) -> Column:
@@ -46,59 +170,99 @@ def _cell(text: Column) -> Column:
 
 
 def markdown_rows(hunks: DataFrame) -> DataFrame:
-    """diff_id, rank, tier, row: lines of a reading list."""
+    """diff_id, rank, tier, file_path, score, row: lines of a reading list."""
     reasons = F.when(F.size("signals") == 0, f"_{QUIET}_").otherwise(_cell(why()))
-    row = F.concat(F.lit("| [ ] | "), F.col("rank").cast("string"), F.lit(" | "), _chosen(EMOJI), F.lit(" "), "tier", F.lit(" | "), F.col("score").cast("string"), F.lit(" | `"), _cell(location()), F.lit("` | "), reasons, F.lit(" |"))
+    row = _text("| [ ] | ", F.col("rank"), " | ", _chosen(EMOJI), " ", F.col("tier"), " | ", F.col("score"), " | `", _cell(location()), "` | ", reasons, " |")
     return hunks.select("diff_id", "rank", "tier", "file_path", "score", row.alias("row"))
 
 
-def _lines(of: Column) -> Column:
-    return F.array_join(F.transform(F.array_sort(of), lambda x: x["row"]), "\n")
+def marker(name: str = NAME) -> str:
+    """A hidden first line, by which a tool finds its own comment again."""
+    return f"<!-- {name}:review-menu -->"
 
 
-def markdown(hunks: DataFrame) -> DataFrame:
-    """diff_id, document: what to read, and what may be skimmed behind a fold."""
+def markdown(hunks: DataFrame, title: str | None = None, fail_over: int | None = None, diffs: DataFrame | None = None, name: str = NAME) -> DataFrame:
+    """diff_id, document: what to read, what may be skimmed behind a fold, and the gate's verdict."""
     item = F.struct("rank", "row")
     per = markdown_rows(hunks).groupBy("diff_id").agg(
-        F.count("*").alias("n"), F.countDistinct("file_path").alias("files"), F.max("score").alias("top"),
-        F.collect_list(F.when(F.col("tier") != "savor", item)).alias("read"), F.collect_list(F.when(F.col("tier") == "savor", item)).alias("skim"),
-    )
-    plural = lambda c, word: F.concat(F.lit("**"), F.col(c).cast("string"), F.when(F.col(c) == 1, f" {word}").otherwise(f" {word}s"), F.lit("**"))
-    head = F.concat(F.lit(MARKER + "\n"), plural("n", "hunk"), F.lit(" across "), plural("files", "file"), F.lit(" · top risk **"), F.col("top").cast("string"), F.lit("**\n"))
-    table = lambda c: F.concat(F.lit("\n" + TABLE_HEAD + "\n"), _lines(F.col(c)), F.lit("\n"))
-    fold = F.concat(F.lit("\n<details><summary>"), F.size("skim").cast("string"), F.lit(" to skim</summary>\n"), table("skim"), F.lit("\n</details>\n"))
-    return per.select("diff_id", F.concat(head, F.when(F.size("read") > 0, table("read")).otherwise(""), F.when(F.size("skim") > 0, fold).otherwise("")).alias("document"))
+        *_head_counts(), F.collect_list(F.when(F.col("tier") != "savor", item)).alias("read"), F.collect_list(F.when(F.col("tier") == "savor", item)).alias("skim"),
+    )
+    lead = f"{marker(name)}\n## {title or f'🍷 {name} — review-order menu'}\n\n"
+    n, files, top = F.col("n"), F.col("files"), F.col("top")
+    head = _text(lead, "**", n, " ", _plural(n, "hunk"), "** across **", files, " ", _plural(files, "file"), "** · top risk **", top, "**\n\n### Read these first\n\n")
+    table = lambda c: _text(TABLE_HEAD, "\n", F.array_join(_in_rank(F.col(c)), "\n"), "\n")
+    reading = F.when(F.size("read") > 0, _text("_In recommended reading order, most-risky-first._\n\n", table("read"), "\n")).otherwise("_Nothing rises above skim level — the whole diff is low-risk._ 🎉\n\n")
+    skims = F.size("skim")
+    fold = F.when(skims > 0, _text("<details>\n<summary>🟢 Skim-safe · ", skims, " ", _plural(skims, "hunk"), " (low risk)</summary>\n\n", table("skim"), "\n</details>\n\n")).otherwise("")
+    gate = F.lit("")
+    if fail_over is not None:
+        tripped = _text("> ⛔ **CI gate:** a hunk scored **", top, f"** (≥ `{fail_over}`). Make sure it gets a real read before merging.\n\n")
+        gate = F.when(top >= fail_over, tripped).otherwise(_text("> ✅ **CI gate:** top risk **", top, f"** is under the `{fail_over}` threshold.\n\n"))
+    legend = f"<sub>Tiers: 🔴 gulp (read first, ≥{_LEAST['gulp']}) · 🟡 sip (read, ≥{_LEAST['sip']}) · 🟢 savor (skim-safe, <{_LEAST['sip']}). Ranked by risk + surprise · {name}</sub>"
+    return _completed(per.select("diff_id", F.concat(head, reading, fold, gate, F.lit(legend)).alias("document")), diffs, f"{lead}_Nothing to taste — no hunks in this diff._ 🥂")
+
+
+# ---- SARIF
 
 
 def sarif_results(hunks: DataFrame) -> DataFrame:
-    """diff_id, rank, rule_id, level, message, uri, start_line, end_line, score."""
+    """diff_id, rank, rule_id, level, message, uri, start_line, end_line, score, tier, hunk_id."""
     first = F.get(F.filter("signals", lambda s: s["points"] > 0), F.lit(0))["rule"]
     start = F.greatest(F.lit(1), F.col("new_start"))
     span = F.when(F.col("new_lines") == 0, 1).otherwise(F.col("new_lines"))
-    message = F.when(F.size("signals") == 0, QUIET).otherwise(F.array_join(F.transform("signals", lambda s: s["reason"]), "; "))
-    return hunks.select("diff_id", "rank", F.coalesce(first, F.lit(SAFE_RULE)).alias("rule_id"), _chosen(LEVEL).alias("level"), message.alias("message"), F.col("file_path").alias("uri"), start.alias("start_line"), (start + span - 1).alias("end_line"), "score")
+    message = F.when(F.size("signals") == 0, SAFE_MESSAGE).otherwise(F.array_join(F.transform("signals", lambda s: s["reason"]), "; "))
+    return hunks.select(
+        "diff_id", "rank", F.coalesce(first, F.lit(SAFE_RULE)).alias("rule_id"), _chosen(LEVEL).alias("level"), message.alias("message"), F.col("file_path").alias("uri"),
+        start.alias("start_line"), (start + span - 1).alias("end_line"), "score", "tier", F.col("id").alias("hunk_id"),
+    )
 
 
-def sarif(hunks: DataFrame, version: str = "0.1.0") -> DataFrame:
-    """diff_id, document: a SARIF 2.1.0 log for each diff."""
+def sarif(hunks: DataFrame, title: str | None = None, fail_over: int | None = None, diffs: DataFrame | None = None, name: str = NAME, version: str = "0.1.0", information_uri: str | None = None) -> DataFrame:
+    """diff_id, document: a SARIF log for each diff, with a result for each hunk and a catalogue of their rules."""
     region = F.struct(F.col("start_line").alias("startLine"), F.col("end_line").alias("endLine"))
-    place = F.struct(F.struct(F.struct(F.col("uri").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
-    result = F.struct("rank", F.struct(F.col("rule_id").alias("ruleId"), F.col("level").alias("level"), F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"), F.struct("score", "rank").alias("properties")).alias("r"))
-    per = sarif_results(hunks).groupBy("diff_id").agg(F.transform(F.array_sort(F.collect_list(result)), lambda x: x["r"]).alias("results"), F.transform(F.array_sort(F.collect_set("rule_id")), lambda r: F.struct(r.alias("id"))).alias("rules"))
-    driver = F.struct(F.lit("hunkwise").alias("name"), F.lit(version).alias("version"), "rules")
-    log = F.struct(F.lit("2.1.0").alias("version"), F.array(F.struct(F.struct(driver.alias("driver")).alias("tool"), "results")).alias("runs"))
+    place = F.struct(F.struct(F.struct("uri").alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
+    bag = F.struct("score", "tier", F.col("hunk_id").alias("hunkId"))
+    result = F.struct(F.col("rule_id").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"), F.array(place).alias("locations"), bag.alias("properties"))
+    texts = F.create_map(*[F.lit(x) for kv in RULE_TEXTS.items() for x in kv])
+    rule = lambda r: F.struct(r.alias("id"), r.alias("name"), F.struct(F.coalesce(F.try_element_at(texts, r), r).alias("text")).alias("shortDescription"))
+    per = sarif_results(hunks).groupBy("diff_id").agg(
+        _in_rank(F.collect_list(F.struct("rank", result.alias("row")))).alias("results"), F.transform(F.array_sort(F.collect_set("rule_id")), rule).alias("rules")
+    )
+    if diffs is not None:
+        per = diffs.select("diff_id").join(per, "diff_id", "left")
+        per = per.select("diff_id", *[F.coalesce(c, F.array().cast(per.schema[c].dataType)).alias(c) for c in ("results", "rules")])
+    about = [F.lit(name).alias("name")] + ([F.lit(information_uri).alias("informationUri")] if information_uri else [])
+    run = [F.struct(F.struct(*about, "rules", F.lit(version).alias("version")).alias("driver")).alias("tool"), F.col("results")]
+    properties = ([F.lit(title).alias("title")] if title is not None else []) + ([F.lit(fail_over).alias("failOver")] if fail_over is not None else [])
+    if properties:
+        run.append(F.struct(*properties).alias("properties"))
+    log = F.struct(F.lit(SARIF_SCHEMA).alias("$schema"), F.lit(SARIF_VERSION).alias("version"), F.array(F.struct(*run)).alias("runs"))
     return per.select("diff_id", F.to_json(log).alias("document"))
 
 
+# ---- bundle for a model
+
+
 def bundle_blocks(hunks: DataFrame) -> DataFrame:
     """Ranked hunks with block, the text of each in a bundle for a model, and its tokens."""
     reasons = F.when(F.size("signals") == 0, QUIET).otherwise(why())
-    block = F.concat(F.lit("## "), F.col("rank").cast("string"), F.lit(". "), location(), F.lit(" — score "), F.col("score").cast("string"), F.lit(" ("), "tier", F.lit(")\nWhy: "), reasons, F.lit("\n```diff\n"), header(), F.lit("\n"), "body", F.lit("\n```"))
+    body = F.regexp_replace("body", r"\n+\z", "")
+    block = _text("### ", F.col("rank"), ". ", location(), " — ", F.col("tier"), " (risk ", F.col("score"), ")\nwhy: ", reasons, "\n\n```diff\n", header(), "\n", body, "\n```")
     return hunks.withColumn("block", block).withColumn("tokens", tokens(F.col("block")))
 
 
-def bundle(marked: DataFrame) -> DataFrame:
-    """diff_id, document: the blocks that a budget takes (``within`` over ``bundle_blocks``)."""
-    item = F.struct("rank", F.col("block").alias("row"))
-    per = marked.groupBy("diff_id").agg(F.collect_list(F.when(F.col("reviewed"), item)).alias("blocks"), F.count_if(~F.col("reviewed")).alias("left"))
-    return per.select("diff_id", F.concat(F.lit("# Review these hunks first\n\n"), F.array_join(F.transform(F.array_sort("blocks"), lambda x: x["row"]), "\n\n"), F.lit("\n\n"), F.col("left").cast("string"), F.lit(" more hunks left out\n")).alias("document"))
+def block_cost() -> Column:
+    """Tokens of a block and of the blank line after it."""
+    return F.col("tokens") + 2
+
+
+def bundle(marked: DataFrame, title: str | None = None, diffs: DataFrame | None = None, name: str = NAME) -> DataFrame:
+    """diff_id, document: the blocks that a budget takes (``within`` over ``bundle_blocks``, at ``block_cost``)."""
+    per = marked.groupBy("diff_id").agg(F.collect_list(F.when(F.col("reviewed"), F.struct("rank", F.col("block").alias("row")))).alias("blocks"), F.count("*").alias("n"))
+    n, taken = F.col("n"), F.size("blocks")
+    lead = PREAMBLE.replace("{name}", name) + (f"\n\n**Stated intent:** {title.strip()}" if title else "")
+    left = n - taken
+    reached = _text("_Budget reached: showing the ", taken, " highest-risk of ", n, " hunks; ", left, " lower-risk ", _plural(left, "hunk"), " omitted._")
+    end = F.when(left > 0, reached).otherwise(_text("_All ", n, " ", _plural(n, "hunk"), " fit within the budget._"))
+    document = _text(lead, "\n\n", F.array_join(_in_rank(F.col("blocks")), "\n\n"), "\n\n", end)
+    return _completed(per.select("diff_id", document.alias("document")), diffs, f"{lead}\n\n_No hunks in this diff — nothing to review._")

@@ -67,9 +67,14 @@ def budget_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("total_text", budgets.duration(F.col("total_seconds")))
 
 
-def context_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    blocks = render.bundle_blocks(_reviewed(spark, sf_dir))
-    return budgets.within(blocks, budgets.Budget(tokens=TOKENS), F.col("tokens") + 2).select(*KEY, "rank", "tokens", "spent", "reviewed")
+def _taken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return budgets.within(render.bundle_blocks(_reviewed(spark, sf_dir)), budgets.parse_context_budget(f"{TOKENS}tok"), render.block_cost())
+
+
+def menu_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide enough that no row wraps."""
+    budget = budgets.Budget(seconds=SECONDS)
+    return render.menu(budgets.within(_reviewed(spark, sf_dir), budget), budget, width=5000)
 
 
 def tier_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +132,7 @@ QUERIES: dict[str, Query] = {
     "budget_count": lambda s, d: budgets.within(_reviewed(s, d), budgets.Budget(hunks=HUNKS)).select(*KEY, "rank", "reviewed"),
     "budget_time": budget_time,
     "budget_summary": budget_summary,
-    "context_tokens": context_tokens,
+    "context_tokens": lambda s, d: _taken(s, d).select(*KEY, "rank", "tokens", "spent", "reviewed"),
     "fail_over": lambda s, d: score.gate(_reviewed(s, d), GATE),
     "tier_histogram": tier_histogram,
     "menu_summary": lambda s, d: score.summary(_reviewed(s, d)),
@@ -135,10 +140,13 @@ QUERIES: dict[str, Query] = {
     "echo_notes": echo_notes,
     "json_rows": json_rows,
     "text_rows": lambda s, d: render.text_rows(_reviewed(s, d)),
+    "menu_documents": menu_documents,
+    "json_documents": lambda s, d: render.json_documents(_reviewed(s, d)),
     "markdown_rows": lambda s, d: render.markdown_rows(_reviewed(s, d)),
-    "markdown_documents": lambda s, d: render.markdown(_reviewed(s, d)),
+    "markdown_documents": lambda s, d: render.markdown(_reviewed(s, d), fail_over=GATE),
     "sarif_results": lambda s, d: render.sarif_results(_reviewed(s, d)),
-    "sarif_documents": lambda s, d: render.sarif(_reviewed(s, d)),
+    "sarif_documents": lambda s, d: render.sarif(_reviewed(s, d), fail_over=GATE),
+    "bundle_documents": lambda s, d: render.bundle(_taken(s, d), corpus.INTENT),
     "bundle_blocks": lambda s, d: render.bundle_blocks(_reviewed(s, d)).select(*KEY, "rank", F.md5(F.col("block").cast("binary")).alias("block_md5"), "tokens"),
     "file_churn": lambda s, d: context_rules.file_stats(corpus.commits(s, d)),
     "hotspots": _added_to_nothing(lambda s, d, h: context_rules.with_hotspots(h, context_rules.file_stats(corpus.commits(s, d)))),

@@ -11,13 +11,10 @@ from pyspark.sql import functions as F
 from hunkwise.functions.signals import weighted
 from hunkwise.operators import context_rules as ctx
 from hunkwise.operators.parse import parse_files, parse_hunks
-from hunkwise.operators.profiles import with_profiles
+from hunkwise.operators.profiles import checked, with_profiles
 from hunkwise.operators.rules import base_pack, with_text
 from hunkwise.operators.score import ranked, scored
-
-
-#: Names that weights may be given for.
-WEIGHTED = ("size", "surface", "danger", "blast-radius", "hotspots", "owners", "intent", "no-tests")
+from hunkwise.plans.config import checked_surfaces, checked_weights
 
 
 @dataclass(frozen=True)
@@ -37,12 +34,9 @@ class Options:
     custom_profiles: dict[str, dict[str, float]] = field(default_factory=dict)
 
     def __post_init__(self):
-        for name, w in self.weights.items():
-            if name not in WEIGHTED or isinstance(w, bool) or not isinstance(w, int | float) or w < 0:
-                raise ValueError(f"not a weight: {name} = {w!r}; there are {', '.join(WEIGHTED)}, from 0 on")
-        for pattern, points, reason in self.extra_surface:
-            if not pattern or not reason or isinstance(points, bool) or not isinstance(points, int) or points <= 0:
-                raise ValueError(f"not a surface: {pattern!r}, {points!r}, {reason!r}")
+        checked_weights(self.weights)
+        checked_surfaces(self.extra_surface)
+        checked(self.custom_profiles)
 
 
 def _adding(hunks: DataFrame, rule, weight: float) -> DataFrame:

@@ -1,51 +1,133 @@
-"""Where diffs and the tables beside them come from."""
+"""Where diffs and the tables beside them come from.
+
+Readers of folders are distributed. What git and the file system of one machine say about one
+repository is fetched by the driver, and is as long as that repository.
+"""
 
 from __future__ import annotations
 
+import os
 import subprocess
+from collections.abc import Callable, Iterable, Sequence
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed value: what separates commits in the log.
+# What separates commits in the log, bounds, places of CODEOWNERS, source files, and folders without any.
 COMMIT_MARK = "\x1e"
-MOST_COMMITS = 5000
+MOST_COMMITS, MOST_FILES, PR_SECONDS = 5000, 5000, 20
+CODEOWNERS_PLACES = (".github/CODEOWNERS", "CODEOWNERS", "docs/CODEOWNERS")
+SOURCE_EXTENSIONS = (
+    ".py", ".pyi", ".js", ".jsx", ".ts", ".tsx", ".mjs", ".cjs", ".go", ".rb", ".rs", ".java", ".kt", ".kts", ".c", ".h", ".cc", ".cpp", ".hpp", ".cs",
+    ".php", ".swift", ".scala", ".sh", ".bash", ".pl", ".pm", ".lua", ".r", ".m", ".mm", ".vue", ".svelte", ".sql", ".gradle", ".groovy",
+)
+SKIPPED_FOLDERS = (
+    ".git", ".hg", ".svn", "node_modules", ".venv", "venv", "__pycache__", ".mypy_cache", ".pytest_cache", ".ruff_cache", "dist", "build", ".tox", "target",
+    ".idea", ".gradle", "vendor", ".next", ".cache",
+)
+
+Run = Callable[..., "subprocess.CompletedProcess[str]"]
 
 
 class SourceError(RuntimeError):
-    pass
+    """A source that cannot be read, in words for the user."""
 
 
-def read_diffs(spark: SparkSession, path: str) -> DataFrame:
-    """diff_id (the file's path), text of every diff file below a path."""
-    files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    return files.select(F.col("_metadata.file_path").alias("diff_id"), F.col("value").alias("text"))
+def diffs_of(spark: SparkSession, texts: Iterable[tuple[str, str]]) -> DataFrame:
+    """diff_id, text of diffs that the driver holds, such as one from standard input."""
+    return spark.createDataFrame(list(texts), "diff_id string, text string")
+
 
+def _file_path() -> Column:
+    """The path of a row's file, as it is called in its file system."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
-def read_tree(spark: SparkSession, path: str, extensions: tuple[str, ...] = ()) -> DataFrame:
-    """path, text of every file below a path; ``extensions`` keeps only files that end so."""
+
+def read_diffs(spark: SparkSession, path: str, diff_id: Callable[[Column], Column] = lambda path: path) -> DataFrame:
+    """diff_id, text of every diff file below a path; ``diff_id`` names a diff by its file's path."""
     files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    out = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-    return out.where(F.rlike("path", F.lit("(?i)(?:" + "|".join(e.replace(".", r"\.") for e in extensions) + ")$"))) if extensions else out
+    return files.select(diff_id(_file_path()).alias("diff_id"), F.col("value").alias("text"))
+
+
+def _below(folder: str) -> Callable[[Column], Column]:
+    """Paths of files as they are called below a folder."""
+    base = "/" + folder.strip("/") + "/"
+    return lambda p: F.regexp_replace(p, "^.*?" + "".join(f"\\x{{{ord(c):x}}}" for c in base), "")
+
 
+def _is_source(path: Column, extensions: Sequence[str], skipped: Sequence[str]) -> Column:
+    name = F.substring_index(path, "/", -1)
+    extension = F.lower(F.regexp_extract(name, r"^.+(\.[^.]*)$", 1))
+    ok = extension.isin(*extensions) if extensions else F.lit(True)
+    return ok & ~F.arrays_overlap(F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(1))), F.array(*map(F.lit, skipped))) if skipped else ok
 
-def git_diff(repo: str, staged: bool = False, range_spec: str | None = None) -> str:
-    """The text of one diff, from git."""
-    args = ["git", "--no-pager", "diff", "--no-color", "--no-ext-diff", *(["--cached"] if staged else [range_spec] if range_spec else [])]
+
+def read_tree(spark: SparkSession, path: str, extensions: Sequence[str] = SOURCE_EXTENSIONS, skipped: Sequence[str] = SKIPPED_FOLDERS, most: int | None = None) -> DataFrame:
+    """path (below ``path``), text of the source files below a path.
+
+    Folders that hold none are left out. ``most`` keeps the first files in the order of their paths: a
+    limit that belongs to the feature, for trees that no version control bounds.
+    """
+    below = _below(path.split("://")[-1])
+    wanted = _is_source(below(_file_path()), extensions, skipped)
+    files = spark.read.option("recursiveFileLookup", True)
+    if most is None:
+        return files.text(path, wholetext=True).where(wanted).select(below(_file_path()).alias("path"), F.col("value").alias("text"))
+    listed = files.format("binaryFile").load(path).where(wanted).select(F.col("_metadata.file_path").alias("path")).orderBy("path").limit(most)
+    return _read_files(spark, [r.path for r in listed.collect()], below)  # at most ``most`` paths
+
+
+def _read_files(spark: SparkSession, paths: list[str], named: Callable[[Column], Column]) -> DataFrame:
+    if not paths:
+        return spark.createDataFrame([], "path string, text string")
+    return spark.read.text(paths, wholetext=True).select(named(_file_path()).alias("path"), F.col("value").alias("text"))
+
+
+def _git(repo: str, *args: str, run: Run = subprocess.run) -> str:
+    """What git says, or SourceError."""
+    argv = ["git", *args]
     try:
-        out = subprocess.run(args, cwd=repo, capture_output=True, text=True, check=False)
+        out = run(argv, cwd=repo, capture_output=True, text=True, check=False)
     except OSError as e:
-        raise SourceError(f"git cannot be run: {e}") from e
+        raise SourceError("git cannot be run; install it, or give a diff on standard input") from e
     if out.returncode:
-        said = out.stderr.strip()
-        if "not a git repository" in said.lower():
-            raise SourceError("not a git repository")
-        if "unknown revision" in said or "bad revision" in said:
-            raise SourceError(f"git does not know the revision {range_spec!r}")
-        raise SourceError(f"git diff failed with exit code {out.returncode}: {said}")
+        said = ((out.stderr or "").strip().splitlines() or [""])[0]
+        low = said.lower()
+        if "not a git repository" in low:
+            raise SourceError("not a git repository; run inside one, or give a diff on standard input")
+        if any(x in low for x in ("unknown revision", "bad revision", "ambiguous argument")):
+            raise SourceError(f"git does not know that range or revision: {said}")
+        raise SourceError(f"`{' '.join(argv)}` failed with exit code {out.returncode}{': ' + said if said else ''}")
     return out.stdout
 
 
+def git_diff(repo: str = ".", staged: bool = False, range_spec: str | None = None, run: Run = subprocess.run) -> str:
+    """The text of one diff, from git: of the index, of a range, or of the working tree."""
+    return _git(repo, "--no-pager", "diff", "--no-color", "--no-ext-diff", *(["--cached"] if staged else [range_spec] if range_spec else []), run=run)
+
+
+def tracked_files(repo: str = ".", run: Run = subprocess.run) -> list[str] | None:
+    """Paths that git tracks, or None outside a repository."""
+    try:
+        return [p for p in _git(repo, "ls-files", "-z", run=run).split("\0") if p]
+    except SourceError:
+        return None
+
+
+def repo_tree(spark: SparkSession, repo: str = ".", run: Run = subprocess.run) -> DataFrame | None:
+    """path, text of a repository's source files: those that git tracks, else those of a bounded walk. None if there are none."""
+    root = Path(repo).resolve()
+    if not root.is_dir():
+        return None
+    tracked = tracked_files(str(root), run)
+    if tracked is None:
+        tree = read_tree(spark, root.as_uri(), most=MOST_FILES)
+        return None if tree.isEmpty() else tree
+    wanted = [(root / p).as_uri() for p in tracked if os.path.splitext(p)[1].lower() in SOURCE_EXTENSIONS and (root / p).is_file()]
+    return _read_files(spark, wanted, _below(str(root))) if wanted else None
+
+
 def parse_log(log: DataFrame) -> DataFrame:
     """message, paths of every commit in logs (text), each commit started by ``COMMIT_MARK``.
     What follows a commit's last blank line are paths; without one, the first line is the message."""
@@ -56,10 +138,35 @@ def parse_log(log: DataFrame) -> DataFrame:
     return one.select(F.trim(message).alias("message"), F.filter(F.transform(F.split(rest, "\n"), F.trim), lambda p: p != "").alias("paths"))
 
 
-def git_log(spark: SparkSession, repo: str) -> DataFrame:
+def git_log(spark: SparkSession, repo: str = ".", run: Run = subprocess.run) -> DataFrame:
     """message, paths of the last commits without merges."""
-    args = ["git", "-C", repo, "log", "--no-merges", f"--max-count={MOST_COMMITS}", f"--format={COMMIT_MARK}%n%B", "--name-only"]
-    out = subprocess.run(args, capture_output=True, text=True, check=False)
-    if out.returncode:
-        raise SourceError(out.stderr.strip())
-    return parse_log(spark.createDataFrame([(out.stdout,)], "text string"))
+    said = _git(repo, "log", "--no-merges", f"--max-count={MOST_COMMITS}", f"--format={COMMIT_MARK}%n%B", "--name-only", run=run)
+    return parse_log(spark.createDataFrame([(said,)], "text string"))
+
+
+def repo_history(spark: SparkSession, repo: str = ".", run: Run = subprocess.run) -> DataFrame | None:
+    """As ``git_log``; None outside a repository and in one without commits."""
+    try:
+        log = git_log(spark, repo, run)
+    except SourceError:
+        return None
+    return None if log.isEmpty() else log
+
+
+def find_codeowners(root: str = ".") -> str | None:
+    """The text of the first CODEOWNERS file where such files may be."""
+    for place in CODEOWNERS_PLACES:
+        file = Path(root, place)
+        if file.is_file():
+            return file.read_text(encoding="utf-8", errors="replace")
+    return None
+
+
+def intent_from_pr(pr: str, repo: str | None = None, run: Run = subprocess.run) -> str | None:
+    """A pull request's title and body by the ``gh`` tool; None whenever that fails."""
+    argv = ["gh", "pr", "view", *(["-R", repo] if repo else []), pr, "--json", "title,body", "-q", '.title + "\\n" + .body']
+    try:
+        out = run(argv, capture_output=True, text=True, timeout=PR_SECONDS, check=False)
+    except (OSError, subprocess.SubprocessError):
+        return None
+    return (out.stdout.strip() or None) if out.returncode == 0 else None
