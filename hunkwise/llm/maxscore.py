@@ -24,7 +24,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SHARD, BLOCK = 8192, 256
+#: Vectors of a shard and queries of a block. A task holds one of each.
+SHARD, BLOCK = 8192, 16384
+#: Queries whose essential postings are traversed together, terms that are probed between two tests, and survivors that need no more tests.
+BATCH, STEP, FEW = 64, 8, 64
+#: Strongest terms whose heads, and best vectors after the traversal, give thresholds.
+STRONGEST, HEADS, SEEDS = 4, 32, 64
+LOWEST = -(2**62)
 
 
 def quantised(vector: Column, scale: int = 256) -> Column:
@@ -45,64 +51,69 @@ def _matrix(vectors: pd.Series, ids: np.ndarray, dims: int) -> tuple[np.ndarray,
 
 
 class Shard:
-    """An inverted index: for each dimension and sign the vectors that have it, and their weights."""
+    """An inverted index. A term is a dimension and a sign; its posting is the row of weights of the
+    vectors that have it, 0 for the others, and its bound the largest weight."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.columns = ids, np.ascontiguousarray(vectors.T)
-        self.postings = {}
-        for d, column in enumerate(self.columns):
-            for sign, at in ((1, np.flatnonzero(column > 0)), (-1, np.flatnonzero(column < 0))):
-                if len(at):
-                    weights = column[at]
-                    self.postings[d, sign] = at, weights, int(np.abs(weights).max())
-
-    def best(self, query: np.ndarray, own_id: int, k: int) -> list[tuple[int, int]]:
-        """The k best (score, id)."""
-        raising, lowering = [], []
-        for d in np.flatnonzero(query):
-            sign = 1 if query[d] > 0 else -1
-            if (d, sign) in self.postings:
-                raising.append((abs(int(query[d])) * self.postings[d, sign][2], int(d), sign))
-            if (d, -sign) in self.postings:
-                lowering.append((int(d), -sign))
-        raising.sort(key=lambda t: -t[0])
-        rest = np.concatenate((np.cumsum([t[0] for t in raising][::-1])[::-1], [0])) if raising else np.zeros(1)
-        others = self.ids != own_id
-        # a first threshold: full scores of the heads of the strongest postings
-        heads = [self.postings[d, s] for _, d, s in raising[:4]]
-        seeds = [at[np.argpartition(np.abs(w), -min(32, len(w)))[-min(32, len(w)) :]] for at, w, _ in heads]
-        seeds = np.unique(np.concatenate(seeds)) if seeds else np.zeros(0, np.int64)
-        seeds = seeds[others[seeds]]
-        scores = query @ self.columns[:, seeds]
-        least = int(np.partition(scores, -k)[-k]) if len(seeds) >= k else None
-        if least is None or least <= 0:
-            stay = np.flatnonzero(others)  # every vector competes
-            total = query @ self.columns[:, stay]
-        else:
-            essential = int(np.searchsorted(-rest, -least, side="right"))  # without these no vector reaches the threshold
-            partial = np.zeros(len(self.ids), np.int64)
-            met = np.zeros(len(self.ids), bool)
-            half = max(1, essential // 2)
-            for _, d, s in raising[:half]:
-                at, weights, _ = self.postings[d, s]
-                partial[at] += query[d] * weights
-                met[at] = True
-            for _, d, s in raising[half:essential]:
-                met[self.postings[d, s][0]] = True
-            met &= others
-            stay = np.flatnonzero(met & (partial + rest[half] >= least))
-            total, done = partial[stay], half
-            while done < len(raising) and len(stay):
-                step = raising[done : done + 6]
-                done += len(step)
-                for _, d, s in step:
-                    x = self.columns[d, stay]
-                    total = total + query[d] * (np.maximum(x, 0) if s > 0 else np.minimum(x, 0))
-                alive = total + rest[done] >= least
-                stay, total = stay[alive], total[alive]
-            for d, s in lowering:
-                x = self.columns[d, stay]
-                total = total + query[d] * (np.maximum(x, 0) if s > 0 else np.minimum(x, 0))
+        self.ids, self.vectors = ids, vectors
+        up = np.maximum(vectors.T, 0)
+        self.weights = np.ascontiguousarray(np.concatenate((up, up - vectors.T)))
+        self.bounds = self.weights.max(axis=1, initial=0)
+        # products of whole numbers are exact in doubles below 2**53, and much faster
+        self.float_weights = self.weights.astype(np.float64)
+        heads = min(HEADS, len(ids))
+        self.heads = np.argpartition(self.weights, len(ids) - heads, axis=1)[:, len(ids) - heads :] if heads else np.zeros((len(self.weights), 0), np.int64)
+
+    def best(self, queries: np.ndarray, own_ids: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
+        """The k best (score, id) for each query."""
+        asked = np.concatenate((np.maximum(queries, 0), np.maximum(-queries, 0)), axis=1)  # of the terms that raise its score
+        bounds = asked * self.bounds
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        falling = np.take_along_axis(bounds, order, axis=1)
+        # rest[q, i]: what a query's terms from its i-th strongest on can add at most
+        rest = np.concatenate((np.cumsum(falling[:, ::-1], axis=1)[:, ::-1], np.zeros((len(queries), 1), np.int64)), axis=1)
+        exact = int(np.abs(asked).sum(axis=1).max(initial=0)) * int(self.bounds.max(initial=0)) < 2**53
+        out = []
+        for lo in range(0, len(queries), BATCH):
+            part = range(lo, min(lo + BATCH, len(queries)))
+            least = np.array([self._first_threshold(queries[q], order[q], own_ids[q], k) for q in part])
+            # essential terms: without them no vector reaches the threshold
+            essential = (rest[lo : part.stop, :-1] >= least[:, None]).sum(axis=1)
+            chosen = np.zeros((len(part), asked.shape[1]), np.int64)
+            for i, q in enumerate(part):
+                at = order[q, : essential[i]]
+                chosen[i, at] = asked[q, at]
+            traversed = chosen.astype(np.float64) @ self.float_weights if exact else chosen @ self.weights
+            for i, q in enumerate(part):
+                out.append(self._probe(queries[q], asked[q], order[q], rest[q], int(essential[i]), traversed[i], int(least[i]), own_ids[q], k))
+        return out
+
+    def _full(self, query: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return self.vectors[at] @ query
+
+    def _first_threshold(self, query: np.ndarray, order: np.ndarray, own_id: int, k: int) -> int:
+        """The k-th best full score among the heads of the strongest postings; very low where they are fewer."""
+        seeds = np.unique(self.heads[order[:STRONGEST]])
+        seeds = seeds[self.ids[seeds] != own_id]
+        return int(np.partition(self._full(query, seeds), -k)[-k]) if len(seeds) >= k else LOWEST
+
+    def _probe(self, query: np.ndarray, asked: np.ndarray, order: np.ndarray, rest: np.ndarray, essential: int, partial: np.ndarray, least: int, own_id: int, k: int) -> list[tuple[int, int]]:
+        partial = np.where(self.ids == own_id, float(LOWEST), partial) if partial.dtype == np.float64 else np.where(self.ids == own_id, LOWEST, partial)
+        if len(partial) > 2 * SEEDS >= 2 * k:
+            # full scores of the best so far raise the threshold
+            first = np.argpartition(partial, -SEEDS)[-SEEDS:]
+            first = first[self.ids[first] != own_id]
+            if len(first) >= k:
+                least = max(least, int(np.partition(self._full(query, first), -k)[-k]))
+        stay = np.flatnonzero((partial + rest[essential] >= least) & (self.ids != own_id))
+        total, done, terms = partial[stay].astype(np.int64), essential, int((rest > 0).sum())
+        while done < terms and len(stay) > FEW:
+            step = order[done : done + STEP]
+            total = total + asked[step] @ self.weights[step[:, None], stay]
+            done += len(step)
+            alive = total + rest[done] >= least
+            stay, total = stay[alive], total[alive]
+        total = self._full(query, stay)  # the terms that are left, and those that lower the score
         order = np.lexsort((self.ids[stay], -total))[:k]
         return [(int(total[i]), int(self.ids[stay[i]])) for i in order]
 
@@ -121,8 +132,9 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 5, shard: int = SHARD, b
         out = []
         if len(p) and len(q):
             index = Shard(*_matrix(p["vector"], p["vec_id"].to_numpy(np.int64), dims))
-            for own_id, query in zip(*_matrix(q["vector"], q["vec_id"].to_numpy(np.int64), dims), strict=True):
-                out += [(int(own_id), i, score) for score, i in index.best(query, own_id, k)]
+            own_ids, queries = _matrix(q["vector"], q["vec_id"].to_numpy(np.int64), dims)
+            for own_id, found in zip(own_ids.tolist(), index.best(queries, own_ids, k), strict=True):
+                out += [(own_id, i, score) for score, i in found]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     found = dealt.groupBy("s", "b").cogroup(asked.groupBy("s", "b")).applyInPandas(search, "query_id long, vec_id long, score long")
