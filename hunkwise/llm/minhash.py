@@ -6,13 +6,15 @@ candidate going as soon as the posterior probability of reaching the wanted simi
 ``miss``; survivors are confirmed on the full sets. Linked classes form components.
 
 No step emits all pairs of a group. First each class meets one leader per bucket. Then only
-buckets that still hold several components go on: small ones compare across components; what
-large ones hold is compared block against block inside tasks, on the full sets, and only links
-that join components leave a block. Confirmations are done best estimate first, and pairs whose
+buckets that still hold several components go on: small ones compare across components; in a
+large one the classes outside its largest component meet all its classes, block against block inside
+tasks, on the full sets, and only links that join components leave a block. Large buckets of the same
+classes count once. No step deals rows by bucket where a bucket may be large. Confirmations are done best estimate first, and pairs whose
 ends a confirmed link has joined meanwhile need none.
 
-Edge cases: null or wordless text is empty and linked with nothing. Rows that share a doc_id are
-one document. A row with a null doc_id cannot name a document: it is linked with nothing and kept.
+Edge cases: null or wordless text is empty and linked with nothing. Rows that share a doc_id share
+its text; where their texts differ, each is of its own text's class, and only one of the texts that have
+the id as their smallest is compared with others. A row with a null doc_id cannot name a document: it is linked with nothing and kept.
 Columns other than the id and the text are ignored.
 """
 
@@ -40,7 +42,10 @@ BATCH = 36
 MISS = 1e-6
 #: Buckets of up to so many classes compare across components as pairs, larger ones in blocks.
 SMALL = 32
-BLOCK = 256
+#: Classes of a block, and shingles that its classes have together on average.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 20
+#: Tables of large buckets are broadcast up to so many rows (24 bytes each), joined by shuffle beyond.
+BROADCAST_ROWS = 200_000
 
 
 @lru_cache(maxsize=2)
@@ -213,7 +218,7 @@ def near_duplicates(
     whole = signed.where("digest is not null and doc_id is not null")
     # one node for each class of equal sets, named by its smallest doc_id
     classes = shelf.put(whole.groupBy("digest").agg(F.min("doc_id").alias("node")))
-    nodes = shelf.put(whole.join(classes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_semi").groupBy("doc_id").agg(F.first("sig").alias("sig")).withColumnRenamed("doc_id", "node"))
+    nodes = shelf.put(whole.join(classes.select("digest", F.col("node").alias("doc_id")), ["digest", "doc_id"], "left_semi").groupBy("doc_id").agg(F.first("sig").alias("sig"), F.max("n_shingles").alias("size")).withColumnRenamed("doc_id", "node"))
     signed_nodes = lambda c: nodes.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
     band = [F.xxhash64(F.substring("sig", 2 * rows * i + 1, 2 * rows), F.lit(i)) for i in range(bands)]
     banded = nodes.select("node", F.explode(F.array(*band)).alias("bucket"))
@@ -268,13 +273,14 @@ def near_duplicates(
     x, y = (small.select("bucket", F.col("node").alias(c), F.col("comp").alias(f"c{c}")) for c in ("a", "b"))
     pairs = x.join(y, "bucket").where("a < b and ca != cb").select("a", "b").distinct()
     settle(shelf.put(pruned(pairs.join(pool.select("a", "b"), ["a", "b"], "left_anti"))))
-    large = mixed(many.where(F.col("n") > SMALL)).select("bucket", "node").distinct()
-    if not large.isEmpty():
-        # neighbourhoods: what large buckets hold together
-        around = _Links(shelf)
-        around.add(large.join(large.groupBy("bucket").agg(F.min("node").alias("b")), "bucket").select(F.col("node").alias("a"), "b"))
-        near = links.comp(around.of.toDF("node", "area"), "node", "comp")
-        links.add(shelf.put(_blocks(shelf.put(near), sets_of(near.select("node")), per_100)))
+    large = links.comp(many.where(F.col("n") > SMALL).select("bucket", "node"), "node", "comp")
+    # of buckets with the same classes, one; those that hold one component are done
+    alike = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.count("*").alias("m")]
+    left = large.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), *alike).where("lo != hi").groupBy("x", "y", "m").agg(F.min("bucket").alias("bucket"))
+    left = shelf.put(left.select("bucket"))
+    if not left.isEmpty():
+        near = shelf.put(large.join(_small(left), "bucket").join(nodes.select("node", "size"), "node"))
+        links.add(shelf.put(_blocks(shelf, near, sets_of(near.select("node").distinct()), per_100)))
 
     out = signed.join(classes, "digest", "left")
     if links.of is not None:
@@ -292,21 +298,28 @@ def _best(cross: DataFrame, most: int) -> DataFrame:
     return ends.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= most)
 
 
-def _blocks(near: DataFrame, sets: DataFrame, per_100: int) -> DataFrame:
-    """Confirmed links that join the components of each area (node, area, comp).
+def _small(df: DataFrame) -> DataFrame:
+    """A table on the shelf, to be broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
-    Nodes outside the area's largest component meet all its nodes, block against block, in tasks
+
+def _blocks(shelf: Shelf, near: DataFrame, sets: DataFrame, per_100: int) -> DataFrame:
+    """Confirmed links that join the components of each bucket (bucket, node, size, comp).
+
+    Nodes outside the bucket's largest component meet all its nodes, block against block, in tasks
     of bounded size that compare the full sets. A block gives a spanning forest of its links: at
     most one row for each component in it, and no link is lost to the components.
     """
-    main = near.groupBy("area", "comp").agg(F.count("*").alias("m")).groupBy("area").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("n"))
-    sized = near.join(main.select("area", F.col("top.comp").alias("main"), "n", (F.col("n") - F.col("top.m")).alias("n_odd")), "area").join(sets, "node")
-    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), blocks("n_odd"))).cast("int")
-    other = F.pmod(F.xxhash64("node", F.lit(1)), blocks("n")).cast("int")
-    left = sized.where("comp != main").withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), blocks("n") - 1)))
-    right = sized.where("n_odd > 0").withColumn("j", other).withColumn("i", F.explode(F.sequence(F.lit(0), blocks("n_odd") - 1)))
-    keep = ["area", "i", "j", "node", "comp", "shingles"]
+    parts = near.groupBy("bucket", "comp").agg(F.count("*").alias("m"), F.sum("size").alias("s"))
+    parts = parts.groupBy("bucket").agg(F.max(F.struct("m", "comp", "s")).alias("top"), F.sum("m").alias("n"), F.sum("s").alias("s"))
+    main = shelf.put(parts.select("bucket", F.col("top.comp").alias("main"), "n", "s", (F.col("n") - F.col("top.m")).alias("n_odd"), (F.col("s") - F.col("top.s")).alias("s_odd")))
+    sized = near.join(_small(main), "bucket").join(sets, "node")
+    blocks = lambda of: F.greatest(F.ceil(F.col("n" + of) / BLOCK), F.ceil(F.col("s" + of) / BLOCK_SHINGLES)).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), blocks("_odd"))).cast("int")
+    other = F.pmod(F.xxhash64("node", F.lit(1)), blocks("")).cast("int")
+    left = sized.where("comp != main").withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), blocks("") - 1)))
+    right = sized.where("n_odd > 0").withColumn("j", other).withColumn("i", F.explode(F.sequence(F.lit(0), blocks("_odd") - 1)))
+    keep = ["bucket", "i", "j", "node", "comp", "shingles"]
 
     def run(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         out, up = [], {}
@@ -337,4 +350,4 @@ def _blocks(near: DataFrame, sets: DataFrame, per_100: int) -> DataFrame:
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     left, right = left.select(keep).toDF(*keep), right.select(keep).toDF(*keep)  # apart, although of one origin
-    return left.groupBy("area", "i", "j").cogroup(right.groupBy("area", "i", "j")).applyInPandas(run, "a long, b long")
+    return left.groupBy("bucket", "i", "j").cogroup(right.groupBy("bucket", "i", "j")).applyInPandas(run, "a long, b long")
