@@ -21,7 +21,7 @@ _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "a": "\x07", "b": "\b", "f": "\f",
 #: What a quoted path is made of: escapes by number, other escapes, and plain text.
 _PART = r"""\\[0-7]{1,3}|\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+"""
 #: Escapes that cannot be read leave the path between the quotes as it is.
-_BROKEN = r"""^(?:[^\\]|\\[^xuU])*+(?:\\x(?![0-9A-Fa-f]{2})|\\u(?![0-9A-Fa-f]{4})|\\U(?!00(?:0[0-9A-Fa-f]|10)[0-9A-Fa-f]{4})|\\$)"""
+_BROKEN = r"""^(?:[^\\]|\\[^xuU]|\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U00(?:0[0-9A-Fa-f]|10)[0-9A-Fa-f]{4})*+\\"""
 
 
 def records(diffs: DataFrame) -> DataFrame:

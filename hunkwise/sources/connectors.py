@@ -7,6 +7,7 @@ repository is fetched by the driver, and is as long as that repository.
 from __future__ import annotations
 
 import os
+import re
 import subprocess
 from collections.abc import Callable, Iterable, Sequence
 from pathlib import Path
@@ -74,14 +75,15 @@ def read_tree(spark: SparkSession, path: str, extensions: Sequence[str] = SOURCE
     files = spark.read.option("recursiveFileLookup", True)
     if most is None:
         return files.text(path, wholetext=True).where(wanted).select(below(_file_path()).alias("path"), F.col("value").alias("text"))
-    listed = files.format("binaryFile").load(path).where(wanted).select(F.col("_metadata.file_path").alias("path")).orderBy("path").limit(most)
+    listed = files.format("binaryFile").load(path).where(wanted).select(_file_path().alias("path")).orderBy("path").limit(most)
     return _read_files(spark, [r.path for r in listed.collect()], below)  # at most ``most`` paths
 
 
 def _read_files(spark: SparkSession, paths: list[str], named: Callable[[Column], Column]) -> DataFrame:
+    """The files of that names, whatever signs are in them."""
     if not paths:
         return spark.createDataFrame([], "path string, text string")
-    return spark.read.text(paths, wholetext=True).select(named(_file_path()).alias("path"), F.col("value").alias("text"))
+    return spark.read.text([re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths], wholetext=True).select(named(_file_path()).alias("path"), F.col("value").alias("text"))
 
 
 def _git(repo: str, *args: str, run: Run = subprocess.run) -> str:
@@ -122,9 +124,9 @@ def repo_tree(spark: SparkSession, repo: str = ".", run: Run = subprocess.run) -
         return None
     tracked = tracked_files(str(root), run)
     if tracked is None:
-        tree = read_tree(spark, root.as_uri(), most=MOST_FILES)
+        tree = read_tree(spark, f"file://{root}", most=MOST_FILES)
         return None if tree.isEmpty() else tree
-    wanted = [(root / p).as_uri() for p in tracked if os.path.splitext(p)[1].lower() in SOURCE_EXTENSIONS and (root / p).is_file()]
+    wanted = [f"file://{root / p}" for p in tracked if os.path.splitext(p)[1].lower() in SOURCE_EXTENSIONS and (root / p).is_file()]
     return _read_files(spark, wanted, _below(str(root))) if wanted else None
 
 
@@ -135,7 +137,7 @@ def parse_log(log: DataFrame) -> DataFrame:
     blank = F.rlike("c", F.lit(r"\n\s*\n"))
     message = F.when(blank, F.regexp_extract("c", r"(?s)\A(.*)\n\s*\n", 1)).otherwise(F.substring_index("c", "\n", 1))
     rest = F.when(blank, F.regexp_extract("c", r"(?s)\A.*\n\s*\n(.*)\z", 1)).otherwise(F.regexp_extract("c", r"(?s)\A[^\n]*\n(.*)\z", 1))
-    return one.select(F.trim(message).alias("message"), F.filter(F.transform(F.split(rest, "\n"), F.trim), lambda p: p != "").alias("paths"))
+    return one.select(F.regexp_replace(message, r"\A\s+|\s+\z", "").alias("message"), F.filter(F.transform(F.split(rest, "\n"), F.trim), lambda p: p != "").alias("paths"))
 
 
 def git_log(spark: SparkSession, repo: str = ".", run: Run = subprocess.run) -> DataFrame:

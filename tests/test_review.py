@@ -44,7 +44,7 @@ def frame(spark, *texts):
 
 def test_parse(spark):
     rows = parse_hunks(frame(spark, DIFF, None, "", "no diff")).orderBy("file_seq").collect()
-    assert [(r.file_path, r.old_start, r.old_lines, r.new_lines, r.heading, r.added, r.removed) for r in rows] == [("src/auth/login.py", 1, 2, 3, "def helper():", 2, 1), ("README.md", 1, 1, 2, "", 1, 0)]
+    assert [(r.file_path, r.old_start, r.old_lines, r.new_lines, r.heading, r.added, r.removed) for r in rows] == [("src/auth/login.py", 1, 2, 3, " def helper():", 2, 1), ("README.md", 1, 1, 2, "", 1, 0)]
 
 
 def test_parser_quirks(spark):
@@ -76,10 +76,14 @@ def test_owner_patterns(spark):
 
 
 def test_budget_grammar():
-    assert budgets.parse_budget("1h30m").seconds == 5400 and budgets.parse_budget("5 hunks").hunks == 5 and budgets.parse_budget("2000tok").tokens == 2000
-    for bad in ("", "0", "x", "-3m", "0s"):
-        with pytest.raises(ValueError):
+    assert budgets.parse_budget("1h 30M").seconds == 5400 and budgets.parse_budget("5 hunks").hunks == 5 and budgets.parse_budget(" 12 ").hunks == 12
+    assert budgets.parse_context_budget("2000 Tok").tokens == 2000 and budgets.parse_context_budget("8hunk").hunks == budgets.parse_context_budget("8").hunks == 8
+    for bad in ("", "0", "x", "-3m", "0s", "2000tok", "5m x", "m5", None):
+        with pytest.raises(budgets.BudgetError):
             budgets.parse_budget(bad)
+    for bad in ("", "0tok", "5m", "1h30m", "tok", None):
+        with pytest.raises(budgets.BudgetError):
+            budgets.parse_context_budget(bad)
 
 
 def test_options():
