@@ -1,35 +1,43 @@
 """Sharding by best-fit-decreasing bin packing of indivisible groups.
 
-Rows with equal texts are a group and stay together. Groups of more than a small share of all
-bytes are items of their own, of which there cannot be many; the rest are hashed into items of
-sizes that fall from coarse to very fine. The number of items is bounded by parameters, whatever
-the number of rows. Items, largest first, go to the bin with the least remaining room that still
-takes them, found in a balanced tree. With a fixed number of bins the smallest capacity for which
-that succeeds is searched, which makes the bins nearly equal in bytes; a group that is larger than
-a bin's share stays whole in the fullest bin.
+Rows with equal texts are a group and stay together. Groups of one size are alike, so what is packed
+is the table of sizes and how many groups have each. It has at most sqrt(2 x bytes) rows, for that many
+different sizes add up to all bytes. Sizes, largest first, go to the bin with the least remaining room
+that still takes them, found in a balanced tree, as many groups at once as that bin takes: each
+group goes where it would go alone. The groups of a size are then numbered, and looked up by number.
 
-Slots count rows within small sections of a shard, after the bounded counts of the sections
-before, so that no shard is numbered in one task.
+With a capacity, as few bins are opened as the method needs. With a number of bins the smallest
+capacity for which it succeeds is searched, which makes the bins nearly equal in bytes. A group larger
+than the capacity stays whole in a bin of its own.
+
+Numbers and slots count within small sections, after the counts of the sections before, so that
+neither groups of one size nor rows of one shard are numbered in one task. The groups of more than a
+small share of all bytes, of which there cannot be many, are broadcast to their rows.
 
 Edge cases: null text is empty, with size 1. Repeated rows each have a slot. A null doc_id is a
-row like any other.
+row like any other. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hunkwise.llm.shelf import Shelf
 
-#: A group of more than this share of all bytes is an item of its own: at most 1 / SHARE of them.
+#: A group of more than this share of all bytes is broadcast: at most 1 / SHARE of them.
 SHARE = 1 / 4096
-#: Items for the other groups: (number of items, share of their hash range), from coarse to fine.
-ITEMS = ((512, 0.75), (256, 0.15), (256, 0.06), (256, 0.025), (256, 0.01), (256, 0.004), (256, 0.001))
-#: Sections of a shard.
-SECTIONS = 64
+#: Least sections of a shard, and rows of a section beyond them.
+SECTIONS, SECTION_ROWS = 64, 500_000
+#: Groups of one size that are looked up together, and rows of a table that is broadcast.
+RUN, BROADCAST_ROWS = 4096, 200_000
+
+#: Groups of a size: (bytes of each, how many), and where they go: (bytes, first, past the last, bin).
+Sizes = Sequence[tuple[int, int]]
+Places = list[tuple[int, int, int, int]]
 
 
 class _Tree:
@@ -85,31 +93,40 @@ class _Tree:
         return key
 
 
-def best_fit_decreasing(sizes: Sequence[int], capacity: int, bins: int | None = None) -> list[int] | None:
-    """Each item's bin. A new bin opens when no open one has room; None if that needs more than
-    ``bins``. An item larger than the capacity has a bin of its own, without room."""
-    tree, out, n = _Tree(), [0] * len(sizes), 0
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        fit = tree.take(sizes[i])
-        if fit is None:
-            if n == bins:
-                return None
-            fit, n = (max(capacity, sizes[i]), n), n + 1
-        room, out[i] = fit
-        tree.insert((room - sizes[i], out[i]))
+def best_fit_decreasing(sizes: Sizes, capacity: int, bins: int | None = None) -> Places | None:
+    """Where the groups of each size go. A new bin opens when no open one has room; None if that needs more
+    than ``bins``."""
+    tree, out, n = _Tree(), [], 0
+    for size, count in sorted(sizes, reverse=True):
+        at = 0
+        while at < count:
+            fit = tree.take(size)
+            if fit is None:
+                if n == bins:
+                    return None
+                fit, n = (max(capacity, size), n), n + 1
+            room, bin_ = fit
+            # while it takes another, this bin stays the tightest
+            took = min(count - at, room // size)
+            out.append((size, at, at + took, bin_))
+            tree.insert((room - took * size, bin_))
+            at += took
     return out
 
 
-def even_bins(sizes: Sequence[int], bins: int) -> list[int]:
+def even_bins(sizes: Sizes, bins: int) -> Places:
     """Best-fit-decreasing into ``bins`` bins of the smallest capacity for which that succeeds."""
     # groups beyond the mean of what is left have bins of their own
-    rest, left = sum(sizes), bins
-    for size in sorted(sizes, reverse=True):
-        if left == 1 or size * left <= rest:
+    rest, left = sum(size * n for size, n in sizes), bins
+    largest = sorted(sizes, reverse=True)
+    for size, n in largest:
+        alone = 0
+        while alone < n and left > 1 and size * left > rest:
+            rest, left, alone = rest - size, left - 1, alone + 1
+        if alone < n:
             break
-        rest, left = rest - size, left - 1
     lo = -(-rest // left)
-    hi = lo + max((s for s in sizes if s <= lo), default=0)  # at which it must succeed
+    hi = lo + max((size for size, _ in sizes if size <= lo), default=0)  # at which it must succeed
     while lo < hi:
         mid = (lo + hi) // 2
         if best_fit_decreasing(sizes, mid, bins) is None:
@@ -121,45 +138,45 @@ def even_bins(sizes: Sequence[int], bins: int) -> list[int]:
     return out
 
 
-def _item_of_small():
-    """The item of a group that has none of its own, from 31 bits of its hash."""
-    u = F.shiftrightunsigned(F.xxhash64("digest", F.lit(5)), 33) / float(1 << 31)
-    out, first, seen = None, 0, 0.0
-    for count, share in ITEMS:
-        seen += share
-        at = F.lit(first) + F.pmod(F.xxhash64("digest", F.lit(6)), F.lit(count))
-        out = F.when(u < seen, at) if out is None else out.when(u < seen, at)
-        first += count
-    return out.otherwise(F.lit(first - 1))
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def numbered(df: DataFrame, of: str, by: Sequence[str], sections: Column | int, name: str) -> DataFrame:
+    """Add ``name``: 0, 1, ... within each value of ``of``, by sections of a hash of ``by``."""
+    df = df.withColumn("section", F.pmod(F.xxhash64(*by), sections if isinstance(sections, Column) else F.lit(sections)).cast("int"))
+    before = Window.partitionBy(of).orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
+    first = df.groupBy(of, "section").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    at = F.row_number().over(Window.partitionBy(of, "section").orderBy(*by)) - 1
+    return df.withColumn("at", at).join(first, [of, "section"]).withColumn(name, (F.col("at") + F.col("first")).cast("long")).drop("at", "first", "section")
 
 
-def shards(docs: DataFrame, n: int = 16, shelf: Shelf | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot for every row of docs (doc_id, text)."""
+def shards(docs: DataFrame, n: int = 16, capacity: int | None = None, shelf: Shelf | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot for every row of docs (doc_id, text): ``n`` shards of nearly equal
+    bytes, or few shards of ``capacity`` bytes."""
     spark: SparkSession = docs.sparkSession
     shelf = shelf or Shelf(spark)
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = shelf.put(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.unhex(F.md5(data)).alias("digest")))
-    groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    least = max(1, int(total * SHARE))
-    groups = shelf.put(groups.withColumn("item", F.when(F.col("bytes") <= least, _item_of_small())))
-    own = groups.where("item is null").select("digest", "bytes").collect()  # at most 1 / SHARE
-    small = groups.where("item is not null").groupBy("item").agg(F.sum("bytes").alias("bytes")).collect()  # as many as ITEMS has
-    own.sort(key=lambda r: bytes(r["digest"]))
-    small.sort(key=lambda r: r["item"])
-    bins = even_bins([r["bytes"] for r in own + small], n)
-    big = spark.createDataFrame([(bytes(r["digest"]), b) for r, b in zip(own, bins, strict=False)], "digest binary, own int")
-    rest = spark.createDataFrame([(int(r["item"]), b) for r, b in zip(small, bins[len(own) :], strict=True)], "item long, of_item int")
-    placed = rows.join(F.broadcast(big), "digest", "left").withColumn("item", _item_of_small().cast("long")).join(F.broadcast(rest), "item", "left")
-    placed = placed.select("doc_id", "size", "text_crc32", F.coalesce("own", "of_item").alias("shard"))
-    return slots(placed)
-
-
-def slots(placed: DataFrame) -> DataFrame:
-    """Add slot: 0, 1, ... within each shard, by sections."""
-    placed = placed.withColumn("section", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(SECTIONS)).cast("int"))
-    before = Window.partitionBy("shard").orderBy("section").rowsBetween(Window.unboundedPreceding, -1)
-    first = placed.groupBy("shard", "section").agg(F.count("*").alias("n")).withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    at = F.row_number().over(Window.partitionBy("shard", "section").orderBy("doc_id", "size", "text_crc32")) - 1
-    out = placed.withColumn("at", at).join(F.broadcast(first), ["shard", "section"])  # shards x SECTIONS rows
-    return out.select("doc_id", "size", "text_crc32", "shard", (F.col("at") + F.col("first")).cast("long").alias("slot"))
+    groups = shelf.put(rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")))
+    table = shelf.put(groups.groupBy("bytes").agg(F.count("*").alias("count"), F.sum("rows").alias("rows")))
+    found = table.toArrow()  # at most sqrt(2 x bytes) rows
+    sizes = list(zip(found.column("bytes").to_pylist(), found.column("count").to_pylist(), strict=True))
+    total, n_rows = sum(size * k for size, k in sizes), sum(found.column("rows").to_pylist())
+    places = best_fit_decreasing(sizes, capacity) if capacity else even_bins(sizes, n)
+    assert places is not None
+    # every run of numbers that a place reaches into
+    runs = [(size, lo // RUN + i, lo, hi, bin_) for size, lo, hi, bin_ in places for i in range((hi - 1) // RUN - lo // RUN + 1)]
+    where = spark.createDataFrame(pa.table(dict(zip(("bytes", "run", "lo", "hi", "shard"), map(list, zip(*runs)), strict=True)))) if runs else spark.createDataFrame([], "bytes long, run long, lo long, hi long, shard long")
+    counted = groups.join(_small(table.select("bytes", "count"), len(sizes)), "bytes")
+    counted = numbered(counted, "bytes", ["digest"], F.ceil(F.col("count") / SECTION_ROWS), "number").withColumn("run", F.floor(F.col("number") / RUN))
+    placed = counted.join(_small(where, len(runs)), ["bytes", "run"]).where("number >= lo and number < hi")
+    placed = shelf.put(placed.select("digest", "bytes", F.col("shard").cast("int").alias("shard")))
+    hot = F.col("bytes") > max(1, int(total * SHARE))
+    big = F.broadcast(placed.where(hot).select("digest", F.col("shard").alias("own")))  # at most 1 / SHARE rows
+    rows = rows.join(big, "digest", "left")
+    few = rows.where("own is null").join(placed.where(~hot).select("digest", "shard"), "digest")
+    columns = ["doc_id", "size", "text_crc32"]
+    out = rows.where("own is not null").select(*columns, F.col("own").alias("shard")).unionByName(few.select(*columns, "shard"))
+    n_shards = max((p[3] for p in places), default=0) + 1
+    return numbered(out, "shard", ["doc_id", "text_crc32", "size"], max(SECTIONS, -(-n_rows // (n_shards * SECTION_ROWS))), "slot").select(*columns, "shard", "slot")
