@@ -3,10 +3,12 @@
 Patterns propose candidates: private key blocks, values of telling names, known key formats and
 long runs without spaces. A random forest, trained from labelled findings, decides which are
 secrets, from the candidate's length and alphabet, the likelihood of its character transitions,
-how much of it dictionary words cover, words in its path and the words beside it.
+how much of it dictionary words cover, words in its path and the words beside it. The dictionary, and
+with it the usual transitions, are the most frequent words of all texts.
 
 Labelled findings are rows (candidate, before, after, path, label); ``example_findings`` makes a
-bounded list of them. Candidates are found and judged over whole texts, where the texts are.
+bounded list of them, for want of a table. ``held_out`` measures a forest on findings that it has not
+learned from. Candidates are found and judged over whole texts, where the texts are.
 
 Edge cases: null and empty texts have no findings. Repeated rows give repeated findings.
 Every candidate is judged. Accepted ones that overlap give one finding over all of them, with the
@@ -18,8 +20,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator, Sequence
-from functools import lru_cache
+from collections.abc import Iterator, Mapping, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -28,8 +29,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hunkwise.llm.shelf import small_batches
-
 TREES, DEPTH = 40, 9
 CUT = 0.5
 MASK = "[SECRET]"
@@ -45,11 +44,8 @@ _PATTERNS = (
 #: A text without any of these has no candidate; kept cheap because every text meets it. Case folds as in re, beyond ASCII.
 _MAYBE = r"(?iu)PRIVATE KEY-----|AKIA|gh[pousr]_|xox[abprs]-|AIza|sk_(live|test)_|[0-9A-Za-z+/_=-]{20}|" + _NAMES
 
-_WORDS = (
-    "the and for with that this from have your here key secret token password example sample test change changeme placeholder dummy fake none null true false user name admin default value "
-    "config setting server client local host data base file path string number public private access account service project random hash digest check version build release commit index "
-    "request response header body content type length page site link blog news post about contact home image style script main module class function return import export package library"
-).split()
+#: Words of the dictionary, and their lengths. A word's letters are a to z.
+DICTIONARY, SHORTEST, LONGEST = 4000, 4, 16
 _DOUBTFUL = ("example", "sample", "test", "dummy", "fake", "fixture", "doc", "mock", "demo", "readme")
 _TELLING = ("secret", "token", "password", "passwd", "pwd", "key", "credential", "auth", "bearer", "login")
 _HARMLESS = ("sha1", "sha256", "md5", "hash", "digest", "commit", "checksum", "etag", "uuid", "version", "integrity", "revision")
@@ -67,36 +63,48 @@ def candidates(text: str) -> list[Candidate]:
     return [Candidate(start, -end, kind) for i, (start, end, _, kind) in enumerate(found) if not i or found[i - 1][:2] != (start, end)]
 
 
-@lru_cache(maxsize=1)
-def _transitions() -> np.ndarray:
-    """log2 of smoothed letter transitions of ordinary words, a to z; the 27th is any other character."""
-    pairs: dict[str, int] = {}
-    firsts: dict[str, int] = {}
-    for w in _WORDS:
-        for a, b in zip(w, w[1:], strict=False):
-            pairs[a + b] = pairs.get(a + b, 0) + 1
-            firsts[a] = firsts.get(a, 0) + 1
-    letters = "abcdefghijklmnopqrstuvwxyz"
-    out = np.full((27, 27), -7.0)
-    out[:26, :26] = [[math.log2((pairs.get(a + b, 0) + 0.3) / (firsts.get(a, 0) + 0.3 * 26)) for b in letters] for a in letters]
-    return out
-
-
-def describe(candidate: str, before: str, after: str, path: str) -> list[float]:
+class Language:
+    """Dictionary words, and log2 of their smoothed letter transitions."""
+
+    def __init__(self, words: Mapping[str, int]):
+        self.words = frozenset(words)
+        pairs = np.zeros((26, 26))
+        for word, n in words.items():
+            at = np.frombuffer(word.encode(), np.uint8).astype(np.int64) - ord("a")
+            np.add.at(pairs, (at[:-1], at[1:]), n)
+        # a to z; the 27th is any other character
+        self.transitions = np.full((27, 27), -7.0)
+        share = (pairs + 0.3) / (pairs.sum(axis=1, keepdims=True) + 0.3 * 26)
+        self.transitions[:26, :26] = np.maximum(-7.0, np.log2(share))
+
+    def covered(self, low: str) -> float:
+        """The share of a candidate's characters that lie in dictionary words."""
+        depth = np.zeros(len(low) + 1, np.int64)
+        for run in re.finditer(f"[a-z]{{{SHORTEST},}}", low):
+            lo, hi = run.span()
+            for at in range(lo, hi - SHORTEST + 1):
+                for end in range(at + SHORTEST, min(hi, at + LONGEST) + 1):
+                    if low[at:end] in self.words:
+                        depth[at] += 1
+                        depth[end] -= 1
+        return float((np.cumsum(depth)[:-1] > 0).mean()) if low else 0.0
+
+
+def language(docs: DataFrame, most: int = DICTIONARY) -> Language:
+    """The ``most`` most frequent words of all texts of docs (text)."""
+    words = docs.where("text is not null").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
+    counts = words.where(F.length("word").between(SHORTEST, LONGEST)).groupBy("word").agg(F.count("*").alias("n"))
+    return Language({r.word: r.n for r in counts.orderBy(F.col("n").desc(), "word").limit(most).collect()})
+
+
+def describe(candidate: str, before: str, after: str, path: str, known: Language) -> list[float]:
     """The forest's features."""
     n = max(1, len(candidate))
     low = candidate.lower()
     counts = [low.count(c) / n for c in set(low)]
     letters = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) - ord("a")
     letters[(letters < 0) | (letters > 25)] = 26
-    steps = _transitions()[letters[:-1], letters[1:]]
-    covered = np.zeros(len(low), bool)
-    for w in _WORDS:
-        if len(w) >= 4:
-            at = low.find(w)
-            while at >= 0:
-                covered[at : at + len(w)] = True
-                at = low.find(w, at + 1)
+    steps = known.transitions[letters[:-1], letters[1:]]
     beside, behind, where = before.lower(), after.lower(), path.lower()
     kinds = np.array([(c.isdigit(), c.islower(), c.isupper(), not c.isalnum()) for c in candidate] or [(0, 0, 0, 0)], float)
     changes = (kinds[1:] != kinds[:-1]).any(axis=1).mean() if len(kinds) > 1 else 0.0
@@ -104,7 +112,7 @@ def describe(candidate: str, before: str, after: str, path: str) -> list[float]:
         float(len(candidate)),
         -sum(p * math.log2(p) for p in counts),
         float(steps.mean()) if len(steps) else 0.0,
-        float(covered.mean()) if len(low) else 0.0,
+        known.covered(low),
         *kinds.mean(axis=0).tolist(),
         float(changes),
         float(bool(re.fullmatch("[0-9a-f]+", low))),
@@ -115,6 +123,7 @@ def describe(candidate: str, before: str, after: str, path: str) -> list[float]:
         float(any(w in beside or w in behind for w in _DOUBTFUL)),
         float(before.rstrip()[-1:] in ("=", ":", '"', "'")),
         float(any(w in low for w in ("xxxx", "your", "changeme", "example", "placeholder", "<", "${", "****", "1234567"))),
+        float(low.startswith("-----begin ")),
     ]
 
 
@@ -139,7 +148,7 @@ def example_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, str, str,
 
     out = []
     for i in range(n):
-        kind, path = i % 8, pick(("src/app.py", "config/prod.env", "src3", "web", "lib/client.js", "deploy/values.yaml", "tests/fixtures/a.txt", "docs/readme.md"))
+        kind, path = i % 9, pick(("src/app.py", "config/prod.env", "src3", "web", "lib/client.js", "deploy/values.yaml", "tests/fixtures/a.txt", "docs/readme.md"))
         if kind < 3:
             value = chance(int(rng.choice([20, 24, 32, 40, 40, 48, 64])), pick(alphabets))
             before, after = named(value)
@@ -147,6 +156,11 @@ def example_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, str, str,
         elif kind == 3:
             value = pick(("AKIA" + chance(16, alphabets[4]), "ghp_" + chance(36, alphabets[2]), "sk_live_" + chance(24, alphabets[2]), "AIza" + chance(35, alphabets[2])))
             out.append((value, prose(2) + pick((" ", ' "', "=")), pick((" ", '"')) + prose(2), path, 1))
+        elif kind == 8:
+            name = pick(("RSA ", "EC ", "OPENSSH ", ""))
+            real = rng.random() < 0.6
+            body = "\n".join(chance(64, alphabets[3]) for _ in range(int(rng.integers(2, 12)))) if real else pick(("...", "<your key here>", "example", "xxxx\nxxxx", prose(6), "key goes here"))
+            out.append((f"-----BEGIN {name}PRIVATE KEY-----\n{body}\n-----END {name}PRIVATE KEY-----", prose(2) + pick((" ", "\n", ' = "')), pick(("\n", '"')) + prose(1), path, int(real)))
         elif kind == 4:
             value = pick(("your_api_key_here", "changeme123", "xxxxxxxxxxxxxxxx", "${API_TOKEN}", "<your-token>", "example_secret", "placeholder", "********", "password123", "1234567890", "process.env.TOKEN", "None,", "settings.token"))
             before, after = named(value)
@@ -202,9 +216,31 @@ class Forest:
         return total / len(self.trees)
 
 
-def train(findings: Sequence[tuple[str, str, str, str, int]] | None = None) -> Forest:
+class Detector(NamedTuple):
+    """What judges candidates: a forest, and the language that it learned with."""
+
+    forest: Forest
+    known: Language
+
+    def score(self, candidate: str, before: str, after: str, path: str) -> float:
+        return self.forest.score(describe(candidate, before, after, path, self.known))
+
+
+Finding = tuple[str, str, str, str, int]
+
+
+def train(known: Language, findings: Sequence[Finding] | None = None) -> Detector:
+    """A detector from labelled findings, by default from made ones."""
     rows = example_findings() if findings is None else findings
-    return Forest(np.array([describe(*r[:4]) for r in rows]), np.array([r[4] for r in rows], float))
+    return Detector(Forest(np.array([describe(*r[:4], known) for r in rows]), np.array([r[4] for r in rows], float)), known)
+
+
+def held_out(known: Language, findings: Sequence[Finding]) -> tuple[float, float]:
+    """(precision, recall) on every fifth finding of a detector that has learned from the others."""
+    detector = train(known, [f for i, f in enumerate(findings) if i % 5])
+    rows = [(detector.score(*f[:4]) >= CUT, f[4] == 1) for f in findings[::5]]
+    right = sum(p and y for p, y in rows)
+    return right / max(1, sum(p for p, _ in rows)), right / max(1, sum(y for _, y in rows))
 
 
 def settled(scored: Sequence[tuple[Candidate, float]]) -> list[tuple[Candidate, float]]:
@@ -230,21 +266,15 @@ def settled(scored: Sequence[tuple[Candidate, float]]) -> list[tuple[Candidate,
     return sorted(found + out)
 
 
-def judged(text: str, path: str, forest: Forest) -> list[tuple[Candidate, float]]:
-    out = []
-    for c in candidates(text):
-        if c.kind == "private_key":
-            out.append((c, 1.0))
-        else:
-            out.append((c, forest.score(describe(text[c.start : c.end], text[max(0, c.start - CONTEXT) : c.start], text[c.end : c.end + CONTEXT], path))))
-    return settled(out)
+def judged(text: str, path: str, detector: Detector) -> list[tuple[Candidate, float]]:
+    return settled([(c, detector.score(text[c.start : c.end], text[max(0, c.start - CONTEXT) : c.start], text[c.end : c.end + CONTEXT], path)) for c in candidates(text)])
 
 
-def scan(docs: DataFrame, path: str | None = None, forest: Forest | None = None) -> DataFrame:
-    """doc_id, start, end, kind, score, is_secret for every finding in docs (doc_id, text, and a path column)."""
+def scan(docs: DataFrame, path: str | None = None, detector: Detector | None = None) -> DataFrame:
+    """doc_id, start, end, kind, score, is_secret for every finding in docs (doc_id, text, and a path column);
+    without a detector, one is trained with the language of docs."""
     spark = docs.sparkSession
-    small_batches(spark)
-    shared = spark.sparkContext.broadcast(forest or train())
+    shared = spark.sparkContext.broadcast(detector or train(language(docs)))
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,9 +291,9 @@ def scan(docs: DataFrame, path: str | None = None, forest: Forest | None = None)
     return some.mapInArrow(run, "doc_id long, start long, end long, kind string, score double, is_secret boolean")
 
 
-def redacted(docs: DataFrame, path: str | None = None, forest: Forest | None = None) -> Column:
+def redacted(docs: DataFrame, path: str | None = None, detector: Detector | None = None) -> Column:
     """``text`` with every secret replaced by a mask; null stays null."""
-    shared = docs.sparkSession.sparkContext.broadcast(forest or train())
+    shared = docs.sparkSession.sparkContext.broadcast(detector or train(language(docs)))
 
     def clean(text: str, at: str) -> str:
         out, last = [], 0
