@@ -17,7 +17,7 @@ from hunkwise.llm.keyed import fresh, only, without
 from hunkwise.llm.minhash import near_duplicates
 from hunkwise.llm.packing import pack
 from hunkwise.llm.queries import table, tokenizer_file
-from hunkwise.llm.shelf import Shelf
+from hunkwise.llm.shelf import Shelf, scope
 from hunkwise.llm.toxicity import toxicity
 from hunkwise.llm.winnowing import contamination
 
@@ -91,11 +91,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, each written and read again."""
+    """All stages, each written and read again. What a stage keeps for itself goes when it is done."""
     shelf = Shelf(spark)
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = shelf.put(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scope():
+            docs = shelf.put(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -3,6 +3,12 @@
 Tables are written under ``spark.checkpoint.dir``, the one folder that all executors and the
 driver share. A lost executor then costs the running tasks only: finished steps are read again
 from the shared folder.
+
+What an operator returns may read its shelf's tables, so they stay until the session ends, or
+until the scope does in which the operator ran:
+
+    with scope():
+        near_duplicates(docs).write.parquet(path)
 """
 
 from __future__ import annotations
@@ -10,22 +16,36 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+_BATCH_BYTES = 8 << 20
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where the session names none (tests)."""
+    """The session's checkpoint folder. Where the session names none, a temporary one of a local session,
+    as in tests; executors of a cluster would not see it, so there the setting must be made."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="hunkwise-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
-def small_batches(spark: SparkSession) -> None:
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
     """Hand Python 8 MB of rows at a time, so that long texts do not fill a worker. Results are the same."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(_BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -36,15 +56,31 @@ def _remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Shelves made in each open scope, the innermost last.
+_scopes: list[list[Shelf]] = []
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Remove the tables of all shelves that are made inside, at the end."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for shelf in _scopes.pop():
+            shelf.clear()
+
+
 class Shelf:
     """The intermediate tables of one query run."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        small_batches(spark)
         self.folder = f"{shared_folder(spark)}/hunkwise/{uuid.uuid4().hex}"
         self.n = 0
         atexit.register(self._leave)
+        if _scopes:
+            _scopes[-1].append(self)
 
     def put(self, df: DataFrame, files: int | None = None) -> DataFrame:
         """Write a table and read it back; the returned plan starts at its files."""
@@ -52,7 +88,8 @@ class Shelf:
         path = f"{self.folder}/{self.n}"
         if files:
             df = df.coalesce(files)
-        df.write.parquet(path)
+        with small_batches(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:
@@ -61,6 +98,11 @@ class Shelf:
             if self.folder.split("://")[-1] in path:
                 _remove(self.spark, path)
 
+    def clear(self) -> None:
+        """Remove all tables."""
+        atexit.unregister(self._leave)
+        _remove(self.spark, self.folder)
+
     def _leave(self) -> None:
         try:
             if self.spark.sparkContext._jsc is not None:
