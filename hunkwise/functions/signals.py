@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,9 +25,15 @@ def when(condition: Column, rule: str, points: Column | int, reason: Column | st
     return F.when(condition, F.array(signal(rule, points, reason))).otherwise(none())
 
 
-def counted(rule: str, n: Column, points: int, reason: str) -> Column:
-    """A signal where n > 0, which says how often beyond one."""
-    return when(n > 0, rule, points, F.concat(F.lit(reason), F.when(n > 1, F.concat(F.lit(" (x"), n.cast("string"), F.lit(")"))).otherwise("")))
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def counted(rule: str, checks: Sequence[tuple[Column, int, str]]) -> Column:
+    """Signals of the checks (count, points, reason) that count more than 0, which say how often beyond one."""
+    fixed = F.expr("array(" + ", ".join(f"struct({points} as points, {_quoted(reason)} as reason)" for _, points, reason in checks) + ")")
+    met = F.filter(F.arrays_zip(F.array(*[n for n, _, _ in checks]).alias("n"), fixed.alias("fixed")), lambda x: x["n"] > 0)
+    return F.transform(met, lambda x: signal(rule, x["fixed"]["points"], F.concat(x["fixed"]["reason"], F.when(x["n"] > 1, F.concat(F.lit(" (x"), x["n"].cast("string"), F.lit(")"))).otherwise(""))))
 
 
 def pack(*rules: Column) -> Column:

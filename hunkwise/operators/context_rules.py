@@ -261,56 +261,52 @@ def with_no_tests(hunks: DataFrame, files: DataFrame, weight: float = 1.0) -> Da
 def symbols() -> Column:
     """Names that a hunk's heading, changed lines and context lines define."""
     def names(text: Column, patterns: Sequence[str]) -> Column:
-        return F.flatten(F.array(*[F.regexp_extract_all(text, F.lit("(?dU)" + p), 1) for p in patterns]))
+        # over many lines at once, so that no pattern may reach beyond its line
+        lined = [p.replace(r"\s", r"[^\S\n]").replace("[^=]", r"[^=\n]") for p in patterns]
+        return F.concat(*[F.regexp_extract_all(text, F.lit("(?dmU)" + p), 1) for p in lined])
 
-    lines = F.transform(
-        F.split("body", "\n"),
-        lambda x: F.when(F.rlike(x, F.lit("^[+-]")), names(F.substring(x, 2, 1 << 30), CHANGED_SYMBOLS))
-        .when(F.startswith(x, F.lit(" ")), names(F.substring(x, 2, 1 << 30), CONTEXT_SYMBOLS)).otherwise(F.array().cast("array<string>")),
-    )
-    every = F.concat(names(F.col("heading"), CHANGED_SYMBOLS), F.flatten(lines))
+    lines = lambda signs: F.array_join(F.regexp_extract_all("body", F.lit(f"(?dm)^{signs}(.*)"), 1), "\n")
+    every = F.concat(names(F.col("heading"), CHANGED_SYMBOLS), names(lines("[+-]"), CHANGED_SYMBOLS), names(lines(" "), CONTEXT_SYMBOLS))
     return F.array_distinct(F.filter(every, lambda s: (F.length(s) >= 3) & ~F.lower(s).isin(*SYMBOL_STOPWORDS)))
 
 
 def token_counts(tree: DataFrame) -> DataFrame:
-    """token, path, n: occurrences in every file of a tree (path, text). Tokens are words, and runs of
-    word signs and ``$`` that hold a ``$``."""
-    words = F.concat(F.regexp_extract_all("text", F.lit(r"(?U)(\w+)"), 1), F.regexp_extract_all("text", F.lit(r"(?U)([\w$]*\$[\w$]*)"), 1))
-    return tree.select("path", F.explode(words).alias("token")).groupBy("token", "path").agg(F.count("*").alias("n"))
-
-
-def _dollar_counts(asked: DataFrame, counts: DataFrame) -> DataFrame:
-    """Counts of the symbols with a ``$`` (asked: symbol) at word boundaries: such a symbol begins and ends
-    at boundaries of a run, so the parts of a run between boundaries, no longer than the longest symbol, meet
-    the symbols in a join."""
-    runs = counts.where(F.contains("token", F.lit("$")))
-    longest = asked.agg(F.max(F.length("symbol")).alias("longest"))
-    runs = runs.crossJoin(F.broadcast(longest))  # one row
-    n = F.length("token")
-    is_word = lambda i: (i >= 1) & (i <= n) & (F.substring("token", i, F.lit(1)) != "$")
-    edges = F.filter(F.sequence(F.lit(1), n + 1), lambda i: is_word(i) != is_word(i - 1))
-    runs = runs.select("token", "path", "n", "longest", F.explode(F.array(edges)).alias("edges"))
-    ends = lambda i: F.filter("edges", lambda j: (j > i) & (j - i <= F.col("longest")))
-    parts = F.array_distinct(F.flatten(F.transform("edges", lambda i: F.transform(ends(i), lambda j: F.substring("token", i, j - i)))))
-    parts = runs.select("token", "path", "n", F.explode(F.filter(parts, lambda p: F.contains(p, F.lit("$")))).alias("symbol")).join(asked, "symbol")
-    pattern = F.concat(F.lit(r"(?U)\b\Q"), "symbol", F.lit(r"\E\b"))
-    return parts.groupBy("symbol", "path").agg(F.sum(F.col("n") * F.regexp_count("token", pattern)).alias("n")).select(F.col("symbol").alias("token"), "path", "n")
+    """token, path, n, dollar: occurrences in every file of a tree (path, text). Tokens are words, and,
+    marked as such, runs of word signs and ``$`` that hold a ``$``."""
+    def counted(text: DataFrame, pattern: str, dollar: bool) -> DataFrame:
+        found = text.select("path", F.explode(F.regexp_extract_all("text", F.lit(pattern), 1)).alias("token"))
+        return found.groupBy("token", "path").agg(F.count("*").alias("n")).select("token", "path", "n", F.lit(dollar).alias("dollar"))
+
+    words = counted(tree, r"(?U)(\w+)", False)
+    return words.unionByName(counted(tree.where(F.contains("text", F.lit("$"))), r"(?U)((?:\w*\$)+\w*)", True))
+
+
+def _dollar_counts(asked: DataFrame, runs: DataFrame) -> DataFrame:
+    """Counts at word boundaries of the symbols with a ``$``. Where such a symbol is, its first word is a whole
+    word of a run, by which symbols and runs meet."""
+    first = asked.select("symbol", F.regexp_extract("symbol", r"(?U)(\w+)", 1).alias("word")).distinct()
+    words = runs.select("token", "path", "n", F.explode(F.array_distinct(F.regexp_extract_all("token", F.lit(r"(?U)(\w+)"), 1))).alias("word"))
+    times = F.regexp_count("token", F.concat(F.lit(r"(?U)\b\Q"), "symbol", F.lit(r"\E\b")))
+    return words.join(first, "word").select("symbol", "path", (F.col("n") * times).alias("n")).where("n > 0")
 
 
 def symbol_uses(hunks: DataFrame, counts: DataFrame) -> DataFrame:
-    """diff_id, file_seq, hunk_seq, symbol, uses outside the hunk's own file. Distinct (symbol, path)
-    pairs meet the tree's sums for each symbol, less the own file's: no pair of hunk and file is made."""
+    """diff_id, file_seq, hunk_seq, symbol, uses outside the hunk's own file, for symbols that the tree holds.
+
+    Distinct (symbol, path) pairs meet the tree's sums for each symbol, less the own file's: no pair of
+    hunk and file is made.
+    """
     key = ["diff_id", "file_seq", "hunk_seq"]
-    own = hunks.select(*key, slashed("file_path").alias("file_path"), F.explode(symbols()).alias("symbol"))
-    asked = own.select("symbol", "file_path").distinct()
-    plain = counts.where(~F.contains("token", F.lit("$")))
-    counts = plain.unionByName(_dollar_counts(asked.select("symbol").where(F.contains("symbol", F.lit("$"))).distinct(), counts))
-    counts = counts.withColumnRenamed("token", "symbol").join(asked.select("symbol").distinct(), "symbol", "left_semi")
-    everywhere = counts.groupBy("symbol").agg(F.sum("n").alias("all"))
-    here = counts.select("symbol", F.col("path").alias("file_path"), F.col("n").alias("own"))
-    uses = asked.join(everywhere, "symbol").join(here, ["symbol", "file_path"], "left")
-    uses = uses.select("symbol", "file_path", (F.col("all") - F.coalesce("own", F.lit(0))).alias("uses"))
-    return own.join(uses, ["symbol", "file_path"]).select(*key, "symbol", "uses")
+    own = hunks.select(*key, slashed("file_path").alias("path"), F.explode(symbols()).alias("symbol"))
+    # an aggregate, so that the filter below reads the same exchange as the union
+    asked = own.groupBy("symbol", "path").agg(F.max(F.contains("symbol", F.lit("$"))).alias("dollar"))
+    plain = counts.where("not dollar").select(F.col("token").alias("symbol"), "path", "n")
+    seen = plain.unionByName(_dollar_counts(asked.where("dollar"), counts.where("dollar"))).withColumn("asked", F.lit(0))
+    seen = seen.unionByName(asked.select("symbol", "path", F.lit(0).cast("long").alias("n"), F.lit(1).alias("asked")))
+    at = seen.groupBy("symbol", "path").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
+    everywhere = at.groupBy("symbol").agg(F.sum("n").alias("all"), F.max("asked").alias("any")).where("any = 1 and all > 0")
+    uses = at.where("asked = 1").join(everywhere, "symbol").select("symbol", "path", (F.col("all") - F.col("n")).alias("uses"))
+    return own.join(uses, ["symbol", "path"]).select(*key, "symbol", "uses")
 
 
 def with_blast_radius(hunks: DataFrame, counts: DataFrame) -> DataFrame:

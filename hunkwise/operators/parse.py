@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 _LINE_END = r"\r\n|[\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 _HUNK = r"@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@(.*)"
 _BEFORE_HUNK = r"(?dm)^(?=@@ -\d+(?:,\d+)? \+\d+(?:,\d+)? @@)"
-_FIELD = r"^(?:old mode |new mode |deleted file mode |new file mode |rename from |rename to |copy from |copy to |Binary files |GIT binary patch|--- |\+\+\+ )"
+_FIELD = r"(?dm)^((?:old mode |new mode |deleted file mode |new file mode |rename from |rename to |copy from |copy to |Binary files |GIT binary patch|--- |\+\+\+ ).*)"
+#: Where a hunk's body ends although its record goes on.
+_BROKEN_OFF = r"\n(?=\+\+\+ |--- |[^+\- \\\n])"
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "a": "\x07", "b": "\b", "f": "\f", "v": "\v", "\\": "\\", '"': '"', "'": "'"}
 #: What a quoted path is made of: escapes by number, other escapes, and plain text.
 _PART = r"""\\[0-7]{1,3}|\\x[0-9A-Fa-f]{2}|\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+"""
@@ -62,7 +64,8 @@ def _path(value: Column) -> Column:
 
 def _described(recs: DataFrame) -> DataFrame:
     """records with path, change_type, old_path, new_path, old_mode, new_mode, is_binary."""
-    recs = recs.withColumn("_f", F.filter(F.split("record", "\n"), lambda x: F.rlike(x, F.lit(_FIELD))))
+    # a generator between keeps the fields from being found again for each use below
+    recs = recs.select("*", F.explode(F.array(F.regexp_extract_all("record", F.lit(_FIELD), 1))).alias("_f"))
 
     def values(of: str) -> Column:
         return F.transform(F.filter("_f", lambda x: F.startswith(x, F.lit(of))), lambda x: F.substring(x, len(of) + 1, 1 << 20))
@@ -77,7 +80,6 @@ def _described(recs: DataFrame) -> DataFrame:
 
     git = r"^diff --git a/(.+) b/(.+)$"
     first = F.substring_index("record", "\n", 1)
-    named = lambda g: F.when(F.rlike(first, F.lit(git)), _path(F.concat(F.lit("ab"[g - 1] + "/"), F.regexp_extract(first, git, g))))
     minus, plus = header("--- "), header("+++ ")
     kind = F.try_element_at(F.filter("_f", lambda x: F.rlike(x, F.lit("^(?:deleted file|new file|rename|copy) "))), F.lit(-1))
     change = (
@@ -85,18 +87,22 @@ def _described(recs: DataFrame) -> DataFrame:
         .when(F.startswith(kind, F.lit("deleted")), "deleted").when(F.startswith(kind, F.lit("new")), "added")
         .when(F.startswith(kind, F.lit("rename")), "renamed").when(F.startswith(kind, F.lit("copy")), "copied").otherwise("modified")
     )
-    missing = F.lit(None).cast("string")
-    old = F.coalesce(_path(last("rename from ", "copy from ")), named(1), F.when(minus != "/dev/null", F.nullif(_path(minus), F.lit(""))))
-    new = F.coalesce(_path(last("rename to ", "copy to ")), named(2), F.when(plus != "/dev/null", F.nullif(_path(plus), F.lit(""))))
+
+    def side(n: int, of_header: Column, *moved: str) -> Column:
+        """The path that a move names, else the first line, else the header; none where the header says so."""
+        named = F.when(F.rlike(first, F.lit(git)), F.concat(F.lit("ab"[n - 1] + "/"), F.regexp_extract(first, git, n)))
+        said = F.coalesce(last(*moved), named, F.nullif(of_header, F.lit("")))
+        return F.when(~F.coalesce(of_header == "/dev/null", F.lit(False)), _path(said))
+
+    old, new = side(1, minus, "rename from ", "copy from "), side(2, plus, "rename to ", "copy to ")
     out = recs.select(
-        "diff_id", "file_seq", "record", change.alias("change_type"),
-        F.when(F.coalesce(minus == "/dev/null", F.lit(False)), missing).otherwise(old).alias("old_path"),
-        F.when(F.coalesce(plus == "/dev/null", F.lit(False)), missing).otherwise(new).alias("new_path"),
+        "diff_id", "file_seq", "record", change.alias("change_type"), old.alias("old_path"), new.alias("new_path"),
         last("old mode ", "deleted file mode ").alias("old_mode"),
         last("new mode ", "new file mode ").alias("new_mode"),
         F.exists("_f", lambda x: F.rlike(x, F.lit("^(?:Binary files |GIT binary patch)"))).alias("is_binary"),
     )
-    return out.withColumn("path", F.coalesce("new_path", "old_path")).where("path is not null")
+    # drops records without a path, where a filter would have the paths found twice
+    return out.select("*", F.explode(F.array_compact(F.array(F.coalesce("new_path", "old_path")))).alias("path"))
 
 
 def parse_files(diffs: DataFrame) -> DataFrame:
@@ -106,19 +112,19 @@ def parse_files(diffs: DataFrame) -> DataFrame:
 def parse_hunks(diffs: DataFrame) -> DataFrame:
     """Every hunk of every diff (diff_id, text), with its file's path and kind of change."""
     recs = _described(records(diffs)).select("diff_id", "file_seq", F.col("path").alias("file_path"), "change_type", F.posexplode(F.split("record", _BEFORE_HUNK)).alias("hunk_seq", "piece"))
-    recs = recs.where("hunk_seq > 0").withColumn("lines", F.split(F.regexp_replace("piece", r"\n\z", ""), "\n"))
-    head, rest = F.get("lines", F.lit(0)), F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))
-    broken = F.array_position(F.transform(rest, lambda x: F.rlike(x, F.lit(r"^(?:\+\+\+ |--- |[^+\- \\])"))), True)
-    kept = F.when(broken == 0, rest).otherwise(F.slice(rest, 1, (broken - 1).cast("int")))
+    recs = recs.where("hunk_seq > 0")
+    recs = recs.select("*", F.explode(F.array(F.get(F.split(F.regexp_replace("piece", r"\n\z", ""), _BROKEN_OFF, 2), F.lit(0)))).alias("hunk"))
+    head = F.substring_index("hunk", "\n", 1)
+    body = F.substring("hunk", F.length(head) + 2, F.length("hunk"))
     part = lambda g: F.regexp_extract(head, "^" + _HUNK, g)
     number = lambda g: F.coalesce(F.nullif(part(g), F.lit("")), F.lit("1")).cast("int")
     hunks = recs.select(
         "diff_id", "file_seq", "hunk_seq", "file_path", "change_type",
         number(1).alias("old_start"), number(2).alias("old_lines"), number(3).alias("new_start"), number(4).alias("new_lines"),
-        part(5).alias("heading"), kept.alias("_body"),
+        part(5).alias("heading"), body.alias("body"),
     )
-    count = lambda sign: F.size(F.filter("_body", lambda x: F.startswith(x, F.lit(sign))))
-    hunks = hunks.withColumns({"body": F.array_join("_body", "\n"), "added": count("+"), "removed": count("-")}).drop("_body")
+    count = lambda sign: F.regexp_count("body", F.lit(r"(?dm)^\%s" % sign))
+    hunks = hunks.withColumns({"added": count("+"), "removed": count("-")})
     return with_id(hunks.withColumn("changed", F.col("added") + F.col("removed")))
 
 

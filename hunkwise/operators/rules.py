@@ -59,13 +59,13 @@ def _filled(text: str, value: Column) -> Column:
 
 
 def side(sign: str) -> Column:
-    """The lines of a body that start with a sign, without it."""
-    return F.transform(F.filter(F.split("body", "\n"), lambda x: F.startswith(x, F.lit(sign))), lambda x: F.substring(x, 2, 1 << 30))
+    """The lines of a body that start with a sign, without it, as one text."""
+    return F.array_join(F.regexp_extract_all("body", F.lit(rf"(?dm)^\{sign}(.*)"), 1), "\n")
 
 
 def with_text(hunks: DataFrame) -> DataFrame:
-    """Add the lines that the rules read: _plus, _minus, and the added lines as one text."""
-    return hunks.withColumns({"_plus": side("+"), "_minus": side("-")}).withColumn("_added", F.array_join("_plus", "\n"))
+    """Add the texts that the rules read: added and removed lines."""
+    return hunks.withColumns({"_added": side("+"), "_removed": side("-")})
 
 
 def size() -> Column:
@@ -94,27 +94,30 @@ def deletion() -> Column:
 
 
 def danger() -> Column:
-    return F.flatten(F.array(deletion(), *[counted("danger", times("_added", p, i), points, reason) for p, i, points, reason in DANGER]))
+    return F.concat(deletion(), counted("danger", [(times("_added", p, i), points, reason) for p, i, points, reason in DANGER]))
 
 
 def control() -> Column:
-    bare = lambda lines: F.transform(lines, lambda x: F.regexp_replace(x, r"(?s)(?:#|//).*", ""))
-    plus, minus = bare(F.col("_plus")), bare(F.col("_minus"))
-    both = F.concat(plus, minus)
-    text = F.array_join(both, "\n")
-    has = lambda lines, o: F.exists(lines, lambda x: F.contains(x, F.lit(o)))
-    holds = lambda lines: F.array_compact(F.array(*[F.when(has(lines, o), F.lit(o)) for o in OPERATORS]))
-    ops_plus, ops_minus = holds(plus), holds(minus)
+    bare = lambda text: F.regexp_replace(text, "(?d)(?:#|//).*", "")
+    plus, minus = bare(F.col("_added")), bare(F.col("_removed"))
+    text = F.when(F.col("added") == 0, minus).when(F.col("removed") == 0, plus).otherwise(F.concat(plus, F.lit("\n"), minus))
+    holds = lambda side: F.array_compact(F.array(*[F.when(F.contains(side, F.lit(o)), F.lit(o)) for o in OPERATORS]))
     shown = lambda ops: F.when(F.size(ops) == 0, "·").otherwise(F.array_join(F.array_sort(ops), "/"))
-    lost, gained = F.array_except(ops_minus, ops_plus), F.array_except(ops_plus, ops_minus)
-    flips = (F.size(ops_plus) > 0) & (F.size(ops_minus) > 0) & ((F.size(lost) > 0) | (F.size(gained) > 0))
-    negated = lambda lines: F.exists(lines, lambda x: found(x, r"\bnot\b", False))
-    parts = [
-        when(flips, "control", COMPARISON, _filled(COMPARISON_REASON, F.concat(shown(lost), F.lit(" → "), shown(gained)))),
-        when(negated(plus) != negated(minus), "control", NEGATION, _filled(NEGATION_REASON, F.when(negated(plus), "added").otherwise("removed"))),
-        *[counted("control", times(text, p, False), points, reason) for p, points, reason in CONTROL],
-    ]
-    return F.when(F.exists(both, lambda x: F.trim(x) != ""), F.flatten(F.array(*parts))).otherwise(none())
+    negated = lambda side: found(side, r"\bnot\b", False)
+
+    def signals(t: Column) -> Column:
+        lost, gained = F.array_except(t["minus"], t["plus"]), F.array_except(t["plus"], t["minus"])
+        flips = (F.size(t["plus"]) > 0) & (F.size(t["minus"]) > 0) & ((F.size(lost) > 0) | (F.size(gained) > 0))
+        parts = [
+            when(flips, "control", COMPARISON, _filled(COMPARISON_REASON, F.concat(shown(lost), F.lit(" → "), shown(gained)))),
+            when(t["not_plus"] != t["not_minus"], "control", NEGATION, _filled(NEGATION_REASON, F.when(t["not_plus"], "added").otherwise("removed"))),
+            counted("control", [(times(t["text"], p, False), points, reason) for p, points, reason in CONTROL]),
+        ]
+        return F.when(F.rlike(t["text"], F.lit("[^ \n]")), F.flatten(F.array(*parts))).otherwise(none())
+
+    # bound by a lambda variable, so that comments are cut off once
+    seen = F.struct(holds(plus).alias("plus"), holds(minus).alias("minus"), negated(plus).alias("not_plus"), negated(minus).alias("not_minus"), text.alias("text"))
+    return F.flatten(F.transform(F.array(seen), signals))
 
 
 def base_pack(kind: str = "cli", weights: dict[str, float] | None = None, extra: Sequence[tuple[str, int, str]] = ()) -> Column:

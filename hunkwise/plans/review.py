@@ -53,7 +53,7 @@ def review(diffs: DataFrame, options: Options = Options()) -> DataFrame:
     """Ranked hunks of diffs (diff_id, text), with signals, raw, score, tier and rank."""
     o, weight = options, lambda name: options.weights.get(name, 1.0)
     hunks = with_text(parse_hunks(diffs))
-    hunks = hunks.withColumn("signals", base_pack(o.pack, o.weights, o.extra_surface)).drop("_plus", "_minus", "_added")
+    hunks = hunks.withColumn("signals", base_pack(o.pack, o.weights, o.extra_surface)).drop("_added", "_removed")
     if o.token_counts is not None:
         hunks = _adding(hunks, lambda h: ctx.with_blast_radius(h, o.token_counts), weight("blast-radius"))
     if o.file_stats is not None:

@@ -28,6 +28,9 @@ SKIPPED_FOLDERS = (
     ".idea", ".gradle", "vendor", ".next", ".cache",
 )
 
+#: What a task reads from files.
+SPLIT_BYTES = 128 << 20
+
 Run = Callable[..., "subprocess.CompletedProcess[str]"]
 
 
@@ -35,6 +38,15 @@ class SourceError(RuntimeError):
     """A source that cannot be read, in words for the user."""
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a small table to all cores, for small files come in fewer splits than there are
+    cores. Beyond a split's worth of bytes for each core the table stays as it is read."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+
+
 def diffs_of(spark: SparkSession, texts: Iterable[tuple[str, str]]) -> DataFrame:
     """diff_id, text of diffs that the driver holds, such as one from standard input."""
     return spark.createDataFrame(list(texts), "diff_id string, text string")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hunkwise.sources.connectors import spread
+
 #: {} stands for doc_id % 40.
 PATHS = (
     "src/auth/login.py", "src/core/mod{}.py", "web/components/Card{}.tsx", "db/migrations/{}.sql", ".github/workflows/ci{}.yml", "Dockerfile", "package.json", "yarn.lock",
@@ -44,6 +46,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text."""
+    return spread(table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", "text"))
+
+
 def _among(values: tuple[str, ...], at: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (at % len(values) + 1).cast("int"))
 
@@ -62,7 +69,7 @@ def _joined(*parts: Column | str) -> Column:
 
 def diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """diff_id (the doc_id), text."""
-    docs = table(spark, sf_dir, "documents").where("doc_id is not null").select("doc_id", lines_of(F.col("text")).alias("ls"))
+    docs = documents(spark, sf_dir).select("doc_id", lines_of(F.col("text")).alias("ls"))
     even, n, doc = F.col("doc_id") % 2 == 0, F.size("ls"), F.col("doc_id")
     docs = docs.withColumn("per", F.when(n >= 267, 300).when((n >= 134) & even, 140).when((n >= 54) & even, 60).otherwise(24))
 
@@ -119,7 +126,7 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """path, text: documents as files of a repository, with the snippets' names in them."""
-    docs = table(spark, sf_dir, "documents").where("doc_id is not null")
+    docs = documents(spark, sf_dir)
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\n\x20-\x7e]", "")
     names = F.concat(_among(("parse_user", "loadUser", "tokenStore", "users"), F.col("doc_id")), F.lit(" handler_"), (F.col("doc_id") % 50).cast("string"))
     dollars = F.when(F.col("doc_id") % 3 == 0, " a$scope $scope load$user b$scope$c").otherwise("")
