@@ -67,7 +67,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, with its secrets masked and its number of characters counted anew; null texts stay null."""
-    clean = docs.withColumn("text", secrets.redacted(docs, path="source"))
+    clean = docs.withColumn("text", secrets.redacted(docs, path="source" if "source" in docs.columns else None))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.coalesce(F.char_length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
     return clean
@@ -95,6 +95,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     shelf = Shelf(spark)
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        with scope():
+        with scope(spark):
             docs = shelf.put(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct words of a generation whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: New words that are coded in one call.
 LINE = 64
 #: Sequences' worth of tokens that a pool gathers before it is packed.
@@ -242,10 +242,10 @@ def pack(
             return pa.record_batch([pa.array(c, pa.int64()) for c in cols], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
         for batch in batches:
-            doc_ids, texts, prompts = (batch.column(c).to_pylist() for c in ("doc_id", "text", "prompt"))
-            for lo in range(0, len(texts), 256):
-                before = encode(prompts[lo : lo + 256]) if prompt else [b""] * 256
-                for doc_id, first, data in zip(doc_ids[lo : lo + 256], before, encode(texts[lo : lo + 256]), strict=False):
+            for lo in range(0, batch.num_rows, 64):
+                doc_ids, texts, prompts = (batch.column(c).slice(lo, 64).to_pylist() for c in ("doc_id", "text", "prompt"))
+                before = encode(prompts) if prompt else [b""] * len(texts)
+                for doc_id, first, data in zip(doc_ids, before, encode(texts), strict=True):
                     # nothing precedes a document's first token
                     ids[number] = doc_id, first + data + end, max(1, len(first) // 4)
                     n = (len(first) + len(data)) // 4 + 1

@@ -5,9 +5,9 @@ driver share. A lost executor then costs the running tasks only: finished steps
 from the shared folder.
 
 What an operator returns may read its shelf's tables, so they stay until the session ends, or
-until the scope does in which the operator ran:
+until the scope does in which the operator ran. As long, Python is handed few rows at a time:
 
-    with scope():
+    with scope(spark):
         near_duplicates(docs).write.parquet(path)
 """
 
@@ -37,15 +37,10 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-@contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Hand Python 8 MB of rows at a time, so that long texts do not fill a worker. Results are the same."""
-    before = spark.conf.get(_BATCH)
+def small_batches(spark: SparkSession) -> None:
+    """Hand Python 8 MB of rows at a time, so that long texts do not fill a worker. Results are the same. What an
+    operator returns runs later, so the setting stays until the scope ends, or the session."""
     spark.conf.set(_BATCH, str(_BATCH_BYTES))
-    try:
-        yield
-    finally:
-        spark.conf.set(_BATCH, before)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -61,14 +56,16 @@ _scopes: list[list[Shelf]] = []
 
 
 @contextmanager
-def scope() -> Iterator[None]:
-    """Remove the tables of all shelves that are made inside, at the end."""
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables of all shelves that are made inside, and restore the session's settings, at the end."""
     _scopes.append([])
+    before = spark.conf.get(_BATCH)
     try:
         yield
     finally:
         for shelf in _scopes.pop():
             shelf.clear()
+        spark.conf.set(_BATCH, before)
 
 
 class Shelf:
@@ -76,6 +73,7 @@ class Shelf:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
+        small_batches(spark)
         self.folder = f"{shared_folder(spark)}/hunkwise/{uuid.uuid4().hex}"
         self.n = 0
         atexit.register(self._leave)
@@ -88,8 +86,7 @@ class Shelf:
         path = f"{self.folder}/{self.n}"
         if files:
             df = df.coalesce(files)
-        with small_batches(self.spark):
-            df.write.parquet(path)
+        df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df: DataFrame) -> None:

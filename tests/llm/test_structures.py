@@ -214,11 +214,12 @@ def test_keyed_filters_leave_columns_alone(spark):
 def test_shelves(spark):
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name)
-    with scope():
+    with scope(spark):
         shelf = Shelf(spark)
         table = shelf.put(spark.range(5).toDF("n"))
-        assert table.count() == 5 and spark.conf.get(name) == before
+        assert table.count() == 5
         files = table.inputFiles()
+    assert spark.conf.get(name) == before
     fs = spark._jvm.org.apache.hadoop.fs.Path(files[0])
     assert not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs)
 
