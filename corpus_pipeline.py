@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from hunkwise.llm import secrets
 from hunkwise.llm.keyed import fresh, only, without
 from hunkwise.llm.minhash import near_duplicates
-from hunkwise.llm.packing import pack
+from hunkwise.llm.packing import lean_tokens, pack
 from hunkwise.llm.queries import table, tokenizer_file
 from hunkwise.llm.shelf import Shelf, scope
 from hunkwise.llm.toxicity import toxicity
@@ -75,7 +75,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of every document with their places in sequences; a null text is the end token alone."""
-    return pack(docs, tokenizer_file())
+    return pack(docs, tokenizer_file(), tokens=lean_tokens)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Distinct words of a generation whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED, REMEMBERED_LEAN = 300_000, 200_000
 #: New words that are coded in one call.
 LINE = 64
 #: Sequences' worth of tokens that a pool gathers before it is packed.
@@ -63,7 +63,7 @@ class Tokens:
     whole by the tokenizer, as are all others that it has not met.
     """
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core
@@ -80,6 +80,7 @@ class Tokens:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.remembered = remembered
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -120,7 +121,7 @@ class Tokens:
         for lo in range(0, len(texts), 64):
             split = [(_STRINGS if any(a in t for a in self.added) else _PIECES).findall(t) for t in (x or "" for x in texts[lo : lo + 64])]
             known = self.known
-            if len(known) > REMEMBERED:
+            if len(known) > self.remembered:
                 self.old, self.known = known, {}
                 known = self.known
             self._learn({p for pieces in split for p in pieces if p not in known})
@@ -134,6 +135,12 @@ def shared_tokens(file: str) -> Tokens:
     return Tokens(file)
 
 
+@lru_cache(maxsize=1)
+def lean_tokens(file: str) -> Tokens:
+    """As shared_tokens, with less memory and more work, for workers that have served other stages."""
+    return Tokens(file, REMEMBERED_LEAN)
+
+
 def powers_of_two(n: int) -> list[int]:
     """n as falling powers of two."""
     return [1 << i for i in range(n.bit_length() - 1, -1, -1) if n >> i & 1]
