@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hunkwise.llm import licenses, secrets
+from hunkwise.llm import cleaning, licenses, secrets
+from hunkwise.llm.alignment import align
+from hunkwise.llm.cleaning import clean
 from hunkwise.llm.maxscore import quantised, top_k
 from hunkwise.llm.minhash import near_duplicates
 from hunkwise.llm.packing import pack
 from hunkwise.llm.quality import quality_scores
+from hunkwise.llm.resampling import resample
 from hunkwise.llm.sharding import shards
 from hunkwise.llm.toxicity import toxicity_scores
 from hunkwise.llm.urls import judge
@@ -24,10 +27,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_file() -> str:
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +87,18 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, per_100=80)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean(table(spark, sf_dir, "documents"), texts=False).drop("clean_text")
+
+
 QUERIES: dict[str, Query] = {
     "op1_maxscore": op1_maxscore,
     "op2_packing": op2_packing,
@@ -95,11 +110,20 @@ QUERIES: dict[str, Query] = {
     "op8_winnowing": op8_winnowing,
     "op9_quality": op9_quality,
     "op10_minhash": op10_minhash,
+    "op11_alignment": op11_alignment,
+    "op12_resampling": op12_resampling,
+    "op13_cleaning": op13_cleaning,
 }
 
 #: A-Z alone are lower-cased, as in the operator.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_maxscore": """
 with v as (
@@ -129,5 +153,61 @@ per as (
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
   sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join per using (row) left join items using (row)
+""",
+    "op12_resampling": f"""
+with crc_table as (
+  select list_transform(range(256), lambda c: list_reduce(range(8), lambda a, i: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, c)) as crcs
+), d as (select row_number() over () as row, doc_id, {_WORDS} as w from documents),
+b as (select {_WORDS} as w from benchmark),
+words as (select distinct unnest(w) as word from d union select distinct unnest(w) from b),
+hashed as (
+  select word, xor(list_reduce(
+    list_transform(range(octet_length(encode(word))), lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::bigint),
+    lambda c, x: xor(crcs[(xor(c, x) & 255) + 1], c >> 8), 4294967295::bigint), 4294967295) % 10000 as bucket
+  from words, crc_table
+), dw as (select row, unnest(w) as word from d), bw as (select unnest(w) as word from b),
+s as (select bucket, count(*) as n from dw join hashed using (word) group by bucket),
+t as (select bucket, count(*) as n from bw join hashed using (word) group by bucket),
+gains as (
+  select k.bucket, floor(1000 * ln((coalesce(t.n, 0) + 1.0::double) * ((select coalesce(sum(n), 0) from s)::double + 10000)
+    / ((coalesce(s.n, 0) + 1.0::double) * ((select coalesce(sum(n), 0) from t)::double + 10000))))::bigint as gain
+  from range(10000) k(bucket) left join s on s.bucket = k.bucket left join t on t.bucket = k.bucket
+), per as (select row, sum(gain)::bigint as weight from dw join hashed using (word) join gains using (bucket) group by row),
+scored as (
+  select row, doc_id, len(w)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+    coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint as score
+  from d left join per using (row)
+), able as (select row, row_number() over (order by score desc, doc_id) as rank from scored where n_features >= 20)
+select doc_id, n_features, weight, score, case when rank <= 10 * (select count(*) from able) // 100 then rank end as rank
+from scored left join able using (row)
+""",
+    "op13_cleaning": f"""
+with d as (select row_number() over () as row, doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+') as w from documents),
+split as (select row, generate_subscripts(string_split(text, chr(10)), 1) as pos, unnest(string_split(text, chr(10))) as line from d),
+lines as (
+  select *, regexp_extract_all(line, '[^ \\t-\\r]+') as words, translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as low,
+    row_number() over (partition by row, line order by pos) > 1 as again from split where regexp_matches(line, '[^ \\t-\\r]')
+), judged as (
+  select row, length(array_to_string(words, '')) as chars, len(regexp_extract_all(line, {_quoted(cleaning.SYMBOLS)})) as signs, again,
+    again or 5 * signs > len(words) or 5 * len(regexp_extract_all(line, {_quoted(cleaning.SHOUTS)})) > len(words)
+    or not ends and 25 * len(regexp_extract_all(line, {_quoted(cleaning.SENTENCE_MARKS)})) < len(words)
+    or len(regexp_extract_all(line, {_quoted(cleaning.SEPARATORS)})) >= 2
+    or not ends and len(words) <= {cleaning.MENU_WORDS} and regexp_matches(low, {_quoted(cleaning.MENU)})
+    or regexp_matches(low, {_quoted(cleaning.BOILERPLATE)}) as fails
+  from (select *, regexp_matches(line, {_quoted(cleaning.SENTENCE_END)}) as ends from lines)
+), per as (
+  select row, sum(chars) as chars, sum(signs) as signs, count(*) filter (again) as repeats, count(*) filter (fails) as failed, coalesce(sum(chars) filter (fails), 0) as lost
+  from judged group by row
+), windows as (select row, i, array_to_string(w[i:i + 7], ' ') as win from d, unnest(range(1, len(w) - 6)) t(i) where len(w) >= 8),
+twice as (select row, i from windows join (select row, win from windows group by all having count(*) > 1) using (row, win)),
+repeated as (select row, count(distinct p) as n from (select row, unnest(range(i, i + 8)) as p from twice) group by row),
+figures as (
+  select doc_id, len(w)::bigint as n_words, coalesce(chars, 0)::bigint as word_chars, coalesce(signs, 0)::bigint as n_symbols, coalesce(repeats, 0)::bigint as n_dup_lines,
+    coalesce(repeated.n, 0)::bigint as n_repeat_words, coalesce(failed, 0)::bigint as n_failed_lines, coalesce(lost, 0)::bigint as lost_chars
+  from d left join per using (row) left join repeated using (row)
+)
+select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and 100 * lost_chars <= {cleaning.MOST_LOST} * word_chars as kept
+from figures
 """,
 }

@@ -7,7 +7,7 @@ temporary arrays; a single long document is a run of its own.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -76,14 +76,14 @@ def runs(column: pa.Array, most_bytes: int = 1 << 19) -> Iterator[tuple[int, int
 class Words:
     """The words of a run of documents.
 
-    start, end: byte positions; doc: each word's document; hash: of the lower-cased bytes;
-    first[d] is the number of words before document d.
+    start, end: byte positions; doc: each word's document; hash: of the lower-cased bytes, or with
+    ``lower=False`` of the bytes as they are; first[d] is the number of words before document d.
     """
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, kind: str, seed: int = 7):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, kind: str, seed: int = 7, lower: bool = True):
         is_word, low_of = byte_class(kind)
         self.n_docs = len(offs) - 1
-        self.low = low_of[data]
+        self.low = low_of[data] if lower else data
         word = is_word[data]
         head = np.zeros(len(data) + 1, dtype=bool)
         head[offs[:-1]] = True
@@ -96,7 +96,11 @@ class Words:
         self.end = np.flatnonzero(ends) + 1
         self.doc = np.searchsorted(offs, self.start, side="right") - 1
         self.first = np.searchsorted(self.start, offs)
-        self.hash = self._hash(seed)
+        self.seed = seed
+
+    @cached_property
+    def hash(self) -> np.ndarray:
+        return self._hash(self.seed)
 
     def __len__(self) -> int:
         return len(self.start)
