@@ -98,7 +98,7 @@ def test_shards(spark):
     assert all(len(s) == 1 for s in of.values())
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(sizes.values()) <= 1.05 * sum(sizes.values()) / 16
-    assert best_fit_decreasing([5, 4, 3, 2, 2], 8) == [0, 1, 0, 1, 1]
+    assert best_fit_decreasing([(5, 1), (4, 1), (3, 1), (2, 2)], 8) == [(5, 0, 1, 0), (4, 0, 1, 1), (3, 0, 1, 0), (2, 0, 2, 1)]
     assert shards(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
@@ -196,8 +196,8 @@ def test_overlapping_secrets_are_all_judged():
         def __init__(self, *lengths):
             self.lengths = lengths
 
-        def score(self, row):
-            return 0.9 if row[0] in self.lengths else 0.1
+        def score(self, candidate, before, after, path):
+            return 0.9 if len(candidate) in self.lengths else 0.1
 
     key = "wJalrXUtnFEMI7K9MDENGbPxRfiCYzEXq3Lm8TzA"
     text = f"see oauth2_token={key} end"
@@ -216,10 +216,12 @@ def test_overlapping_secrets_are_all_judged():
 
 
 def test_transitions_of_whole_candidates():
-    from hunkwise.llm.secrets import describe
+    from hunkwise.llm.secrets import Language, describe
+
+    known = Language({"the": 9, "exam": 4, "thex": 1})
 
     def mean(text):
-        return describe(text, "", "", "")[2]
+        return describe(text, "", "", "", known)[2]
 
     words, noise = "the" * 200, "xq" * 300
     # the join adds the pair "ex"
