@@ -172,6 +172,6 @@ def test_cleaning_edge_cases(spark):
     assert {r.doc_id for r in out if r.kept} == {None, 1, 9, 10} | {7} and len(out) == len(rows)
     of = {r.doc_id: r for r in out}
     assert of[7].n_repeat_words == 16 and of[7].clean_text is not None and of[8].base_failed
-    assert of[10].clean_text == good and of[10].lost_chars == 15
+    assert of[10].clean_text == good and of[10].lost_chars == 16
     assert (of[2].n_words, of[2].clean_text, of[2].base_failed, of[3].clean_text) == (0, None, True, "")
     assert cleaning.clean(frame.where("false")).count() == 0
