@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from hunkwise import __version__
 from hunkwise.operators import budgets, enrich, render, score
-from hunkwise.operators.context_rules import file_stats, parse_codeowners, token_counts
+from hunkwise.operators.context_rules import file_stats, parse_codeowners
 from hunkwise.operators.profiles import ProfileError, composed
 from hunkwise.plans.config import FILE_NAME, Config, ConfigError, load_config
 from hunkwise.plans.review import Options, review
@@ -81,7 +81,7 @@ def options(args: argparse.Namespace, config: Config, spark: SparkSession, repo:
         intent = connectors.intent_from_pr(args.intent_from_pr, args.repo_slug)
     return Options(
         weights=config.weights, extra_surface=config.extra_surface, custom_profiles=config.profiles,
-        token_counts=token_counts(tree) if tree is not None else None, file_stats=file_stats(history) if history is not None else None,
+        tree=tree, file_stats=file_stats(history) if history is not None else None,
         codeowners=parse_codeowners(codeowners), author=(args.author or "").strip(), intent=F.lit(intent) if intent and intent.strip() else None,
         no_tests=args.no_tests, profiles=[n.strip() for chunk in args.profiles for n in chunk.split(",") if n.strip()],
     )

@@ -5,11 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hunkwise.functions.bitmap import bit_map, maybe_among
 from hunkwise.functions.rx import found, rx
 from hunkwise.functions.signals import none, signal, total
+from hunkwise.operators.owner_index import Entries, first_of, path_owners
 
 # Fixed values of the hotspot rule: words of fixes, shares and floors, and the bonus.
 FIX = r"\b(?:fix(?:e[sd])?|fixing|bug(?:s|fix|fixes)?|hotfix|revert(?:s|ed)?|regress(?:ion|ions|ed)?|patch(?:e[sd])?|broke|broken|breakage|defect|issue|repair(?:s|ed)?)\b"
@@ -17,6 +19,8 @@ HOT = ((0.60, 6, 14, "a top change hotspot"), (0.30, 4, 10, "changes very freque
 FIX_RATIO, FIX_POINTS, FIX_WORDS = 0.34, 4, " and is repeatedly fixed"
 # Fixed values of the owner rule.
 OTHER_OWNER, UNOWNED = 8, 12
+#: Entries that are tried at each hunk.
+OWNERS_IN_ROW = 16
 UNOWNED_REASON = "no CODEOWNERS entry — unowned file"
 # Fixed values of the intent rule.
 INTENT_STOPWORDS = (
@@ -92,72 +96,14 @@ def parse_codeowners(text: str) -> list[tuple[str, list[str]]]:
     return [(r[0], r[1:]) for r in rows if r and not r[0].startswith("#")]
 
 
-def _one_of(body: str) -> str:
-    """What stands between the brackets of a shell pattern, as a regular expression for one sign."""
-    negative, body = body.startswith("!"), body.removeprefix("!")
-    spans, at = [], 0
-    while at < len(body):
-        if body[at + 1 : at + 2] == "-" and at + 2 < len(body):
-            lo, hi, at = body[at], body[at + 2], at + 3
-        else:
-            lo, hi, at = body[at], body[at], at + 1
-        if lo <= hi:  # a range that runs backwards holds nothing
-            spans.append(f"\\x{{{ord(lo):x}}}-\\x{{{ord(hi):x}}}")
-    if not spans:
-        return "." if negative else "(?!)"
-    return f"[{'^' if negative else ''}{''.join(spans)}]"
-
-
-def _glob(pattern: str) -> str:
-    """A shell pattern as a regular expression; ? and * stand for any sign, slashes too. An open bracket is a sign."""
-    out, at = [], 0
-    while at < len(pattern):
-        c, at = pattern[at], at + 1
-        end = -1
-        if c == "[":
-            first = at + (pattern[at : at + 1] == "!")
-            end = pattern.find("]", first + 1)  # a bracket that comes first is one of the signs
-        if end >= 0:
-            out.append(_one_of(pattern[at:end]))
-            at = end + 1
-        else:
-            out.append(".*" if c == "*" else "." if c == "?" else f"\\x{{{ord(c):x}}}")
-    return "".join(out)
-
-
-def _literal(text: str) -> str:
-    return "".join(f"\\x{{{ord(c):x}}}" for c in text)
-
-
-def owner_pattern(pattern: str) -> tuple[str, bool]:
-    """(regular expression of the paths that a CODEOWNERS pattern owns, whether a path's last part may fit as well)."""
-    if pattern in ("*", "/*"):
-        return r"(?s)\A.*\z", False
-    body = pattern.lstrip("/").rstrip("/")
-    below = _literal(body) + "/.*"
-    if pattern.endswith("/"):
-        return rf"(?s)\A(?:{_literal(body)}|{below})\z", False
-    if "/" not in body:
-        return rf"(?s)\A{_glob(body)}\z", True
-    more = f"|{_literal(body[:-3])}.*" if body.endswith("/**") else ""
-    return rf"(?s)\A(?:{_glob(body)}|{below}{more})\z", False
-
-
-def owners_of(path: Column, entries: Sequence[tuple[str, list[str]]]) -> Column:
-    """The owners by the last entry that fits; empty if none. One flat choice, however many entries."""
-    last_part = F.substring_index(path, "/", -1)
-    out = None
-    for pattern, owners in reversed(entries):
-        rx_, by_part = owner_pattern(pattern)
-        fits = F.rlike(path, F.lit(rx_))
-        fits = fits | F.rlike(last_part, F.lit(rx_)) if by_part else fits
-        value = F.array(*map(F.lit, owners)).cast("array<string>")
-        out = F.when(fits, value) if out is None else out.when(fits, value)
-    none_ = F.array().cast("array<string>")
-    return none_ if out is None else out.otherwise(none_)
-
-
-def owners(entries: Sequence[tuple[str, list[str]]], author: str) -> Column:
+def owners_of(path: Column, entries: Entries) -> Column:
+    """The owners by the last entry that fits, tried by its pattern; empty if none."""
+    values = [(pattern, F.array(*map(F.lit, owners)).cast("array<string>")) for pattern, owners in entries]
+    return first_of(path, values, F.array().cast("array<string>"))
+
+
+def owners(author: str) -> Column:
+    """The signal by the owners in ``_owners``."""
     mine = F.exists("_owners", lambda o: F.lower(o) == author.lower())
     n = F.size("_owners")
     named = F.when(n == 1, F.get("_owners", F.lit(0))).when(n == 2, F.array_join("_owners", " and ")).otherwise(
@@ -168,12 +114,19 @@ def owners(entries: Sequence[tuple[str, list[str]]], author: str) -> Column:
     )
 
 
-def with_owners(hunks: DataFrame, entries: Sequence[tuple[str, list[str]]], author: str) -> DataFrame:
+def with_owners(hunks: DataFrame, entries: Entries, author: str) -> DataFrame:
+    """Append the signal on files that others own. A few entries are tried where the hunk is; more are looked
+    up once for each distinct path."""
     if not entries or not author:
         return hunks
-    # a generator keeps the choice from being made again for each use below
-    out = hunks.select("*", F.explode(F.array(owners_of(slashed("file_path"), entries))).alias("_owners"))
-    return out.withColumn("signals", F.concat("signals", owners(entries, author))).drop("_owners")
+    if len(entries) <= OWNERS_IN_ROW:
+        # a generator keeps the choice from being made again for each use below
+        out = hunks.select("*", F.explode(F.array(owners_of(slashed("file_path"), entries))).alias("_owners"))
+    else:
+        named = hunks.withColumn("_path", slashed("file_path"))
+        found = path_owners(named.select(F.col("_path").alias("path")).distinct(), entries).toDF("_path", "_owners")
+        out = named.join(found, "_path", "left").withColumn("_owners", F.coalesce("_owners", F.array().cast("array<string>"))).drop("_path")
+    return out.withColumn("signals", F.concat("signals", owners(author))).drop("_owners")
 
 
 # ---- intent
@@ -190,7 +143,7 @@ def keywords(text: Column) -> Column:
 def hunk_keywords() -> Column:
     """Of the path without its extension, and of the changed lines."""
     changed = F.filter(F.split("body", "\n"), lambda x: F.rlike(x, F.lit("^[+-]")) & ~F.rlike(x, F.lit(r"^(?:\+\+\+|---)")))
-    path = F.regexp_replace("file_path", r"\.[^./]*$", "")
+    path = F.regexp_replace("file_path", r"\.[A-Za-z0-9]+$", "")
     return keywords(F.concat_ws("\n", path, F.array_join(F.transform(changed, lambda x: F.substring(x, 2, 1 << 30)), "\n")))
 
 
@@ -231,18 +184,25 @@ def stem(path: Column | str) -> Column:
     return _without_extension(F.substring_index(_low(path), "/", -1))
 
 
-def test_evidence(files: DataFrame) -> DataFrame:
-    """diff_id, stems: of every part of the paths of a diff's test files; diffs without any are absent."""
-    parts = F.transform(F.split(_low("path"), "/"), _without_extension)
+def test_stems(path: Column | str) -> Column:
+    """Of every part of a test file's path."""
+    parts = F.transform(F.split(_low(path), "/"), _without_extension)
     without = lambda p, affix: F.regexp_replace(p, affix, "")
     parts = F.transform(parts, lambda p: without(without(without(p, r"^test[_-]"), r"[_-]test$"), r"\.(?:test|spec)$"))
-    stems = F.filter(parts, lambda p: (p != "") & ~p.isin(*GENERIC_STEMS))
-    return files.where(is_test("path")).groupBy("diff_id").agg(F.array_distinct(F.flatten(F.collect_set(stems))).alias("stems"))
+    return F.filter(parts, lambda p: (p != "") & ~p.isin(*GENERIC_STEMS))
+
+
+def with_test_evidence(rows: DataFrame) -> DataFrame:
+    """Rows of files and hunks (``parse_rows``) with ``stems``: of the test files of their diff, null without any.
+    The rows of a diff meet as they do for their ranks, so this costs no exchange of its own."""
+    found = F.when(F.col("hunk_seq") == 0, F.when(is_test("file_path"), test_stems("file_path")))
+    of_diff = F.collect_list(found).over(Window.partitionBy("diff_id"))
+    return rows.withColumn("_tests", of_diff).withColumn("stems", F.when(F.size("_tests") > 0, F.array_distinct(F.flatten("_tests")))).drop("_tests")
 
 
-def with_no_tests(hunks: DataFrame, files: DataFrame, weight: float = 1.0) -> DataFrame:
-    """Append the signal to risky hunks of code that no touched test covers; after all other rules."""
-    out = hunks.join(test_evidence(files), "diff_id", "left")
+def with_no_tests(hunks: DataFrame) -> DataFrame:
+    """Append the signal to risky hunks of code that no touched test covers (``stems``); after all other rules."""
+    out = hunks
     code = ~F.rlike(_low("file_path"), F.lit("(?:" + "|".join(re.escape(s) for s in NON_CODE) + ")$"))
     own = stem("file_path")
     risky = ~is_test("file_path") & code & (total(F.col("signals")) >= RISKY)
@@ -270,47 +230,52 @@ def symbols() -> Column:
     return F.array_distinct(F.filter(every, lambda s: (F.length(s) >= 3) & ~F.lower(s).isin(*SYMBOL_STOPWORDS)))
 
 
-def token_counts(tree: DataFrame) -> DataFrame:
-    """token, path, n, dollar: occurrences in every file of a tree (path, text). Tokens are words, and,
-    marked as such, runs of word signs and ``$`` that hold a ``$``."""
-    def counted(text: DataFrame, pattern: str, dollar: bool) -> DataFrame:
-        found = text.select("path", F.explode(F.regexp_extract_all("text", F.lit(pattern), 1)).alias("token"))
-        return found.groupBy("token", "path").agg(F.count("*").alias("n")).select("token", "path", "n", F.lit(dollar).alias("dollar"))
+_WORD = r"(?U)(\w+)"
 
-    words = counted(tree, r"(?U)(\w+)", False)
-    return words.unionByName(counted(tree.where(F.contains("text", F.lit("$"))), r"(?U)((?:\w*\$)+\w*)", True))
 
+def _words_in(tree: DataFrame, asked: DataFrame) -> DataFrame:
+    """symbol, path, n: words of every file of a tree (path, text) that are surely, or by a rare chance, asked for."""
+    words = tree.select("path", F.explode(F.regexp_extract_all("text", F.lit(_WORD), 1)).alias("symbol"))
+    return maybe_among(words, "symbol", bit_map(asked, "symbol")).groupBy("symbol", "path").agg(F.count("*").alias("n"))
 
-def _dollar_counts(asked: DataFrame, runs: DataFrame) -> DataFrame:
-    """Counts at word boundaries of the symbols with a ``$``. Where such a symbol is, its first word is a whole
-    word of a run, by which symbols and runs meet."""
-    first = asked.select("symbol", F.regexp_extract("symbol", r"(?U)(\w+)", 1).alias("word")).distinct()
-    words = runs.select("token", "path", "n", F.explode(F.array_distinct(F.regexp_extract_all("token", F.lit(r"(?U)(\w+)"), 1))).alias("word"))
-    times = F.regexp_count("token", F.concat(F.lit(r"(?U)\b\Q"), "symbol", F.lit(r"\E\b")))
+
+def _dollars_in(tree: DataFrame, asked: DataFrame) -> DataFrame:
+    """symbol, path, n: uses at word boundaries of the symbols with a ``$``. Where such a symbol is, its first word is
+    a whole word of a run of word signs and ``$``, by which symbols and runs meet."""
+    first = asked.where("dollar").select("symbol", F.regexp_extract("symbol", _WORD, 1).alias("word")).distinct()
+    runs = tree.where(F.contains("text", F.lit("$"))).select("path", F.explode(F.regexp_extract_all("text", F.lit(r"(?U)((?:\w*\$)+\w*)"), 1)).alias("run"))
+    words = runs.select("path", "run", F.explode(F.array_distinct(F.regexp_extract_all("run", F.lit(_WORD), 1))).alias("word"))
+    words = maybe_among(words, "word", bit_map(first, "word")).groupBy("word", "run", "path").agg(F.count("*").alias("n"))
+    times = F.regexp_count("run", F.concat(F.lit(r"(?U)\b\Q"), "symbol", F.lit(r"\E\b")))
     return words.join(first, "word").select("symbol", "path", (F.col("n") * times).alias("n")).where("n > 0")
 
 
-def symbol_uses(hunks: DataFrame, counts: DataFrame) -> DataFrame:
-    """diff_id, file_seq, hunk_seq, symbol, uses outside the hunk's own file, for symbols that the tree holds.
+def hunk_symbols(hunks: DataFrame, named: Column | None = None) -> DataFrame:
+    """diff_id, file_seq, hunk_seq, path, symbol; ``named``: the symbols, where they are already found."""
+    return hunks.select("diff_id", "file_seq", "hunk_seq", slashed("file_path").alias("path"), F.explode(symbols() if named is None else named).alias("symbol"))
+
 
-    Distinct (symbol, path) pairs meet the tree's sums for each symbol, less the own file's: no pair of
+def symbol_uses(own: DataFrame, tree: DataFrame) -> DataFrame:
+    """diff_id, file_seq, hunk_seq, symbol, uses outside the hunk's own file, for symbols that the tree (path, text) holds.
+
+    ``own`` (``hunk_symbols``) is read several times: a written table where finding symbols is dear. A bit map of them
+    is broadcast to the tree, so that of its words only those that are asked for are counted and shuffled.
+    Distinct (symbol, path) pairs then meet the tree's sums for each symbol, less the own file's: no pair of
     hunk and file is made.
     """
-    key = ["diff_id", "file_seq", "hunk_seq"]
-    own = hunks.select(*key, slashed("file_path").alias("path"), F.explode(symbols()).alias("symbol"))
-    # an aggregate, so that the filter below reads the same exchange as the union
     asked = own.groupBy("symbol", "path").agg(F.max(F.contains("symbol", F.lit("$"))).alias("dollar"))
-    plain = counts.where("not dollar").select(F.col("token").alias("symbol"), "path", "n")
-    seen = plain.unionByName(_dollar_counts(asked.where("dollar"), counts.where("dollar"))).withColumn("asked", F.lit(0))
+    names = own.select("symbol", F.contains("symbol", F.lit("$")).alias("dollar"))
+    seen = _words_in(tree, names.where("not dollar")).unionByName(_dollars_in(tree, names)).withColumn("asked", F.lit(0))
     seen = seen.unionByName(asked.select("symbol", "path", F.lit(0).cast("long").alias("n"), F.lit(1).alias("asked")))
     at = seen.groupBy("symbol", "path").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
     everywhere = at.groupBy("symbol").agg(F.sum("n").alias("all"), F.max("asked").alias("any")).where("any = 1 and all > 0")
     uses = at.where("asked = 1").join(everywhere, "symbol").select("symbol", "path", (F.col("all") - F.col("n")).alias("uses"))
-    return own.join(uses, ["symbol", "path"]).select(*key, "symbol", "uses")
+    return own.join(uses, ["symbol", "path"]).select("diff_id", "file_seq", "hunk_seq", "symbol", "uses")
 
 
-def with_blast_radius(hunks: DataFrame, counts: DataFrame) -> DataFrame:
-    uses = symbol_uses(hunks, counts)
+def with_blast_radius(hunks: DataFrame, own: DataFrame, tree: DataFrame) -> DataFrame:
+    """Append the signals of the hunks' symbols (``own``) that a tree (path, text) uses elsewhere."""
+    uses = symbol_uses(own, tree)
     points, label = F.lit(None).cast("int"), F.lit(None).cast("string")
     for least, p, text in reversed(BLAST):
         points, label = F.when(F.col("uses") >= least, p).otherwise(points), F.when(F.col("uses") >= least, text).otherwise(label)

@@ -109,11 +109,14 @@ def parse_files(diffs: DataFrame) -> DataFrame:
     return _described(records(diffs)).select("diff_id", "file_seq", "path", "change_type", "old_path", "new_path", "old_mode", "new_mode", "is_binary")
 
 
-def parse_hunks(diffs: DataFrame) -> DataFrame:
-    """Every hunk of every diff (diff_id, text), with its file's path and kind of change."""
-    recs = _described(records(diffs)).select("diff_id", "file_seq", F.col("path").alias("file_path"), "change_type", F.posexplode(F.split("record", _BEFORE_HUNK)).alias("hunk_seq", "piece"))
-    recs = recs.where("hunk_seq > 0")
-    recs = recs.select("*", F.explode(F.array(F.get(F.split(F.regexp_replace("piece", r"\n\z", ""), _BROKEN_OFF, 2), F.lit(0)))).alias("hunk"))
+def _pieces(diffs: DataFrame) -> DataFrame:
+    """A row for each file of every diff (hunk_seq 0) and for each of its hunks (from 1), with its text."""
+    split = F.posexplode(F.split("record", _BEFORE_HUNK)).alias("hunk_seq", "piece")
+    return _described(records(diffs)).select("diff_id", "file_seq", F.col("path").alias("file_path"), "change_type", split)
+
+
+def _read(pieces: DataFrame) -> DataFrame:
+    recs = pieces.select("*", F.explode(F.array(F.get(F.split(F.regexp_replace("piece", r"\n\z", ""), _BROKEN_OFF, 2), F.lit(0)))).alias("hunk"))
     head = F.substring_index("hunk", "\n", 1)
     body = F.substring("hunk", F.length(head) + 2, F.length("hunk"))
     part = lambda g: F.regexp_extract(head, "^" + _HUNK, g)
@@ -128,6 +131,16 @@ def parse_hunks(diffs: DataFrame) -> DataFrame:
     return with_id(hunks.withColumn("changed", F.col("added") + F.col("removed")))
 
 
+def parse_hunks(diffs: DataFrame) -> DataFrame:
+    """Every hunk of every diff (diff_id, text), with its file's path and kind of change."""
+    return _read(_pieces(diffs).where("hunk_seq > 0"))
+
+
+def parse_rows(diffs: DataFrame) -> DataFrame:
+    """The rows of ``parse_hunks`` and, with hunk_seq 0 and no text, one for each file: both out of one parse."""
+    return _read(_pieces(diffs).withColumn("piece", F.when(F.col("hunk_seq") > 0, F.col("piece"))))
+
+
 def with_id(hunks: DataFrame) -> DataFrame:
     """id: twelve hexadecimal digits that name a hunk by path, place and body."""
     zero = F.lit("\0")
@@ -149,7 +162,7 @@ def diff_counts(hunks: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def file_rollup(hunks: DataFrame) -> DataFrame:
-    """Lines added and removed, for each file and (file_seq 0) each diff."""
-    per_file = hunks.groupBy("diff_id", "file_seq").agg(F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.count("*").alias("hunks"))
-    levels = per_file.withColumn("file_seq", F.explode(F.array("file_seq", F.lit(0))))
-    return levels.groupBy("diff_id", "file_seq").agg(*[F.sum(c).alias(c) for c in ("added", "removed", "hunks")])
+    """Lines added and removed, for each file and (file_seq 0) each diff: one aggregate over both levels."""
+    sums = [F.sum("added").alias("added"), F.sum("removed").alias("removed"), F.count("*").alias("hunks")]
+    levels = hunks.groupingSets([["diff_id", "file_seq"], ["diff_id"]], "diff_id", "file_seq").agg(F.grouping("file_seq").alias("_diff"), *sums)
+    return levels.withColumn("file_seq", F.when(F.col("_diff") == 1, 0).otherwise(F.col("file_seq"))).drop("_diff")

@@ -200,6 +200,20 @@ def _owners() -> str:
   from (select *, {own} as o from h) where len(list_filter(o, lambda x: lower(x) = {text(corpus.AUTHOR.lower())})) = 0"""
 
 
+def _owners_index() -> str:
+    """As ``corpus.many_codeowners`` lists them, kind by kind."""
+    fits = (
+        "p = 'src/core/mod' || j || '.py'", "p = 'docs/guide' || j || '.md'", "regexp_extract(p, '[^/]*$') = 'handler' || j || '.py'", "starts_with(p, 'web/components/Card' || j) and p like '%.tsx'",
+        "starts_with(p, 'db/migrations/' || j)", "p like '%helper' || j || '.js'", "starts_with(p, 'lib' || j || '/')",
+    )
+    return f"""select {KEY}, 6, 0, 'owners', case when o is null then {ex.UNOWNED} else {ex.OTHER_OWNER} end, case when o is null then {text(ex.UNOWNED_REASON)} else 'owned by ' || o || ', not the author' end
+  from h left join (
+    select p, arg_max(case when i = 5000 then '@lib' when i % 50 = 7 then '@api' else '@team' || (i % 50) end, i) as o
+    from (select distinct file_path as p from h), (select i, (i // 7) % 60 as j from range(5001) t(i))
+    where case when i = 5000 then starts_with(p, 'lib/') else case i % 7 {" ".join(f"when {k} then {fit}" for k, fit in enumerate(fits))} end end group by p
+  ) on p = file_path where o is distinct from '@api'"""
+
+
 _STOP = _list(ex.INTENT_STOPWORDS)
 
 
@@ -211,7 +225,7 @@ def _keywords(of: str) -> str:
 
 def _intent() -> str:
     changed = "array_to_string(list_transform(list_filter(string_split(body, chr(10)), lambda x: (starts_with(x, '+') or starts_with(x, '-')) and not starts_with(x, '+++') and not starts_with(x, '---')), lambda x: substr(x, 2)), chr(10))"
-    own = _keywords(f"regexp_replace(file_path, '\\.[^./]*$', '') || chr(10) || {changed}")
+    own = _keywords(f"regexp_replace(file_path, '\\.[A-Za-z0-9]+$', '') || chr(10) || {changed}")
     short = corpus.INTENT if len(corpus.INTENT) <= 60 else corpus.INTENT[:59].rstrip() + "…"
     return f"""select {KEY}, 7, 0, 'intent', case when shared = 0 then {ex.NO_OVERLAP} else {ex.WEAK_OVERLAP} end,
   case when shared = 0 then 'touches ' || file_path || {text(f" but the PR is about '{short}' — nothing here matches that story")} else file_path || {text(f" barely relates to the stated PR intent '{short}' — possible scope creep")} end
@@ -367,6 +381,7 @@ SQL: dict[str, str] = {
     "file_churn": _sql("select path, commits, fixes, busiest from churn", CHURN),
     "hotspots": _long(_size() + " and false", _hotspots(), ctes=(CHURN,)),
     "owners": _long(_size() + " and false", _owners()),
+    "owners_index": _long(_size() + " and false", _owners_index()),
     "intent": _long(_size() + " and false", _intent()),
     "no_tests": _sql(f"select {KEY}, rule, points, reason from nt", BASE, CLI, TESTED, _signals(_size().replace("from h where", "from h where false and"), _no_tests(), name="nt")),
     "symbols": _sql(f"select {KEY}, symbol from sym", BASE, _symbols()),

@@ -11,6 +11,7 @@ from hunkwise.functions.signals import none
 from hunkwise.operators import budgets, context_rules, enrich, parse, render, rules, score
 from hunkwise.plans.review import Options, review
 from hunkwise.sources import corpus
+from hunkwise.sources.worktables import WorkTables
 
 Query = Callable[[SparkSession, str], DataFrame]
 KEY = ["diff_id", "file_seq", "hunk_seq"]
@@ -101,14 +102,26 @@ def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hunks(spark, sf_dir).select(*KEY, F.explode(context_rules.symbols()).alias("symbol"))
 
 
-def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return context_rules.token_counts(corpus.tree(spark, sf_dir))
+def _own_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return WorkTables(spark).put(context_rules.hunk_symbols(_hunks(spark, sf_dir)))
+
+
+def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = WorkTables(spark)
+    hunks = tables.put(_hunks(spark, sf_dir).select(*KEY, "file_path", context_rules.symbols().alias("symbols"), none().alias("signals")))
+    own = context_rules.hunk_symbols(hunks, F.col("symbols"))
+    return _long(context_rules.with_blast_radius(hunks, own, corpus.tree(spark, sf_dir)))
+
+
+def owners_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owners by thousands of entries."""
+    return _long(context_rules.with_owners(_hunks(spark, sf_dir).withColumn("signals", none()), corpus.many_codeowners(), corpus.AUTHOR))
 
 
 def everything(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules and a profile in one review."""
     return _ranked(
-        pack="library", token_counts=_counts(spark, sf_dir), file_stats=context_rules.file_stats(corpus.commits(spark, sf_dir)), codeowners=context_rules.parse_codeowners(corpus.CODEOWNERS), author=corpus.AUTHOR,
+        pack="library", tree=corpus.tree(spark, sf_dir), bodies=False, file_stats=context_rules.file_stats(corpus.commits(spark, sf_dir)), codeowners=context_rules.parse_codeowners(corpus.CODEOWNERS), author=corpus.AUTHOR,
         intent=F.lit(corpus.INTENT), no_tests=True, profiles=["security"],
     )(spark, sf_dir)
 
@@ -154,6 +167,7 @@ QUERIES: dict[str, Query] = {
     "intent": _added_to_nothing(lambda s, d, h: context_rules.with_intent(h, F.lit(corpus.INTENT))),
     "no_tests": no_tests,
     "symbols": symbols,
-    "symbol_uses": lambda s, d: context_rules.symbol_uses(_hunks(s, d), _counts(s, d)),
-    "blast_radius": _added_to_nothing(lambda s, d, h: context_rules.with_blast_radius(h, _counts(s, d))),
+    "symbol_uses": lambda s, d: context_rules.symbol_uses(_own_symbols(s, d), corpus.tree(s, d)),
+    "blast_radius": blast_radius,
+    "owners_index": owners_index,
 }

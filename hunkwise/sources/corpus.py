@@ -15,7 +15,7 @@ from hunkwise.sources.connectors import spread
 #: {} stands for doc_id % 40.
 PATHS = (
     "src/auth/login.py", "src/core/mod{}.py", "web/components/Card{}.tsx", "db/migrations/{}.sql", ".github/workflows/ci{}.yml", "Dockerfile", "package.json", "yarn.lock",
-    ".env.local", "lib/crypto/aes.go", "docs/guide{}.md", "tests/test_mod{}.py", "styles/main.css", "src/api/handler{}.py", "src/util/helper{}.js", ".gitlab-ci.yml",
+    ".env.local", "lib/crypto/aes.go", "docs/guide{}.md", "tests/test_mod{}.py", "styles/main.css", "src/api/handler{}.py", "src/util/helper{}.js", ".gitlab-ci.yml", "src/report{}.web_client",
 )
 SNIPPETS = (
     "eval(x)", "os.system(cmd)", "subprocess.run(a, shell=True)", "pickle.loads(b)", 'password = "hunter2hunter2"', "requests.get(u, verify=False)", 'cur.execute("SELECT a FROM t")', "chmod 777 f",
@@ -37,6 +37,14 @@ guide[!1]*.md @guides
 lib/[crypto/*.go @nobody
 """
 AUTHOR = "@API"
+
+
+def many_codeowners(n: int = 5000) -> list[tuple[str, list[str]]]:
+    """Entries of every kind, most of which fit no path; the last one that fits counts."""
+    kinds = ("/src/core/mod{}.py", "docs/guide{}.md", "handler{}.py", "/web/components/Card{}*.tsx", "db/migrations/{}/**", "*helper{}.js", "lib{}/")
+    return [(kinds[i % 7].format(i // 7 % 60), ["@api" if i % 50 == 7 else f"@team{i % 50}"]) for i in range(n)] + [("lib/", ["@lib"])]
+
+
 INTENT = "Rework user login handler and password session storage for the web client"
 EXTRA_SURFACE = ((r"(^|/)handler\d*[02468]\.py$", 5, "touches an even handler"), (r"\.tsx$", 4, "touches a component"))
 WEIGHTS = {"size": 0.5, "surface": 1.5, "danger": 0.25}

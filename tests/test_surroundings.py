@@ -57,7 +57,7 @@ def test_names_with_dollars_are_counted(spark):
     diff = f"--- a/own.js\n+++ b/own.js\n@@ -1 +1,5 @@\n{body}\n"
     tree = [("own.js", "load$user load$user plain_name"), ("b.js", "a$scope $scope load$user x.load$user;foo$ foo$b plain_name b$a$a$a"), ("c.js", "load$users b$scope$c ($scope)")]
     hunks = parse.parse_hunks(frame(spark, diff))
-    uses = context_rules.symbol_uses(hunks, context_rules.token_counts(spark.createDataFrame(tree, "path string, text string")))
+    uses = context_rules.symbol_uses(context_rules.hunk_symbols(hunks), spark.createDataFrame(tree, "path string, text string"))
     want = {}
     for name in ("$scope", "load$user", "foo$", "plain_name", "$a$a"):
         n = {path: len(re.findall(rf"\b{re.escape(name)}\b", text)) for path, text in tree}
