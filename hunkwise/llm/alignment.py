@@ -30,7 +30,6 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +39,10 @@ from pyspark.sql import functions as F
 
 from hunkwise.llm.shelf import Shelf
 
-#: Units of a generation that a worker remembers.
-REMEMBERED = 120_000
+#: Units of a generation that a worker remembers, and different groups.
+REMEMBERED, GROUPS = 200_000, 400_000
+#: New units that are coded in one call.
+LINE = 256
 #: Id pairs of a table that is broadcast: 24 bytes each.
 BROADCAST_PAIRS = 400_000
 
@@ -52,9 +53,9 @@ _RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best
 _BETWEEN = re.compile(r"(?<=\S) (?=\S)")
 _SPACE = "▁"
 
-#: Tokens of A and of B, groups, and the groups as text: ``a1,a2|b1;a3|b2,b3``.
-Unit = tuple[int, int, int, str]
-_NOTHING: Unit = (0, 0, 0, "")
+#: Tokens of A and of B, the groups' numbers as 32-bit integers, and the groups as text: ``a1,a2|b1;a3|b2,b3``.
+Unit = tuple[int, int, bytes, str]
+_NOTHING: Unit = (0, 0, b"", "")
 
 
 def byte_letters() -> dict[str, int]:
@@ -85,47 +86,80 @@ class Aligner:
         splitter = json.loads(self.a.to_str())
         before = splitter["pre_tokenizer"] or {}
         self.by_units = splitter["normalizer"] is None and before.get("type") == "ByteLevel" and bool(before.get("use_regex")) and not any(_SPACE in p.lstrip(_SPACE) for p in pieces)
+        self.a_length, self.b_length = (np.array([len(x) for x in of]) for of in (self.a_bytes, self.b_bytes))
         self.remembered = remembered
+        self.forget()
+
+    def forget(self) -> None:
         self.known: dict[str, Unit | None] = {}
         self.old: dict[str, Unit | None] = {}
+        self.number: dict[tuple[bytes, bytes], int] = {}  # of a group, by its ids
+        self.text: list[str] = []  # of a group
 
     def units(self, text: str) -> list[str]:
         return _BETWEEN.split(text) if self.by_units else [text]
 
-    def _cut(self, a: list[int], b: list[int], data: bytes) -> Unit | None:
-        """None where the tokens of a side do not spell the bytes."""
-        of_a, of_b = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(of_a) != data or b"".join(of_b) != data:
+    def _cut(self, a: list[int], b: list[int], data: bytes, ends: np.ndarray) -> list[Unit] | None:
+        """The units that end at those bytes; None where the tokens of a side do not spell the bytes, or go across."""
+        if b"".join([self.a_bytes[i] for i in a]) != data or b"".join([self.b_bytes[i] for i in b]) != data:
+            return None
+        a_ids, b_ids = np.array(a, "<i4"), np.array(b, "<i4")
+        a_ends, b_ends = np.cumsum(self.a_length[a_ids]), np.cumsum(self.b_length[b_ids])
+        both = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        last = np.searchsorted(both, ends)
+        if not np.array_equal(both[np.minimum(last, len(both) - 1)], ends):
             return None
-        a_ends, b_ends = list(accumulate(map(len, of_a))), list(accumulate(map(len, of_b)))
-        at_a, at_b = {e: i + 1 for i, e in enumerate(a_ends)}, {e: i + 1 for i, e in enumerate(b_ends)}
-        groups, i, j = [], 0, 0
-        for end in a_ends:
-            if end in at_b:
-                groups.append(f"{','.join(map(str, a[i : at_a[end]]))}|{','.join(map(str, b[j : at_b[end]]))}")
-                i, j = at_a[end], at_b[end]
-        return len(a), len(b), len(groups), ";".join(groups)
-
-    def coded(self, texts: list[str]) -> list[Unit | None]:
-        """Each text coded as a whole."""
+        to_a, to_b = np.searchsorted(a_ends, both) + 1, np.searchsorted(b_ends, both) + 1
+        a_data, b_data, number, codes = a_ids.tobytes(), b_ids.tobytes(), self.number, []
+        i = j = 0
+        for k, n in zip((4 * to_a).tolist(), (4 * to_b).tolist(), strict=True):
+            ids = a_data[i:k], b_data[j:n]
+            i, j = k, n
+            code = number.get(ids)
+            if code is None:
+                code = number[ids] = len(number)
+                self.text.append("|".join(",".join(map(str, np.frombuffer(x, "<i4").tolist())) for x in ids))
+            codes.append(code)
+        texts, data = [self.text[c] for c in codes], np.array(codes, "<i4").tobytes()
+        cuts = [0, *(last + 1).tolist()]
+        n_a, n_b = (np.diff(to[last], prepend=0).tolist() for to in (to_a, to_b))
+        return [(x, y, data[4 * lo : 4 * hi], ";".join(texts[lo:hi])) for x, y, lo, hi in zip(n_a, n_b, cuts, cuts[1:])]
+
+    def coded(self, lines: list[list[str]]) -> list[list[Unit] | None]:
+        """The units of each line, which is coded as a whole."""
+        texts = [" ".join(line) for line in lines]
         a = self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)
         b = self.b.encode(texts, num_threads=1)
-        return [self._cut(x.ids, y, f" {t}".encode()) for x, y, t in zip(a, b, texts, strict=True)]
+        ends = [np.cumsum([len(u.encode()) + 1 for u in line]) for line in lines]
+        return [self._cut(x.ids, y, f" {t}".encode(), e) for x, y, t, e in zip(a, b, texts, ends, strict=True)]
+
+    def whole(self, texts: list[str]) -> list[Unit | None]:
+        """Each text as one unit."""
+        return [x[0] if x else None for x in self.coded([[t] for t in texts])]
 
     def learn(self, units: Iterable[str]) -> None:
         """Afterwards ``known`` holds every one of the units."""
         if len(self.known) > self.remembered:
             self.old, self.known = self.known, {}
-        new, known, old = [], self.known, self.old
+        known, old = self.known, self.old
+        new = []
         for u in units:
-            if u not in known:
-                if u in old:
-                    known[u] = old[u]
-                else:
-                    new.append(u)
-        for lo in range(0, len(new), 256):
-            part = new[lo : lo + 256]
-            known.update(zip(part, self.coded(part), strict=True))
+            if u in old:
+                known[u] = old[u]
+            else:
+                new.append(u)
+        # a unit with white space at an end is a text's first or last
+        plain = [u for u in new if u and not u[0].isspace() and not u[-1].isspace()] if self.by_units else []
+        alone = [u for u in new if not u or u[0].isspace() or u[-1].isspace()] if self.by_units else new
+        lines = [plain[lo : lo + LINE] for lo in range(0, len(plain), LINE)]
+        for line in lines:
+            found = self.coded([line])[0]
+            if found is None:
+                alone += line
+            else:
+                known.update(zip(line, found, strict=True))
+        for u in alone:
+            known[u] = self.whole([u])[0]
 
 
 @lru_cache(maxsize=1)
@@ -138,52 +172,37 @@ class Chunk:
     """Documents as lists of group codes, and the different groups with their frequencies."""
 
     def __init__(self, aligner: Aligner):
+        if len(aligner.number) > GROUPS:
+            aligner.forget()
         self.aligner = aligner
-        self.number: dict[str, int] = {}  # of a unit
-        self.units: list[Unit | None] = []
-        self.of_unit: list[list[int]] = []  # the codes of its groups
-        self.code: dict[str, int] = {}  # of a group
-        self.times = np.zeros(0, np.int64)
-
-    def _groups(self, unit: Unit) -> list[int]:
-        code = self.code
-        return [code.setdefault(g, len(code)) for g in unit[3].split(";")] if unit[2] else []
-
-    def _learn(self, units: set[str]) -> None:
-        new = sorted(units - self.number.keys())
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            self.aligner.learn(part)
-            for u in part:
-                unit = self.aligner.known[u]
-                self.number[u] = len(self.units)
-                self.units.append(unit)
-                self.of_unit.append(self._groups(unit) if unit else [])
-
-    def add(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, str, bytes]]:
-        """n_a, n_b, n_groups, digest and codes of each text."""
-        split = [self.aligner.units(t) if t else [] for t in texts]
-        self._learn({u for own in split for u in own})
-        counted = []
+        self.docs: list[tuple[int, int, int, str]] = []
+        self.numbers: list[bytes] = []
+
+    def add(self, texts: list[str | None]) -> None:
+        aligner = self.aligner
+        split = [aligner.units(t) if t else [] for t in texts]
+        if len(aligner.known) > aligner.remembered:
+            aligner.learn(())
+        aligner.learn({u for own in split for u in own} - aligner.known.keys())
         for text, own in zip(texts, split, strict=True):
-            at = [self.number[u] for u in own]
-            found = [self.units[i] for i in at]
+            found = [aligner.known[u] for u in own]
             if None in found:  # not spelt by its units
-                whole = self.aligner.coded([text])[0] or _NOTHING
-                found, of = [whole], self._groups(whole)
-            else:
-                of = [c for i in at for c in self.of_unit[i]]
-            codes = np.array(of, "<i4")
-            counted.append(codes)
-            listed = ";".join([u[3] for u in found])
-            yield sum([u[0] for u in found]), sum([u[1] for u in found]), len(of), hashlib.sha256(listed.encode()).hexdigest() if of else "", codes.tobytes()
-        more = np.bincount(np.concatenate(counted), minlength=len(self.code)) if counted else np.zeros(0, np.int64)
-        more[: len(self.times)] += self.times
-        self.times = more
+                found = [aligner.whole([text])[0] or _NOTHING]
+            numbers = b"".join([u[2] for u in found])
+            digest = hashlib.sha256(";".join([u[3] for u in found]).encode()).hexdigest() if numbers else ""
+            self.docs.append((sum([u[0] for u in found]), sum([u[1] for u in found]), len(numbers) // 4, digest))
+            self.numbers.append(numbers)
+
+    def interned(self) -> tuple[list[bytes], list[str], np.ndarray]:
+        """(codes of each document, the chunk's groups by code, their frequencies)."""
+        groups, code, times = np.unique(np.frombuffer(b"".join(self.numbers), "<i4"), return_inverse=True, return_counts=True)
+        width = 2 if len(groups) <= 1 << 16 else 4
+        data, ends = code.astype(f"<u{width}").tobytes(), np.cumsum([0, *(len(n) // 4 * width for n in self.numbers)])
+        return [data[lo:hi] for lo, hi in zip(ends[:-1], ends[1:], strict=True)], [self.aligner.text[g] for g in groups], times
 
 
 def _chunks(a_file: str, b_file: str):
-    """A row for each document and, last, one for the groups of its chunk."""
+    """A row for each document and, after those of a chunk, one for its groups."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = shared_aligner(a_file, b_file)
@@ -195,11 +214,12 @@ def _chunks(a_file: str, b_file: str):
                 continue
             chunk = Chunk(aligner)
             for lo in range(0, batch.num_rows, 64):
-                doc_ids, texts = (batch.column(c).slice(lo, 64).to_pylist() for c in ("doc_id", "text"))
-                n = len(texts)
-                cols = [[chunk_id] * n, doc_ids, *map(list, zip(*chunk.add(texts), strict=True)), [None] * n, [None] * n]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
-            last = [[chunk_id], *[[None]] * 6, [list(chunk.code)], [chunk.times.tolist()]]
+                chunk.add(batch.column("text").slice(lo, 64).to_pylist())
+            codes, groups, times = chunk.interned()
+            n, nothing = batch.num_rows, [None]
+            cols = [[chunk_id] * n, batch.column("doc_id"), *map(list, zip(*chunk.docs, strict=True)), codes, nothing * n, nothing * n]
+            yield pa.record_batch([pa.array(c, t) if isinstance(c, list) else c for c, t in zip(cols, types, strict=True)], names=names)
+            last = [[chunk_id], *[nothing] * 6, [groups], [times.tolist()]]
             yield pa.record_batch([pa.array(c, t) for c, t in zip(last, types, strict=True)], names=names)
             chunk_id += 1
 
@@ -211,7 +231,8 @@ def _added_up(docs: pa.Table, found: pa.Table) -> pa.Table:
     code = found.column("code").to_numpy()
     count, best = np.zeros((2, int(code.max()) + 1 if len(code) else 0), np.int64)
     count[code], best[code] = found.column("count").to_numpy(), found.column("best").to_numpy()
-    codes = [np.frombuffer(c, "<i4") for c in docs.column("codes").to_pylist()]
+    width = 2 if len(code) <= 1 << 16 else 4
+    codes = [np.frombuffer(c, f"<u{width}") for c in docs.column("codes").to_pylist()]
     sums = [pa.array([len(c) for c in codes], pa.int64()), *(pa.array([int(v[c].sum()) for c in codes], pa.int64()) for v in (best, count))]
     own = [docs.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups")]
     return pa.table([*own, *sums, docs.column("groups_sha256")], names=[f.split()[0] for f in _RESULT.split(", ")])
