@@ -13,10 +13,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from hunkwise import cli
-from hunkwise.operators import budgets, context_rules, enrich, parse, profiles, render
+from hunkwise.functions import bitmap
+from hunkwise.functions.signals import none
+from hunkwise.operators import budgets, context_rules, enrich, owner_index, parse, profiles, render
 from hunkwise.plans import config
 from hunkwise.plans.review import Options, review
-from hunkwise.sources import connectors
+from hunkwise.sources import connectors, worktables
 from test_review import DIFF, frame
 
 
@@ -39,6 +41,12 @@ def test_owner_patterns_as_shells_match(spark):
         return fnmatch.fnmatchcase(path, body) or path.startswith(body + "/") or (body.endswith("/**") and path.startswith(body[:-3]))
 
     some = spark.createDataFrame([(p,) for p in dict.fromkeys(paths)], "p string")
+    # by the index, every pattern an entry: the last that fits
+    found = {r.path: r.owners for r in owner_index.path_owners(some.select(F.col("p").alias("path")), [(x, [x]) for x in patterns]).collect()}
+    assert found == {p: [x] for p in paths for x in [next((x for x in reversed(patterns) if owns(x, p)), None)] if x is not None}
+    # and every pattern alone has a key that its paths have, or none
+    index = owner_index.owner_index([(x, [x]) for x in patterns])
+    assert len(index.rest) < len(patterns) and {len(k) for kind, k, *_ in index.rows if kind == "start"} == set(index.starts)
     for lo in range(0, len(patterns), 60):
         part = patterns[lo : lo + 60]
         rows = some.select("p", *[(F.size(context_rules.owners_of(F.col("p"), [(x, ["@o"])])) > 0).alias(f"c{i}") for i, x in enumerate(part)]).collect()
@@ -46,6 +54,79 @@ def test_owner_patterns_as_shells_match(spark):
         assert not wrong
 
 
+def test_an_index_gives_what_each_pattern_gives(spark):
+    """Entries a hunk and entries an index, on the same hunks; no pattern is tried at hunks."""
+    entries = [(p, [f"@{i}"]) for i, p in enumerate(["*", "src/**", "docs/", "*.md", "*.test.py", "a?b.*", "**/x*.go", "q*", "lib/[a-c]*/z", "lib/a", "/lib/b/", "README", "src/*/deep.py", "we.ird*"] * 3)] + [("*.none", []), ("docs/own.md", ["@me", "@you"])]
+    paths = ["x.py", "src/a", "srcs/a", "docs/y/z.md", "docs/own.md", "t/u.test.py", "t/acb.txt", "p/xy.go", "quick", "p/quick", "lib/ab/z", "lib/a/k", "lib/b/c", "lib/b", "README", "d/README", "src/q/deep.py", "we.irdly/p", "r.none", "a/b/c.none", ".md", "trailing/"]
+    hunks = spark.createDataFrame([(1, i, 1, p) for i, p in enumerate(paths * 2)] + [(1, 999, 1, None)], "diff_id long, file_seq int, hunk_seq int, file_path string").withColumn("signals", none())
+    assert len(entries) > context_rules.OWNERS_IN_ROW
+    by_index = context_rules.with_owners(hunks, entries, "@ME")
+    one = hunks.select("*", F.explode(F.array(context_rules.owners_of(context_rules.slashed("file_path"), entries))).alias("_owners"))
+    tried = one.withColumn("signals", context_rules.owners("@ME"))
+    of = lambda df: {(r.file_seq, s.reason) for r in df.collect() for s in r.signals}
+    assert of(by_index) == of(tried) and by_index.count() == len(paths) * 2 + 1
+    plan = by_index._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate [path") > 0 and "CASE WHEN RLIKE(file_path" not in plan
+
+
+def test_thousands_of_entries_by_index(spark):
+    entries = [("*", ["@all"])] + [(f"dir{i}/", [f"@o{i}"]) for i in range(5000)] + [("*.md", [])]
+    rows = owner_index.path_owners(spark.createDataFrame([("dir7/x.py",), ("y.py",), ("dir9/a.md",), ("dir4999",)], "path string"), entries).collect()
+    assert {r.path: r.owners for r in rows} == {"dir7/x.py": ["@o7"], "y.py": ["@all"], "dir9/a.md": [], "dir4999": ["@o4999"]}
+
+
+def test_words_that_nobody_asks_for_are_not_shuffled(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    tree = spark.createDataFrame([(f"f{i}.py", " ".join(f"w{i}_{j}" for j in range(400)) + " load_user") for i in range(20)], "path string, text string")
+    own = spark.createDataFrame([(1, 1, 1, "f0.py", "load_user"), (1, 1, 1, "f0.py", "nowhere"), (1, 1, 2, "other.py", "load_user")], "diff_id long, file_seq int, hunk_seq int, path string, symbol string")
+    uses = context_rules.symbol_uses(own, tree)
+    assert {(r.hunk_seq, r.symbol, r.uses) for r in uses.collect()} == {(1, "load_user", 19), (2, "load_user", 20)}
+    words = context_rules._words_in(tree, own)
+    assert words.count() <= 25  # of 8,020 words
+    plan = words._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
+
+
+def test_bit_maps_keep_all_that_is_asked_for(spark):
+    keys = spark.range(5000).select(F.concat(F.lit("k"), F.col("id") * 3).alias("key")).unionByName(spark.createDataFrame([(None,)], "key string"))
+    rows = spark.range(15000).select(F.concat(F.lit("k"), F.col("id")).alias("key")).unionByName(spark.createDataFrame([(None,)], "key string"))
+    kept = bitmap.maybe_among(rows, "key", bitmap.bit_map(keys, "key"))
+    assert kept.join(keys, "key", "left_semi").count() == 5000 and kept.count() < 5100
+    few = bitmap.maybe_among(rows, "key", bitmap.bit_map(keys, "key", bits=8), bits=8)
+    assert few.join(keys, "key", "left_semi").count() == 5000  # a full map keeps all
+    assert bitmap.maybe_among(rows, "key", bitmap.bit_map(keys.where("false"), "key")).count() == 0
+
+
+def test_a_review_parses_its_diffs_once(spark, tmp_path):
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "a.patch").write_text(DIFF)
+    tree = spark.createDataFrame([("z.py", "helper " * 30)], "path string, text string")
+    read = lambda **o: review(connectors.read_diffs(spark, str(tmp_path / "d")), Options(**o))
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation ")
+    assert scans(read(no_tests=True, intent=F.lit("words of no kind"))) == 1
+    with worktables.scope():
+        full = read(no_tests=True, tree=tree, bodies=False)
+        rows = full.collect()
+        assert "body" not in full.columns and {s.rule for r in rows for s in r.signals} >= {"danger", "blast-radius", "no-tests"}
+        # the text of diffs is behind: what is left starts at the written rows
+        assert not any("a.patch" in f for f in full.inputFiles())
+    plain = read(no_tests=True, tree=tree)
+    assert {(r.id, r.raw, r["rank"]) for r in plain.collect()} == {(r.id, r.raw, r["rank"]) for r in rows} and "body" in plain.columns
+
+
+def test_roll_ups_are_one_aggregate(spark):
+    hunks = spark.createDataFrame([(1, 1, 2, 1), (1, 1, 3, 0), (1, 2, 1, 1), (2, 1, 0, 0), (None, 1, 4, 4)], "diff_id long, file_seq int, added int, removed int")
+    out = parse.file_rollup(hunks)
+    assert sorted(tuple(r) for r in out.where("diff_id is not null").collect()) == [(1, 0, 6, 2, 3), (1, 1, 5, 1, 2), (1, 2, 1, 1, 1), (2, 0, 0, 0, 1), (2, 1, 0, 0, 1)]
+    assert sorted(tuple(r)[1:] for r in out.where("diff_id is null").collect()) == [(0, 4, 4, 1), (1, 4, 4, 1)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+
+
+def test_words_of_paths_without_their_extension(spark):
+    hunks = spark.createDataFrame([("src/a.my_file_name", ""), ("src/report.TXT", ""), ("x.y/zed", ""), ("deep.er/name.tar.gz", "")], "file_path string, body string")
+    assert [r.k for r in hunks.select(context_rules.hunk_keywords().alias("k")).collect()] == [["src", "file", "name"], ["src", "report"], ["zed"], ["deep", "name", "tar"]]
+
+
 def test_last_entry_counts_and_thousands_are_taken(spark):
     entries = [("*", ["@all"])] + [(f"dir{i}/", [f"@o{i}"]) for i in range(1500)] + [("*.md", [])]
     rows = spark.createDataFrame([("dir7/x.py",), ("y.py",), ("dir9/a.md",)], "p string").select("p", context_rules.owners_of(F.col("p"), entries).alias("o")).collect()
