@@ -21,6 +21,7 @@ from hunkwise.operators import budgets, enrich, render, score
 from hunkwise.operators.context_rules import file_stats, parse_codeowners
 from hunkwise.operators.profiles import ProfileError, composed
 from hunkwise.plans.config import FILE_NAME, Config, ConfigError, load_config
+from hunkwise.plans.config import spark as session
 from hunkwise.plans.review import Options, review
 from hunkwise.sources import connectors
 
@@ -62,15 +63,6 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def local_session() -> SparkSession:
-    builder = SparkSession.builder.appName(PROGRAM).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-    if SparkSession.getActiveSession() is None:
-        builder = builder.config("spark.sql.shuffle.partitions", "4")
-    spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
-    return spark
-
-
 def options(args: argparse.Namespace, config: Config, spark: SparkSession, repo: str) -> Options:
     """The review that the flags ask for; a rule whose source is missing is left out."""
     tree = connectors.repo_tree(spark, repo) if args.blast_radius else None
@@ -123,7 +115,7 @@ def main(argv: Sequence[str] | None = None, stdin: TextIO | None = None, spark:
                 read(spec)
         text = None if args.diffs else stdin.read() if piped else connectors.git_diff(repo, args.staged, args.range_spec)
         backend = enrich.resolve_backend() if args.explain_llm and args.explain_llm_top > 0 and (args.diffs or "@@ -" in (text or "")) else None
-        spark = spark or local_session()
+        spark = spark or session()
         diffs = connectors.read_diffs(spark, args.diffs) if args.diffs else connectors.diffs_of(spark, [("stdin", text or "")])
         hunks = review(diffs, options(args, config, spark, repo))
         if backend is not None:
@@ -139,9 +131,13 @@ def main(argv: Sequence[str] | None = None, stdin: TextIO | None = None, spark:
     except (ConfigError, ProfileError, budgets.BudgetError, connectors.SourceError, enrich.EnrichmentError) as e:
         complain(e)
         return UNUSABLE
-    except Exception as e:
+    except BrokenPipeError:
+        return OK  # who reads has read enough
+    except Exception as e:  # noqa: BLE001 - exit code 1 is the gate's alone
+        words = (str(e).strip() or type(e).__name__).splitlines()
         if "EnrichmentError" in str(e):  # raised on an executor
             complain("the backend failed: " + str(e).split("EnrichmentError:")[-1].strip().splitlines()[0])
-            return UNUSABLE
-        raise
+        else:
+            complain(f"failed: {words[0]}")
+        return UNUSABLE
     return OK

@@ -66,13 +66,22 @@ def slashed(path: Column | str) -> Column:
     return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^(?:\./)+", "")
 
 
-def file_stats(commits: DataFrame) -> DataFrame:
-    """path, commits, fixes, busiest (commits of the busiest path) from commits (message, paths)."""
+def path_counts(commits: DataFrame) -> DataFrame:
+    """path, commits, fixes from commits (message, paths), which may be a stream."""
     touched = commits.select(found("message", FIX).alias("fix"), F.explode(F.array_distinct(F.transform("paths", slashed))).alias("path"))
-    stats = touched.groupBy("path").agg(F.count("*").alias("commits"), F.count_if("fix").alias("fixes"))
+    return touched.groupBy("path").agg(F.count("*").alias("commits"), F.count_if("fix").alias("fixes"))
+
+
+def busiest(stats: DataFrame) -> DataFrame:
+    """Add ``busiest``: the commits of the busiest path."""
     return stats.crossJoin(F.broadcast(stats.agg(F.max("commits").alias("busiest"))))  # one row
 
 
+def file_stats(commits: DataFrame) -> DataFrame:
+    """path, commits, fixes, busiest (commits of the busiest path) from commits (message, paths)."""
+    return busiest(path_counts(commits))
+
+
 def with_hotspots(hunks: DataFrame, stats: DataFrame) -> DataFrame:
     """Append the hotspot signal to ``signals``."""
     side = stats.select(F.col("path").alias("_path"), F.col("commits").alias("_c"), F.col("fixes").alias("_f"), F.col("busiest").alias("_b"))

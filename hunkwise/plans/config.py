@@ -14,12 +14,15 @@
 
 from __future__ import annotations
 
-import re
 import tomllib
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from pathlib import Path
 
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import SparkSession
+
+from hunkwise.functions.rx import rx
 from hunkwise.operators.profiles import ProfileError, checked
 
 FILE_NAME = ".hunkwise.toml"
@@ -42,6 +45,27 @@ def checked_weights(weights: object) -> dict[str, float]:
     return {name: float(w) for name, w in weights.items()}
 
 
+def pattern_fault(pattern: str) -> str | None:
+    """Why the JVM, which matches patterns, cannot read one; None if it can. Without a session, which comes after
+    the settings on the command line, one is started."""
+    try:
+        spark().sparkContext._jvm.java.util.regex.Pattern.compile(rx(pattern, ignore_case=True))
+    except IllegalArgumentException as e:
+        return str(e).splitlines()[0]
+    return None
+
+
+def spark() -> SparkSession:
+    """The session, or a small local one."""
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        return active
+    builder = SparkSession.builder.appName("hunkwise").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+    session = builder.config("spark.sql.shuffle.partitions", "4").getOrCreate()
+    session.sparkContext.setLogLevel("ERROR")
+    return session
+
+
 def checked_surfaces(surfaces: Sequence[tuple[object, object, object]]) -> tuple[tuple[str, int, str], ...]:
     """(pattern, points, reason) of more sensitive paths; patterns are matched whatever the case."""
     for i, (pattern, points, reason) in enumerate(surfaces, 1):
@@ -51,10 +75,8 @@ def checked_surfaces(surfaces: Sequence[tuple[object, object, object]]) -> tuple
             raise ConfigError(f"surface {i}: the points must be a whole number from 1 on, not {points!r}")
         if not isinstance(reason, str) or not reason:
             raise ConfigError(f"surface {i}: the reason must be text")
-        try:
-            re.compile(pattern)
-        except re.error as e:
-            raise ConfigError(f"surface {i}: not a pattern: {pattern!r}: {e}") from e
+        if words := pattern_fault(pattern):
+            raise ConfigError(f"surface {i}: not a pattern: {pattern!r}: {words}")
     return tuple((str(p), int(n), str(r)) for p, n, r in surfaces)
 
 

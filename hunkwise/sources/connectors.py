@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import re
 import subprocess
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,7 +52,7 @@ def diffs_of(spark: SparkSession, texts: Iterable[tuple[str, str]]) -> DataFrame
     return spark.createDataFrame(list(texts), "diff_id string, text string")
 
 
-def _file_path() -> Column:
+def file_path() -> Column:
     """The path of a row's file, as it is called in its file system."""
     return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
@@ -60,7 +60,7 @@ def _file_path() -> Column:
 def read_diffs(spark: SparkSession, path: str, diff_id: Callable[[Column], Column] = lambda path: path) -> DataFrame:
     """diff_id, text of every diff file below a path; ``diff_id`` names a diff by its file's path."""
     files = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    return files.select(diff_id(_file_path()).alias("diff_id"), F.col("value").alias("text"))
+    return files.select(diff_id(file_path()).alias("diff_id"), F.col("value").alias("text"))
 
 
 def _below(folder: str) -> Callable[[Column], Column]:
@@ -69,33 +69,44 @@ def _below(folder: str) -> Callable[[Column], Column]:
     return lambda p: F.regexp_replace(p, "^.*?" + "".join(f"\\x{{{ord(c):x}}}" for c in base), "")
 
 
-def _is_source(path: Column, extensions: Sequence[str], skipped: Sequence[str]) -> Column:
-    name = F.substring_index(path, "/", -1)
-    extension = F.lower(F.regexp_extract(name, r"^.+(\.[^.]*)$", 1))
-    ok = extension.isin(*extensions) if extensions else F.lit(True)
-    return ok & ~F.arrays_overlap(F.slice(F.split(path, "/"), 1, F.greatest(F.size(F.split(path, "/")) - 1, F.lit(1))), F.array(*map(F.lit, skipped))) if skipped else ok
+def _folders(spark: SparkSession, root: str, skipped: Sequence[str]) -> Iterator[list[tuple[str, bool]]]:
+    """The (path, whether it is a folder) entries of a tree, folder by folder and level by level, each in the order of
+    their names; skipped folders are named but never entered, nor are links."""
+    jvm = spark.sparkContext._jvm
+    files = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    level, leave = [jvm.org.apache.hadoop.fs.Path(root)], set(skipped)
+    while level:
+        below = []
+        for folder in level:
+            found = sorted(files.listStatus(folder), key=lambda f: f.getPath().getName())
+            yield [(f.getPath().toString(), f.isDirectory()) for f in found]
+            below += [f.getPath() for f in found if f.isDirectory() and not f.isSymlink() and f.getPath().getName() not in leave]
+        level = below
 
 
 def read_tree(spark: SparkSession, path: str, extensions: Sequence[str] = SOURCE_EXTENSIONS, skipped: Sequence[str] = SKIPPED_FOLDERS, most: int | None = None) -> DataFrame:
     """path (below ``path``), text of the source files below a path.
 
-    Folders that hold none are left out. ``most`` keeps the first files in the order of their paths: a
-    limit that belongs to the feature, for trees that no version control bounds.
+    The tree is listed breadth first, and folders that hold no sources are never entered. ``most`` keeps the first
+    files of that order (by level, then by path): a limit that belongs to the feature, for trees that no version
+    control bounds; the listing ends where it is reached.
     """
     below = _below(path.split("://")[-1])
-    wanted = _is_source(below(_file_path()), extensions, skipped)
-    files = spark.read.option("recursiveFileLookup", True)
-    if most is None:
-        return files.text(path, wholetext=True).where(wanted).select(below(_file_path()).alias("path"), F.col("value").alias("text"))
-    listed = files.format("binaryFile").load(path).where(wanted).select(_file_path().alias("path")).orderBy("path").limit(most)
-    return _read_files(spark, [r.path for r in listed.collect()], below)  # at most ``most`` paths
+    ends = tuple(extensions)
+    taken: list[str] = []
+    for entries in _folders(spark, path, skipped):
+        names = [p for p, is_folder in entries if not is_folder]
+        taken += [p for p in names if not ends or os.path.splitext(p.rsplit("/", 1)[-1])[1].lower() in ends]
+        if most is not None and len(taken) >= most:
+            break
+    return _read_files(spark, taken if most is None else taken[:most], below)
 
 
 def _read_files(spark: SparkSession, paths: list[str], named: Callable[[Column], Column]) -> DataFrame:
     """The files of that names, whatever signs are in them."""
     if not paths:
         return spark.createDataFrame([], "path string, text string")
-    return spark.read.text([re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths], wholetext=True).select(named(_file_path()).alias("path"), F.col("value").alias("text"))
+    return spark.read.text([re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths], wholetext=True).select(named(file_path()).alias("path"), F.col("value").alias("text"))
 
 
 def _git(repo: str, *args: str, run: Run = subprocess.run) -> str:
@@ -149,7 +160,15 @@ def parse_log(log: DataFrame) -> DataFrame:
     blank = F.rlike("c", F.lit(r"\n\s*\n"))
     message = F.when(blank, F.regexp_extract("c", r"(?s)\A(.*)\n\s*\n", 1)).otherwise(F.substring_index("c", "\n", 1))
     rest = F.when(blank, F.regexp_extract("c", r"(?s)\A.*\n\s*\n(.*)\z", 1)).otherwise(F.regexp_extract("c", r"(?s)\A[^\n]*\n(.*)\z", 1))
-    return one.select(F.regexp_replace(message, r"\A\s+|\s+\z", "").alias("message"), F.filter(F.transform(F.split(rest, "\n"), F.trim), lambda p: p != "").alias("paths"))
+    bare = lambda x: F.regexp_replace(x, r"\A\s+|\s+\z", "")
+    return one.select(bare(message).alias("message"), F.filter(F.transform(F.split(rest, "\n"), bare), lambda p: p != "").alias("paths"))
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """message, paths of every commit in the log files below a path. A line of such a file ends at ``COMMIT_MARK``, so
+    that a long log is split over many tasks."""
+    log = spark.read.option("recursiveFileLookup", True).option("lineSep", COMMIT_MARK).text(path)
+    return parse_log(log.select(F.col("value").alias("text")))
 
 
 def git_log(spark: SparkSession, repo: str = ".", run: Run = subprocess.run) -> DataFrame:
