@@ -2,7 +2,9 @@
 
 A piece of a document is a vector: its tokens, one segment, and the tokens that bear loss. A bin
 is a sequence with a limit for each. The piece placed next is the one that fits and has the
-largest dot product with the room that is left, both in shares of the limits. When nothing fits,
+largest dot product with the room that is left, both in shares of the limits. Pieces with equal
+vectors are a class, and a class is picked, its pieces in the order in which they came: a pool has few classes, for
+their lengths add up to its tokens. When nothing fits,
 the piece with the largest dot product is cut at the room for tokens (or for loss) and its rest
 goes back to the pool, so that a sequence closes full. What cannot be filled, at the end of a
 partition or when segments run out, is cut into sequences whose lengths are powers of two, which
@@ -25,7 +27,8 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections import deque
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,8 +41,8 @@ from pyspark.sql import functions as F
 REMEMBERED, REMEMBERED_LEAN = 300_000, 200_000
 #: New words that are coded in one call.
 LINE = 64
-#: Sequences' worth of tokens that a pool gathers before it is packed.
-POOL = 128
+#: Sequences' worth of tokens, or pieces, that a pool gathers before it is packed.
+POOL, POOL_PIECES = 128, 1 << 16
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 
@@ -146,9 +149,64 @@ def powers_of_two(n: int) -> list[int]:
     return [1 << i for i in range(n.bit_length() - 1, -1, -1) if n >> i & 1]
 
 
-def bearing(start, length, silent):
+def bearing(start: int, length: int, silent: int) -> int:
     """Tokens of a piece that bear loss: those from the document's token ``silent`` on."""
-    return np.maximum(0, start + length - np.maximum(start, silent))
+    return max(0, start + length - max(start, silent))
+
+
+#: A document, its first token, the tokens, and the document's tokens without loss.
+Piece = tuple[int, int, int, int]
+
+
+class Pool:
+    """Pieces that wait, by classes of equal vectors: tokens, one segment, tokens that bear loss."""
+
+    def __init__(self, pieces: Iterable[Piece]):
+        self.of: dict[tuple[int, int], int] = {}
+        self.need = np.zeros((64, 3))
+        self.count = np.zeros(64, np.int64)
+        self.waiting: list[deque[Piece]] = []
+        self.tokens = 0
+        for p in pieces:
+            self.add(p)
+
+    def add(self, piece: Piece, first: bool = False) -> None:
+        _, start, length, silent = piece
+        loss = bearing(start, length, silent)
+        at = self.of.get((length, loss))
+        if at is None:
+            if len(self.waiting) == len(self.need):
+                self._tidy()
+            at = self.of[length, loss] = len(self.waiting)
+            self.waiting.append(deque())
+            self.need[at] = length, 1, loss
+        (self.waiting[at].appendleft if first else self.waiting[at].append)(piece)
+        self.count[at] += 1
+        self.tokens += length
+
+    def _tidy(self) -> None:
+        """Leave empty classes behind; twice the room if most are in use."""
+        live = np.flatnonzero(self.count)
+        room = max(64, 2 * len(live))
+        need, count = np.zeros((room, 3)), np.zeros(room, np.int64)
+        need[: len(live)], count[: len(live)] = self.need[live], self.count[live]
+        self.waiting = [self.waiting[i] for i in live.tolist()]
+        self.of = {(int(n[0]), int(n[2])): i for i, n in enumerate(need[: len(live)].tolist())}
+        self.need, self.count = need, count
+
+    def vectors(self) -> tuple[np.ndarray, np.ndarray]:
+        """The classes' vectors, and which of them have pieces."""
+        n = len(self.waiting)
+        return self.need[:n], self.count[:n] > 0
+
+    def take(self, at: int) -> Piece:
+        piece = self.waiting[at].popleft()
+        self.count[at] -= 1
+        self.tokens -= piece[2]
+        return piece
+
+    def left(self) -> list[Piece]:
+        return sorted(p for own in self.waiting for p in own)
 
 
 class Packer:
@@ -173,44 +231,33 @@ class Packer:
                     pieces.append((doc, start + take, length - take))
             self.sequence += 1
 
-    def pack(self, pieces: list[tuple[int, int, int, int]], last: bool) -> tuple[list[tuple[int, int, int, int, int]], list[tuple[int, int, int, int]]]:
+    def pack(self, pieces: list[Piece], last: bool) -> tuple[list[tuple[int, int, int, int, int]], list[Piece]]:
         """(rows, pieces left over) of pieces (doc, start, length, the document's tokens without loss); with
         ``last`` nothing is left over."""
         rows: list[tuple[int, int, int, int, int]] = []
-        n = len(pieces)
-        if not n:
-            return rows, []
-        own = np.array(pieces, np.int64)
-        need = np.ones((n, 3))
-        need[:, 0] = own[:, 2]
-        need[:, 2] = bearing(own[:, 1], own[:, 2], own[:, 3])
-        live = np.ones(n, bool)
-        total = int(need[:, 0].sum())
-        while total and (last or total >= self.capacity):
+        pool = Pool(pieces)
+        per_limit = 1 / (self.limits * self.limits)
+        while pool.tokens and (last or pool.tokens >= self.capacity):
             room, chosen, used = self.limits.copy(), [], 0
-            while room[0] > 0 and room[1] > 0 and total:
-                share = need @ (room / (self.limits * self.limits))
+            while room[0] > 0 and room[1] > 0 and pool.tokens:
+                need, live = pool.vectors()
+                share = need @ (room * per_limit)
                 fits = live & (need <= room).all(axis=1)
                 if fits.any():
-                    i = int(np.where(fits, share, -1).argmax())
-                    live[i] = False
-                    took = own[i].tolist()
+                    took = pool.take(int(np.where(fits, share, -1).argmax()))
                 else:
-                    i = int(np.where(live, share, -1).argmax())
-                    doc, start, length, silent = own[i].tolist()
+                    doc, start, length, silent = pool.take(int(np.where(live, share, -1).argmax()))
                     cut = int(min(room[0], room[2] + max(0, silent - start), length))
+                    if cut < length:
+                        pool.add((doc, start + max(0, cut), length - max(0, cut), silent), first=True)
                     if cut <= 0:
                         break
-                    took = [doc, start, cut, silent]
-                    own[i] = doc, start + cut, length - cut, silent
-                    need[i] = length - cut, 1, bearing(start + cut, length - cut, silent)
-                    live[i] = length > cut
-                chosen.append(tuple(took[:3]))
+                    took = doc, start, cut, silent
+                chosen.append(took[:3])
                 used += took[2]
-                total -= took[2]
                 room -= (took[2], 1, bearing(*took[1:]))
             rows.extend(self._close(chosen, used))
-        return rows, [tuple(x) for x in own[live].tolist()]
+        return rows, pool.left()
 
 
 def pack(
@@ -233,14 +280,14 @@ def pack(
         end = np.array([end_id], "<u4").tobytes()
         packer = Packer(capacity, segments, loss, TaskContext.get().partitionId() << 36)
         ids: dict[int, tuple[int | None, bytes, int]] = {}
-        pool: list[tuple[int, int, int, int]] = []
+        pool: list[Piece] = []
         held, number = 0, 0
 
-        def out(rows: list[tuple[int, int, int, int, int]], left: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+        def out(rows: list[tuple[int, int, int, int, int]], left: list[Piece]) -> pa.RecordBatch:
             cols: list[list] = [[] for _ in range(8)]
             for doc, start, length, sequence, offset in rows:
                 doc_id, data, silent = ids[doc]
-                row = (doc_id, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), len(data) // 4, int(bearing(start, length, silent)), sequence, offset)
+                row = (doc_id, start, length, zlib.crc32(data[4 * start : 4 * (start + length)]), len(data) // 4, bearing(start, length, silent), sequence, offset)
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
             keep = {p[0] for p in left}
@@ -258,7 +305,7 @@ def pack(
                     n = (len(first) + len(data)) // 4 + 1
                     pool.append((number, 0, n, ids[number][2]))
                     held, number = held + n, number + 1
-                    if held >= POOL * capacity:
+                    if held >= POOL * capacity or len(pool) >= POOL_PIECES:
                         rows, pool = packer.pack(pool, last=False)
                         held = sum(p[2] for p in pool)
                         yield out(rows, pool)
