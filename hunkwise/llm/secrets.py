@@ -3,8 +3,11 @@
 Patterns propose candidates: private key blocks, values of telling names, known key formats and
 long runs without spaces. A random forest, trained from labelled findings, decides which are
 secrets, from the candidate's length and alphabet, the likelihood of its character transitions,
-how much of it dictionary words cover, words in its path and the words beside it. The dictionary, and
-with it the usual transitions, are the most frequent words of all texts.
+how much of it dictionary words cover, and the words beside it and in its path, each by the log odds
+that the labelled findings give it there. The dictionary, and with it the usual transitions, are the most
+frequent words of 4 to 16 letters of all texts: longer words are in no dictionary, but may hold ones that are.
+
+Time is linear in a text: its runs are read from their start and never again, whatever they hold.
 
 Labelled findings are rows (candidate, before, after, path, label); ``example_findings`` makes a
 bounded list of them, for want of a table. ``held_out`` measures a forest on findings that it has not
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator, Mapping, Sequence
 from typing import NamedTuple
 
@@ -35,20 +39,22 @@ MASK = "[SECRET]"
 CONTEXT = 48
 
 _NAMES = r"(?:secret|token|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
+_KEY_BEGINS, _KEY_ENDS = re.compile(r"-----BEGIN [A-Z ]*+(?<=PRIVATE KEY)-----"), re.compile(r"-----END [A-Z ]*+(?<=PRIVATE KEY)-----")
+#: Each pattern meets a sign of the text a bounded number of times: runs are taken from their start, and never given back.
 _PATTERNS = (
-    ("private_key", re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"), 0),
     ("format", re.compile(r"\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[0-9A-Za-z_-]{35}|sk_(?:live|test)_[0-9A-Za-z]{16,})"), 0),
-    ("named", re.compile(_NAMES + r"[\w-]*[\"']?\s*(?:=>|[:=])\s*[\"']?([^\s\"'<>,;]{6,})", re.IGNORECASE), 1),
-    ("long", re.compile(r"(?<![0-9A-Za-z+/_=-])(?=[a-zA-Z+/_-]*[0-9])[0-9A-Za-z+/_=-]{20,}"), 0),
+    ("named", re.compile(rf"(?<![\w-])(?=[\w-]*?{_NAMES})[\w-]++[\"']?+\s*+(?:=>|[:=])\s*+[\"']?+([^\s\"'<>,;]{{6,}})", re.IGNORECASE), 1),
+    ("long", re.compile(r"(?<![0-9A-Za-z+/_=-])(?=[a-zA-Z+/_-]*+[0-9])[0-9A-Za-z+/_=-]{20,}"), 0),
 )
 #: A text without any of these has no candidate; kept cheap because every text meets it. Case folds as in re, beyond ASCII.
 _MAYBE = r"(?iu)PRIVATE KEY-----|AKIA|gh[pousr]_|xox[abprs]-|AIza|sk_(live|test)_|[0-9A-Za-z+/_=-]{20}|" + _NAMES
 
 #: Words of the dictionary, and their lengths. A word's letters are a to z.
 DICTIONARY, SHORTEST, LONGEST = 4000, 4, 16
-_DOUBTFUL = ("example", "sample", "test", "dummy", "fake", "fixture", "doc", "mock", "demo", "readme")
-_TELLING = ("secret", "token", "password", "passwd", "pwd", "key", "credential", "auth", "bearer", "login")
-_HARMLESS = ("sha1", "sha256", "md5", "hash", "digest", "commit", "checksum", "etag", "uuid", "version", "integrity", "revision")
+#: Findings that must have a word near a candidate before it counts, and words before and after that are near.
+LEAST_FINDINGS, NEAR = 4, 3
+#: Folds of the labelled findings.
+FOLDS = 7
 
 
 class Candidate(NamedTuple):
@@ -57,9 +63,26 @@ class Candidate(NamedTuple):
     kind: str
 
 
+def _key_blocks(text: str) -> Iterator[tuple[int, int]]:
+    """From each beginning that is in no block to the next end."""
+    ends = [m.span() for m in _KEY_ENDS.finditer(text)]
+    at, free = 0, 0
+    for m in _KEY_BEGINS.finditer(text) if ends else ():
+        if m.start() < free:
+            continue
+        while at < len(ends) and ends[at][0] < m.end():
+            at += 1
+        if at == len(ends):
+            return
+        free = ends[at][1]
+        yield m.start(), free
+
+
 def candidates(text: str) -> list[Candidate]:
     """All that the patterns propose, by start, the longest first; they may overlap. A span that several propose is the first pattern's."""
-    found = sorted((m.start(g), -m.end(g), order, kind) for order, (kind, rx, g) in enumerate(_PATTERNS) for m in rx.finditer(text))
+    spans = [(start, -end, 0, "private_key") for start, end in _key_blocks(text)]
+    spans += [(m.start(g), -m.end(g), order, kind) for order, (kind, rx, g) in enumerate(_PATTERNS, 1) for m in rx.finditer(text)]
+    found = sorted(spans)
     return [Candidate(start, -end, kind) for i, (start, end, _, kind) in enumerate(found) if not i or found[i - 1][:2] != (start, end)]
 
 
@@ -97,16 +120,16 @@ def language(docs: DataFrame, most: int = DICTIONARY) -> Language:
     return Language({r.word: r.n for r in counts.orderBy(F.col("n").desc(), "word").limit(most).collect()})
 
 
-def describe(candidate: str, before: str, after: str, path: str, known: Language) -> list[float]:
-    """The forest's features."""
+def describe(candidate: str, before: str, after: str, known: Language) -> list[float]:
+    """The forest's features of a candidate and of the signs around it."""
     n = max(1, len(candidate))
     low = candidate.lower()
-    counts = [low.count(c) / n for c in set(low)]
+    counts = [k / n for k in Counter(low).values()]
     letters = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) - ord("a")
     letters[(letters < 0) | (letters > 25)] = 26
     steps = known.transitions[letters[:-1], letters[1:]]
-    beside, behind, where = before.lower(), after.lower(), path.lower()
-    kinds = np.array([(c.isdigit(), c.islower(), c.isupper(), not c.isalnum()) for c in candidate] or [(0, 0, 0, 0)], float)
+    signs, of_sign = np.unique(np.frombuffer(candidate.encode("utf-32-le", "surrogatepass"), np.uint32), return_inverse=True)
+    kinds = np.array([(c.isdigit(), c.islower(), c.isupper(), not c.isalnum()) for c in map(chr, signs.tolist())] or [(0, 0, 0, 0)], np.int8)[of_sign if len(signs) else [0]]
     changes = (kinds[1:] != kinds[:-1]).any(axis=1).mean() if len(kinds) > 1 else 0.0
     return [
         float(len(candidate)),
@@ -116,17 +139,45 @@ def describe(candidate: str, before: str, after: str, path: str, known: Language
         *kinds.mean(axis=0).tolist(),
         float(changes),
         float(bool(re.fullmatch("[0-9a-f]+", low))),
-        float(len(set(low)) / n),
-        float(any(w in where for w in _DOUBTFUL)),
-        float(any(w in beside for w in _TELLING)),
-        float(any(w in beside for w in _HARMLESS)),
-        float(any(w in beside or w in behind for w in _DOUBTFUL)),
+        len(counts) / n,
         float(before.rstrip()[-1:] in ("=", ":", '"', "'")),
         float(any(w in low for w in ("xxxx", "your", "changeme", "example", "placeholder", "<", "${", "****", "1234567"))),
         float(low.startswith("-----begin ")),
     ]
 
 
+Finding = tuple[str, str, str, str, int]
+
+
+class Neighbours:
+    """What words before, after and in the path of labelled findings say about a candidate: log odds of the label."""
+
+    def __init__(self, findings: Sequence[Finding]):
+        self.total = [0, 0]
+        self.seen: dict[tuple[int, str], list[int]] = {}
+        for _, before, after, path, label in findings:
+            self.total[label] += 1
+            for at in {(place, w) for place, words in enumerate(self._words(before, after, path)) for w in words}:
+                self.seen.setdefault(at, [0, 0])[label] += 1
+
+    @staticmethod
+    def _words(before: str, after: str, path: str) -> list[list[str]]:
+        """The words next to a candidate, the nearest first, and those of its path."""
+        of = lambda text: re.findall(r"[^\W_]{2,}", text.lower())
+        return [of(before)[::-1][:NEAR], of(after)[:NEAR], of(path)]
+
+    def _weight(self, place: int, word: str) -> float:
+        n = self.seen.get((place, word), (0, 0))
+        if sum(n) < LEAST_FINDINGS:
+            return 0.0
+        return math.log((n[1] + 0.5) / (self.total[1] + 1)) - math.log((n[0] + 0.5) / (self.total[0] + 1))
+
+    def features(self, before: str, after: str, path: str) -> list[float]:
+        """The nearest word before, and the sums before, after and of the path."""
+        weights = [[self._weight(place, w) for w in words] for place, words in enumerate(self._words(before, after, path))]
+        return [weights[0][0] if weights[0] else 0.0, *map(sum, weights)]
+
+
 def example_findings(n: int = 2400, seed: int = 11) -> list[tuple[str, str, str, str, int]]:
     """Labelled findings (candidate, before, after, path, label): keys in use, and what only looks like them."""
     rng = np.random.default_rng(seed)
@@ -217,22 +268,23 @@ class Forest:
 
 
 class Detector(NamedTuple):
-    """What judges candidates: a forest, and the language that it learned with."""
+    """What judges candidates: a forest, and the language and the neighbouring words that it learned with."""
 
     forest: Forest
     known: Language
+    beside: Neighbours
 
     def score(self, candidate: str, before: str, after: str, path: str) -> float:
-        return self.forest.score(describe(candidate, before, after, path, self.known))
-
-
-Finding = tuple[str, str, str, str, int]
+        return self.forest.score(describe(candidate, before, after, self.known) + self.beside.features(before, after, path))
 
 
 def train(known: Language, findings: Sequence[Finding] | None = None) -> Detector:
     """A detector from labelled findings, by default from made ones."""
     rows = example_findings() if findings is None else findings
-    return Detector(Forest(np.array([describe(*r[:4], known) for r in rows]), np.array([r[4] for r in rows], float)), known)
+    # what a finding's neighbours say comes from the findings of the other folds, for its own label is in its own
+    others = [Neighbours([r for i, r in enumerate(rows) if i % FOLDS != fold]) for fold in range(FOLDS)]
+    x = np.array([describe(c, b, a, known) + others[i % FOLDS].features(b, a, p) for i, (c, b, a, p, _) in enumerate(rows)])
+    return Detector(Forest(x, np.array([r[4] for r in rows], float)), known, Neighbours(rows))
 
 
 def held_out(known: Language, findings: Sequence[Finding]) -> tuple[float, float]:

@@ -221,7 +221,7 @@ def test_transitions_of_whole_candidates():
     known = Language({"the": 9, "exam": 4, "thex": 1})
 
     def mean(text):
-        return describe(text, "", "", "", known)[2]
+        return describe(text, "", "", known)[2]
 
     words, noise = "the" * 200, "xq" * 300
     # the join adds the pair "ex"
@@ -229,6 +229,54 @@ def test_transitions_of_whole_candidates():
     assert mean("a") == mean("") == 0.0 and mean("é1") == mean("a_") == -7.0
 
 
+def test_long_texts_are_scanned_in_linear_time():
+    """Runs that hold a name at every fourth sign, and blocks that begin and never end: five million signs each."""
+    import time
+
+    from hunkwise.llm import secrets
+
+    begins, ends = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+    began = time.time()
+    for text, n in (("auth" * 1_250_000, 0), (begins * 190_000, 0), ("token = " * 600_000, 0), ("auth" + " " * 5_000_000, 0), ("a1" * 2_500_000, 1), (begins * 90_000 + ends * 90_000, 1), ("-----BEGIN " + "A " * 2_500_000, 0)):
+        assert len(secrets.candidates(text)) == n
+    assert time.time() - began < 60  # hours, if any of them were quadratic
+    known = secrets.Language({"the": 1})
+    assert len(secrets.describe("".join(chr(0x4E00 + i % 20_000) for i in range(1_000_000)), "", "", known)) > 10
+
+
+def test_candidates_as_plain_patterns_propose_them():
+    import random
+
+    from hunkwise.llm import secrets
+
+    plain = (
+        ("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", 0),
+        ("named", "(?i)" + secrets._NAMES + r"[\w-]*[\"']?\s*(?:=>|[:=])\s*[\"']?([^\s\"'<>,;]{6,})", 1),
+    )
+    parts = ["secret", "token", "-----BEGIN ", "RSA ", "PRIVATE KEY", "-----", "-----END ", " ", "=", ":", "=>", '"', "'", "abc123", "x", "-", "_", "password", "api_key", "Auth", ",", "\n", "0123456789abcdef0123", "é", "\u017fecret", "  "]
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 25)))
+        found = secrets.candidates(text)
+        for kind, pattern, group in plain:
+            spans = [m.span(group) for m in re.finditer(pattern, text)]
+            assert {(c.start, c.end) for c in found if c.kind == kind} <= set(spans) <= {(c.start, c.end) for c in found}
+
+
+def test_neighbouring_words_are_learned():
+    """Equal candidates, told apart by words that no list of ours holds."""
+    from hunkwise.llm import secrets
+
+    rng = np.random.default_rng(0)
+    key = lambda: "".join(rng.choice(list("0123456789abcdef"), 32))
+    findings = [(key(), f"some {('pruefsumme', 'zugang')[y]} ist ", " dort", ("lib/a.txt", "etc/b.cfg")[int(rng.integers(2))], y) for y in [0, 1] * 150]
+    detector = secrets.train(secrets.Language({"some": 1}), findings)
+    assert all(detector.score(key(), "der zugang ", "", "") > 0.5 > detector.score(key(), "die pruefsumme ", "", "") for _ in range(20))
+    assert detector.beside.features("nie gesehen", "", "x/y") == [0.0] * 4
+    precision, recall = secrets.held_out(secrets.Language({"some": 1}), secrets.example_findings())
+    assert precision > 0.97 and recall > 0.97
+
+
 def test_halves_of_notices_are_licences(spark):
     from hunkwise.llm import licenses
 
