@@ -35,6 +35,24 @@ def test_shards_of_vectors_by_brute_force():
         assert got == [best(ids, vectors, v, i, 4) for v, i in zip(vectors[::5], ids[::5])]
 
 
+def test_postings_that_are_not_essential_are_not_traversed():
+    rng = np.random.default_rng(2)
+    # a few strong terms, as sparse learned vectors have, and weak ones
+    scale = np.array([300] * 4 + [3] * 28)
+    vectors = np.floor(rng.normal(size=(3000, 32)) * scale).astype(np.int64)
+    shard, queries = Shard(np.arange(3000), vectors), vectors[:200]
+    assert shard.best(queries, np.arange(200), 5) == [best(range(3000), vectors.tolist(), v.tolist(), i, 5) for i, v in enumerate(queries)]
+    everything = 200 * 32 * 3000
+    assert shard.touched < 0.5 * everything
+    # unit vectors of random directions: some are left out, none is read twice
+    vectors = rng.normal(size=(3000, 64))
+    vectors = np.floor(256 * vectors / np.linalg.norm(vectors, axis=1)[:, None]).astype(np.int64)
+    shard = Shard(np.arange(3000), vectors)
+    got = shard.best(vectors[:200], np.arange(200), 5)
+    assert got == [best(range(3000), vectors.tolist(), v, i, 5) for i, v in enumerate(vectors[:200].tolist())]
+    assert shard.touched < 0.99 * 200 * 64 * 3000
+
+
 def test_top_k_ties_and_edge_cases(spark):
     rng = np.random.default_rng(1)
     vectors = {i: rng.integers(-2, 3, 4).tolist() for i in range(120)}  # many ties
