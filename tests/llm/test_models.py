@@ -147,6 +147,27 @@ def test_licences_by_plain_loops(spark):
     assert licenses.scan(frame.where("false")).collect() == []
 
 
+def test_wrapped_licences_are_paragraphs(spark):
+    """Whole licences, wrapped at any width, in comments, without blank lines around: one finding for each paragraph."""
+    import textwrap
+
+    docs, want = [], set()
+    for i, (family, marks, width) in enumerate([("mit", "# ", 60), ("bsd", " * ", 72), ("isc", "// ", 50), ("gpl", "", 78), ("apache-2.0", "-- ", 66)]):
+        lines = ["the first words of the house and of the river", "code = other(code)"]
+        for t in licenses.TEMPLATES[family]:
+            if len(t.split()) < 20:
+                continue
+            want.add((i, len(lines), family))
+            wrapped = textwrap.wrap(t, width)
+            lines += [marks + x for x in wrapped] + ["", marks.strip() or "that was all of it"]
+        docs.append((i, "\n".join([*lines, "the last words of the town"])))
+    docs += [(50 + i, f"he came number {i} to the office of the town with a copy of the book, and in no event shall it be sold") for i in range(20)]
+    got = licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    # a paragraph may lose a last line of a word, never its beginning
+    assert {(r.doc_id, r.paragraph, r.family) for r in got} == want and max(r.lines for r in got) > 8
+    assert all(r.similarity > 0.85 for r in got)
+
+
 def test_secret_scan_equals_candidates(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
     known = secrets.language(docs)
