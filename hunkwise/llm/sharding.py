@@ -11,7 +11,8 @@ capacity for which it succeeds is searched, which makes the bins nearly equal in
 than the capacity stays whole in a bin of its own.
 
 Numbers and slots count within small sections, after the counts of the sections before, so that
-neither groups of one size nor rows of one shard are numbered in one task. The groups of more than a
+neither groups of one size nor rows of one shard are numbered in one task; rows are dealt to sections by a number of
+their own, for many may be alike. The groups of more than a
 small share of all bytes, of which there cannot be many, are broadcast to their rows.
 
 Edge cases: null text is empty, with size 1. Repeated rows each have a slot. A null doc_id is a
@@ -157,7 +158,7 @@ def shards(docs: DataFrame, n: int = 16, capacity: int | None = None, shelf: She
     spark: SparkSession = docs.sparkSession
     shelf = shelf or Shelf(spark)
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = shelf.put(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.unhex(F.md5(data)).alias("digest")))
+    rows = shelf.put(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.unhex(F.md5(data)).alias("digest"), F.monotonically_increasing_id().alias("row")))
     groups = shelf.put(rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")))
     table = shelf.put(groups.groupBy("bytes").agg(F.count("*").alias("count"), F.sum("rows").alias("rows")))
     found = table.toArrow()  # at most sqrt(2 x bytes) rows
@@ -176,7 +177,8 @@ def shards(docs: DataFrame, n: int = 16, capacity: int | None = None, shelf: She
     big = F.broadcast(placed.where(hot).select("digest", F.col("shard").alias("own")))  # at most 1 / SHARE rows
     rows = rows.join(big, "digest", "left")
     few = rows.where("own is null").join(placed.where(~hot).select("digest", "shard"), "digest")
-    columns = ["doc_id", "size", "text_crc32"]
+    columns = ["doc_id", "size", "text_crc32", "row"]
     out = rows.where("own is not null").select(*columns, F.col("own").alias("shard")).unionByName(few.select(*columns, "shard"))
     n_shards = max((p[3] for p in places), default=0) + 1
-    return numbered(out, "shard", ["doc_id", "text_crc32", "size"], max(SECTIONS, -(-n_rows // (n_shards * SECTION_ROWS))), "slot").select(*columns, "shard", "slot")
+    out = numbered(out, "shard", ["row"], max(SECTIONS, -(-n_rows // (n_shards * SECTION_ROWS))), "slot")
+    return out.select("doc_id", "size", "text_crc32", "shard", "slot")
