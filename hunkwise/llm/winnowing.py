@@ -29,6 +29,8 @@ from hunkwise.llm.textbits import U, Words, mix, runs
 GRAM = 4
 #: The benchmark's windows are broadcast up to so many, joined by shuffle beyond.
 BROADCAST_ROWS = 100_000
+#: The share of all quotes from which on a stretch is quoted very often.
+HOT_SHARE = 1 / 1024
 
 
 def kept(words: Words, span: int, k: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -145,7 +147,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, span: int = 10, shelf:
         F.size(F.array_distinct(F.flatten(F.collect_list(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1))))).cast("long").alias("hits"),
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
     )
-    per_doc = hit.join(judged, "stretch", "left").groupBy("row", "doc_id", "n_words").agg(
+    judged = shelf.put(judged)
+    if judged.count() <= BROADCAST_ROWS:
+        looked_up = hit.join(F.broadcast(judged), "stretch", "left")
+    else:
+        # stretches that very many documents quote are looked up where they are: at most 1 / HOT_SHARE of them
+        often = hit.groupBy("stretch").agg(F.count("*").alias("n")).where(F.col("n") > F.lit(max(1, int(HOT_SHARE * hit.count())))).select("stretch")
+        hot = F.broadcast(shelf.put(often.join(judged, "stretch", "left").withColumn("hot", F.lit(True)).withColumnsRenamed({"hits": "hot_hits", "items": "hot_items"})))
+        marked = hit.join(hot, "stretch", "left")
+        rest = marked.where("hot is null").select(*hit.columns).join(judged, "stretch", "left")
+        looked_up = rest.unionByName(marked.where("hot").select(*hit.columns, F.col("hot_hits").alias("hits"), F.col("hot_items").alias("items")))
+    per_doc = looked_up.groupBy("row", "doc_id", "n_words").agg(
         F.coalesce(F.sum("hits"), F.lit(0)).alias("n_hit"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
     )
     none = found.where(F.size("stretches") == 0).select("row", "doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<long>").alias("items"))
