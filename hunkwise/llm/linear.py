@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from hunkwise.llm.shelf import Shelf
 from hunkwise.llm.textbits import runs
 
+#: Bytes of a sample's features that reach the driver, and the part of them that one row may have at most.
+MOST_BYTES, LARGE = 256 << 20, 64
+
 #: features(bytes, offsets) -> (document, feature id, value), sorted by document
 Features = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
@@ -94,23 +97,40 @@ def _only(usable: Broadcast):
     return run
 
 
+def _within(described: DataFrame, most: int) -> DataFrame:
+    """The rows whose features are within the bytes that the driver takes."""
+    size = sum((F.coalesce(F.length(c), F.lit(0)) for c in described.columns if c in ("ids", "vals")), F.lit(0))
+    sizes = described.select("y", "draw", size.alias("size")).toArrow()  # a few numbers for each row of the sample
+    y, draw, size = (sizes.column(c).to_numpy() for c in ("y", "draw", "size"))
+    if size.sum() <= most:
+        return described
+    order = np.lexsort((draw, size > most // LARGE))
+    order = order[: np.searchsorted(np.cumsum(size[order]), most, side="right")]
+    order = order[size[order] <= most // LARGE]
+    kept = described.sparkSession.createDataFrame(pa.table({"y": y[order], "draw": draw[order]}))
+    return described.join(F.broadcast(kept), ["y", "draw"], "left_semi")
+
+
 def gather(docs: DataFrame, features: Features, dim_bits: int, shelf: Shelf | None = None, least_docs: int = 0, most_share: float = 1.0) -> Rows:
     """The features of every row of docs (y, draw, text): a sample whose bound the caller states.
 
+    At most ``MOST_BYTES`` of features reach the driver: where the sample has more, rows count in the order of ``draw``
+    until these are used up, and one of more than a ``LARGE`` part of them not at all.
+
     With ``least_docs`` only the presence of those features comes that so many rows, and at most
     ``most_share`` of them, have; they are counted before anything reaches the driver. Rows come in
     the order of ``draw``, so that the model is the same whatever task they came from.
     """
-    described = docs.select("y", "draw", "text").mapInArrow(_described(features, dim_bits), "y int, draw long, ids binary, vals binary")
+    shelf = shelf or Shelf(docs.sparkSession)
+    described = shelf.put(docs.select("y", "draw", "text").mapInArrow(_described(features, dim_bits), "y int, draw long, ids binary, vals binary"))
     if least_docs:
-        described = (shelf or Shelf(docs.sparkSession)).put(described)
         most = most_share * described.count()
         seen = described.select("ids").mapInArrow(_frequencies(dim_bits), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
         usable = np.zeros(1 << dim_bits, bool)
         usable[seen.where((F.col("n") >= least_docs) & (F.col("n") <= most)).select("id").toArrow().column("id").to_numpy()] = True  # 2**dim_bits ids at most
         shared = docs.sparkSession.sparkContext.broadcast(np.packbits(usable).tobytes())
         described = described.mapInArrow(_only(shared), "y int, draw long, ids binary")
-    rows = described.toArrow()
+    rows = _within(described, MOST_BYTES).toArrow()
     rows = rows.take(np.lexsort((rows.column("draw").to_numpy(), rows.column("y").to_numpy())))
 
     def flat(name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:

@@ -93,6 +93,17 @@ def test_gathered_features_by_count(spark):
     assert sample(docs.select("doc_id", F.lit(0).alias("y")), 2, 1).count() == 2
 
 
+def test_samples_within_bytes(spark):
+    from hunkwise.llm import linear
+
+    rows = [(i % 2, 100 - i, b"x" * 40, b"y" * 60) for i in range(90)] + [(1, -5, b"x" * 9000, b""), (0, 1000, None, b"y")]
+    frame = spark.createDataFrame(rows, "y int, draw long, ids binary, vals binary").repartition(3)
+    kept = lambda most: sorted(r.draw for r in linear._within(frame, most).collect())
+    assert kept(1 << 20) == sorted(r[1] for r in rows)
+    # in the order of the draw, without the row that is too large; 6,400 bytes are 64 rows
+    assert kept(6400) == list(range(11, 75)) and kept(0) == []
+
+
 def edge_docs(spark):
     rows = [(1, "good words " * 60, "a"), (2, None, None), (3, "", "b"), (4, "vile words " * 60, "c"), (None, "vile", "d"), (1, "good words " * 60, "e"), (6, "w" * 300_000, "f"), (7, "x y " * 60_000, "g")]
     return spark.createDataFrame(rows, "doc_id long, text string, score string").withColumns({c: F.lit(1) for c in ("y", "draw", "ids", "n", "held_out", "_toxic")})

@@ -236,6 +236,32 @@ def test_windows_of_edge_cases(spark):
     assert contamination(frame.where("false"), bench).count() == 0
 
 
+def test_windows_quoted_very_often(spark, monkeypatch):
+    """Nothing but the plan changes where windows and stretches are too many for a broadcast."""
+    from hunkwise.llm import winnowing
+
+    items = [" ".join(f"w{k}_{i}" for i in range(12)) for k in range(30)]
+    docs = [(i, f"a {items[0]} b {items[i % 30]} c") for i in range(600)] + [(1000, "plain words"), (1001, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    of = lambda: sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in contamination(frame, bench).collect())
+    want = of()
+    monkeypatch.setattr(winnowing, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(winnowing, "HOT_SHARE", 1 / 10)
+    assert of() == want and len(want) == 602 and want[0][2] == 48
+
+
+def test_equal_rows_are_numbered_in_many_sections(spark):
+    from hunkwise.llm.sharding import SECTIONS, numbered
+
+    rows = spark.createDataFrame([(None, "same")] * 4000, "doc_id long, text string")
+    got = shards(rows, 4).groupBy("shard").agg(F.sort_array(F.collect_list("slot")).alias("s")).collect()
+    assert len(got) == 1 and got[0].s == list(range(4000))
+    dealt = numbered(rows.withColumns({"row": F.monotonically_increasing_id(), "shard": F.lit(0)}), "shard", ["row"], SECTIONS, "slot")
+    sections = dealt.groupBy(F.pmod(F.xxhash64("row"), F.lit(SECTIONS))).count().agg(F.max("count")).first()[0]
+    assert sections < 4000 / SECTIONS * 3
+
+
 def test_url_verdicts_by_plain_threshold(spark):
     rng = np.random.default_rng(5)
     rows = []
