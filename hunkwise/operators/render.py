@@ -123,42 +123,85 @@ def _head_counts(of_files: str = "files") -> list[Column]:
     return [F.count("*").alias("n"), F.countDistinct("file_path").alias(of_files), F.max("score").alias("top")]
 
 
+def folded(text: Column, width: Column) -> Column:
+    """As ``wrapped``, and a longer word goes on in the next line."""
+    def cut(x: Column) -> Column:
+        n = F.floor((F.char_length(x) - 1) / width).cast("int")
+        return F.when(F.char_length(x) <= width, F.array(x)).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.substring(x, i * width + 1, width)))
+
+    return F.flatten(F.transform(wrapped(text, width), cut))
+
+
+def _painted(x: Column | str, code: Column | str) -> Column:
+    return F.concat(F.lit("\x1b["), F.lit(code) if isinstance(code, str) else code, F.lit("m"), F.lit(x) if isinstance(x, str) else x, F.lit("\x1b[0m"))
+
+
+def _with_cut(listed: Column, cut: Column, said: Column) -> Column:
+    """The rows with a line after those within the budget; none where all or none are within."""
+    at = cut.cast("int")
+    return F.when((at > 0) & (at < F.col("n")), F.concat(F.slice(listed, 1, at), F.array(said), F.slice(listed, at + 1, F.size(listed)))).otherwise(listed)
+
+
 def menu(hunks: DataFrame, budget: Budget | None = None, width: int = WIDTH, color: bool = False, diffs: DataFrame | None = None, name: str = NAME, model: TimeModel = TimeModel()) -> DataFrame:
     """diff_id, document: the ranked menu for a terminal, with a cut line where ``hunks`` are marked by ``within``.
 
-    ``color`` adds terminal colours and fuller bars; the words are the same.
+    With ``color`` it is a table with columns and terminal colours; the words are the same.
     """
     total_width = max(LEAST_WIDTH, width)
-    paint = (lambda x, code: F.concat(F.lit("\x1b["), code, F.lit("m"), x, F.lit("\x1b[0m"))) if color else (lambda x, code: x)
     n = F.count("*").over(Window.partitionBy("diff_id"))  # the rows of one diff, which is a row of the source
     index_width = F.greatest(F.lit(2), F.length(n.cast("string")))
     rows = hunks.withColumns({"_n": n, "_index": index_width})
-    gutter = F.col("_index") + (2 + 2 + 4 + 2 + 3 + 2 + BAR_CELLS + 2 + 2)
-    why_width = F.greatest(F.lit(LEAST_WHY), F.lit(total_width) - gutter)
-    rule = F.least(F.lit(MOST_RULE), gutter + why_width)
     reasons = F.when(F.size("signals") == 0, f"({QUIET})").otherwise(why())
-    cells = F.concat(paint(bar("█", "░"), _chosen(COLOURS)), F.lit("  ")) if color else _text("[", bar(), "]")
-    left = _text("  ", F.lpad(F.col("rank").cast("string"), F.col("_index"), F.lit(" ")), "  ", paint(_chosen(LABEL), _chosen(COLOURS)), "  ", F.lpad(F.col("score").cast("string"), 3, " "), "  ", cells, "  ")
-    lines = wrapped(_text(location(), "  ", reasons), why_width)
-    row = F.concat(left, F.array_join(F.transform(lines, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.repeat(F.lit(" "), gutter), x))), "\n"))
-    columns = [row.alias("row"), "diff_id", "rank", "file_path", "score", gutter.alias("gutter"), rule.alias("rule")]
-    aggregates = [*_head_counts(), F.first("gutter").alias("gutter"), F.first("rule").alias("rule"), F.collect_list(F.struct("rank", "row")).alias("rows")]
+    place = F.lpad(F.col("rank").cast("string"), F.col("_index"), F.lit(" "))
+    score = F.lpad(F.col("score").cast("string"), 3, " ")
+    if color:
+        gutter = F.col("_index") + (3 + 4 + 3 + 3 + 3 + BAR_CELLS + 3)
+        why_width = F.greatest(F.lit(LEAST_WHY), F.lit(total_width) - gutter)
+        rule = gutter + why_width
+        hue = _chosen(COLOURS)
+        full = F.regexp_replace(bar("█", "░"), "(░+)", "\x1b[2m$1")
+        cells = [place, _painted(_chosen(LABEL), hue), _painted(score, hue), _painted(full, hue)]
+        lines = folded(_text(location(), "  ", reasons), why_width)
+        blank = F.concat(F.repeat(F.lit(" "), F.col("_index")), *[F.lit(" │ " + " " * w) for w in (4, 3, BAR_CELLS)])
+        first = lambda x: F.when(F.startswith(x, location()), F.concat(_painted(location(), "1"), F.substring(x, F.char_length(location()) + 1, F.char_length(x)))).otherwise(x)
+        row = F.array_join(F.transform(lines, lambda x, i: F.concat_ws(" │ ", *[F.when(i == 0, c).otherwise(F.lit(None)) for c in cells], F.when(i > 0, blank), F.when(i == 0, first(x)).otherwise(x))), "\n")
+    else:
+        gutter = F.col("_index") + (2 + 2 + 4 + 2 + 3 + 2 + BAR_CELLS + 2 + 2)
+        why_width = F.greatest(F.lit(LEAST_WHY), F.lit(total_width) - gutter)
+        rule = F.least(F.lit(MOST_RULE), gutter + why_width)
+        left = _text("  ", place, "  ", _chosen(LABEL), "  ", score, "  ", _text("[", bar(), "]"), "  ")
+        lines = wrapped(_text(location(), "  ", reasons), why_width)
+        row = F.concat(left, F.array_join(F.transform(lines, lambda x, i: F.when(i == 0, x).otherwise(F.concat(F.repeat(F.lit(" "), gutter), x))), "\n"))
+    columns = [row.alias("row"), "diff_id", "rank", "file_path", "score", F.col("_index").alias("index"), rule.alias("rule")]
+    aggregates = [*_head_counts(), F.first("index").alias("index"), F.first("rule").alias("rule"), F.collect_list(F.struct("rank", "row")).alias("rows")]
     if budget is not None:
         columns += [F.when(F.col("reviewed"), 1).otherwise(0).alias("above"), F.when(F.col("reviewed"), model.seconds()).otherwise(0.0).alias("seconds")]
         aggregates += [F.sum("above").alias("cut"), F.sum("seconds").alias("spent")]
     per = rows.select(*columns).groupBy("diff_id").agg(*aggregates)
-    listed = _in_rank(F.col("rows"))
+    listed, index = _in_rank(F.col("rows")), F.col("index").cast("int")
     if budget is not None:
         spec = _text("budget ", F.col("cut"), " of ", F.col("n"), " hunks") if budget.hunks is not None else _text("budget ", duration(F.lit(float(budget.seconds or 0))), " · ≈", duration(F.col("spent")), " above")
-        said = _text("─ cut: review ", F.col("cut"), " above · skim ", F.col("n") - F.col("cut"), " below · ", spec, " ")
-        said = F.rpad(said, F.greatest(F.col("rule"), F.char_length(said)), F.lit("─"))
-        cut = F.col("cut").cast("int")
-        listed = F.when((cut > 0) & (cut < F.col("n")), F.concat(F.slice(listed, 1, cut), F.array(said), F.slice(listed, cut + 1, F.size(listed)))).otherwise(listed)
+        said = _text("review ", F.col("cut"), " above · skim ", F.col("n") - F.col("cut"), " below · ", spec)
+        if color:
+            said = F.concat_ws(" │ ", _painted(F.lpad(F.lit("──"), index, F.lit(" ")), "1;36"), _painted("CUT ", "1;36"), _painted("───", "36"), _painted("─" * BAR_CELLS, "36"), _painted(said, "36"))
+        else:
+            said = F.concat(F.lit("─ cut: "), said, F.lit(" "))
+            said = F.rpad(said, F.greatest(F.col("rule"), F.char_length(said)), F.lit("─"))
+        listed = _with_cut(listed, F.col("cut"), said)
     summary = _text(f"🍷 {name} — ", F.col("n"), " ", _plural(F.col("n"), "hunk"), " across ", F.col("files"), " ", _plural(F.col("files"), "file"), " · top risk ", F.col("top"))
-    index = F.col("gutter") - (2 + 2 + 4 + 2 + 3 + 2 + BAR_CELLS + 2 + 2)
-    table_head = _text("  ", F.lpad(F.lit("#"), index.cast("int"), F.lit(" ")), "  TIER  SCR  ", f"{'RISK':<{BAR_CELLS + 2}}", "  WHY")
-    legend = f"Tiers: GULP (read first, ≥{_LEAST['gulp']}) · SIP (read, ≥{_LEAST['sip']}) · SAVR (skim-safe, <{_LEAST['sip']}).  Listed most-risky-first."
-    parts = F.concat(F.array(summary, F.lit(""), table_head, F.repeat(F.lit("─"), F.col("rule"))), listed, F.array(F.lit(""), F.lit(legend)))
+    tiers = [F.lit(label.strip()) for label in LABEL.values()]
+    if color:
+        summary = _painted(summary, "3")
+        heads = [F.lpad(F.lit("#"), index, F.lit(" ")), F.lit("TIER"), F.lit("SCR"), F.lit(f"{'RISK':<{BAR_CELLS}}"), F.lit("WHY")]
+        table_head = F.concat_ws(" ┃ ", *[_painted(h, "1") for h in heads])
+        widths = [index, F.lit(4), F.lit(3), F.lit(BAR_CELLS), (F.col("rule") - index - (3 + 4 + 3 + 3 + 3 + BAR_CELLS + 3)).cast("int")]
+        line = F.concat_ws("━╇━", *[F.repeat(F.lit("━"), w) for w in widths])
+        tiers = [_painted(t, COLOURS[k]) for k, t in zip(LABEL, tiers, strict=True)]
+    else:
+        table_head = _text("  ", F.lpad(F.lit("#"), index, F.lit(" ")), "  TIER  SCR  ", f"{'RISK':<{BAR_CELLS + 2}}", "  WHY")
+        line = F.repeat(F.lit("─"), F.col("rule").cast("int"))
+    legend = _text("Tiers: ", tiers[0], f" (read first, ≥{_LEAST['gulp']}) · ", tiers[1], f" (read, ≥{_LEAST['sip']}) · ", tiers[2], f" (skim-safe, <{_LEAST['sip']}).  Listed most-risky-first.")
+    parts = F.concat(F.array(summary, table_head, line), listed, F.array(legend)) if color else F.concat(F.array(summary, F.lit(""), table_head, line), listed, F.array(F.lit(""), legend))
     return _completed(per.select("diff_id", F.array_join(parts, "\n").alias("document")), diffs, f"{name} — nothing to taste (0 hunks). Pipe a diff to get a menu.")
 
 

@@ -298,6 +298,24 @@ def test_documents_of_diffs_without_hunks(spark):
     assert "\x1b[1;31mGULP\x1b[0m" in coloured and "█" in coloured
 
 
+def test_colour_tables(spark):
+    """Columns, a cut row and folded lines; without colours the words are those of the plain menu's rows."""
+    long = DIFF.replace("src/auth/login.py", "src/auth/" + "deep" * 30 + "/login.py")
+    hunks = budgets.within(review(frame(spark, DIFF, long)), budgets.Budget(hunks=1))
+    out = {r.diff_id: r.document.split("\n") for r in render.menu(hunks, budgets.Budget(hunks=1), width=100, color=True).collect()}
+    plain = {d: [re.sub("\x1b\\[[0-9;]*m", "", line) for line in lines] for d, lines in out.items()}
+    assert plain[0][:3] == ["🍷 hunkwise — 2 hunks across 2 files · top risk 80", " # ┃ TIER ┃ SCR ┃ RISK                 ┃ WHY", "━━━╇━━━━━━╇━━━━━╇━━━━━━━━━━━━━━━━━━━━━━╇" + "━" * 60]
+    assert plain[0][3].startswith(" 1 │ GULP │  80 │ ████████████████░░░░ │ src/auth/login.py:1  adds dynamic eval/exec (+16); touches")
+    assert plain[0][-3:] == ["── │ CUT  │ ─── │ ──────────────────── │ review 1 above · skim 1 below · budget 1 of 2 hunks", " 2 │ SAVR │   0 │ ░░░░░░░░░░░░░░░░░░░░ │ README.md:1  (no notable signals — skim-safe)", "Tiers: GULP (read first, ≥60) · SIP (read, ≥25) · SAVR (skim-safe, <25).  Listed most-risky-first."]
+    assert all(len(line) <= 100 for line in plain[1][1:-1])
+    at = [line for line in plain[1][3:-3]]
+    assert all(line.startswith("   │      │     │                      │ ") for line in at[1:]) and "".join(line[41:] for line in at).startswith("src/auth/" + "deep" * 30 + "/login.py:1")
+    assert "\x1b[1;31mGULP\x1b[0m" in out[0][3] and "\x1b[1msrc/auth/login.py:1\x1b[0m" in out[0][3] and "\x1b[1;36mCUT \x1b[0m" in out[0][-3] and "\x1b[32mSAVR\x1b[0m" in out[0][-1]
+    words = lambda lines: " ".join(" ".join(lines).split())
+    text = render.menu(hunks, budgets.Budget(hunks=1), width=100).where("diff_id = 0").first().document
+    assert words(x.split("│")[-1] for x in plain[0][3:5]) == words([text.split("\n")[4][41:], *[x for x in text.split("\n")[5:6] if x.startswith("    ")]])
+
+
 def run(spark, capsys, *argv, diff=DIFF, repo="."):
     code = cli.main(["--no-config", *argv] if "--config" not in argv else list(argv), io.StringIO(diff), spark, str(repo))
     said = capsys.readouterr()
