@@ -12,6 +12,7 @@ from hunkwise.functions.bitmap import bit_map, maybe_among
 from hunkwise.functions.rx import found, rx
 from hunkwise.functions.signals import none, signal, total
 from hunkwise.operators.owner_index import Entries, first_of, path_owners
+from hunkwise.sources.worktables import WorkTables
 
 # Fixed values of the hotspot rule: words of fixes, shares and floors, and the bonus.
 FIX = r"\b(?:fix(?:e[sd])?|fixing|bug(?:s|fix|fixes)?|hotfix|revert(?:s|ed)?|regress(?:ion|ions|ed)?|patch(?:e[sd])?|broke|broken|breakage|defect|issue|repair(?:s|ed)?)\b"
@@ -243,20 +244,20 @@ _WORD = r"(?U)(\w+)"
 
 
 def _words_in(tree: DataFrame, asked: DataFrame) -> DataFrame:
-    """symbol, path, n: words of every file of a tree (path, text) that are surely, or by a rare chance, asked for."""
+    """symbol, path: words of every file of a tree (path, text) that are surely, or by a rare chance, asked for."""
     words = tree.select("path", F.explode(F.regexp_extract_all("text", F.lit(_WORD), 1)).alias("symbol"))
-    return maybe_among(words, "symbol", bit_map(asked, "symbol")).groupBy("symbol", "path").agg(F.count("*").alias("n"))
+    return maybe_among(words, "symbol", bit_map(asked, "symbol"))
 
 
 def _dollars_in(tree: DataFrame, asked: DataFrame) -> DataFrame:
     """symbol, path, n: uses at word boundaries of the symbols with a ``$``. Where such a symbol is, its first word is
     a whole word of a run of word signs and ``$``, by which symbols and runs meet."""
-    first = asked.where("dollar").select("symbol", F.regexp_extract("symbol", _WORD, 1).alias("word")).distinct()
+    first = asked.select("symbol", F.regexp_extract("symbol", _WORD, 1).alias("word")).distinct()
     runs = tree.where(F.contains("text", F.lit("$"))).select("path", F.explode(F.regexp_extract_all("text", F.lit(r"(?U)((?:\w*\$)+\w*)"), 1)).alias("run"))
     words = runs.select("path", "run", F.explode(F.array_distinct(F.regexp_extract_all("run", F.lit(_WORD), 1))).alias("word"))
-    words = maybe_among(words, "word", bit_map(first, "word")).groupBy("word", "run", "path").agg(F.count("*").alias("n"))
+    words = maybe_among(words, "word", bit_map(first, "word"))
     times = F.regexp_count("run", F.concat(F.lit(r"(?U)\b\Q"), "symbol", F.lit(r"\E\b")))
-    return words.join(first, "word").select("symbol", "path", (F.col("n") * times).alias("n")).where("n > 0")
+    return words.join(first, "word").select("symbol", "path", times.cast("long").alias("n")).where("n > 0")
 
 
 def hunk_symbols(hunks: DataFrame, named: Column | None = None) -> DataFrame:
@@ -264,27 +265,30 @@ def hunk_symbols(hunks: DataFrame, named: Column | None = None) -> DataFrame:
     return hunks.select("diff_id", "file_seq", "hunk_seq", slashed("file_path").alias("path"), F.explode(symbols() if named is None else named).alias("symbol"))
 
 
-def symbol_uses(own: DataFrame, tree: DataFrame) -> DataFrame:
+def symbol_uses(own: DataFrame, tree: DataFrame, tables: WorkTables | None = None) -> DataFrame:
     """diff_id, file_seq, hunk_seq, symbol, uses outside the hunk's own file, for symbols that the tree (path, text) holds.
 
-    ``own`` (``hunk_symbols``) is read several times: a written table where finding symbols is dear. A bit map of them
-    is broadcast to the tree, so that of its words only those that are asked for are counted and shuffled.
-    Distinct (symbol, path) pairs then meet the tree's sums for each symbol, less the own file's: no pair of
+    The distinct (symbol, path) pairs of ``own`` (``hunk_symbols``) are written. A bit map of their symbols is
+    broadcast to the tree, so that of its words only those that are asked for are counted and shuffled, summed up
+    where they are read. The pairs then meet the tree's sums for each symbol, less the own file's: no pair of
     hunk and file is made.
     """
-    asked = own.groupBy("symbol", "path").agg(F.max(F.contains("symbol", F.lit("$"))).alias("dollar"))
-    names = own.select("symbol", F.contains("symbol", F.lit("$")).alias("dollar"))
-    seen = _words_in(tree, names.where("not dollar")).unionByName(_dollars_in(tree, names)).withColumn("asked", F.lit(0))
-    seen = seen.unionByName(asked.select("symbol", "path", F.lit(0).cast("long").alias("n"), F.lit(1).alias("asked")))
+    tables = tables or WorkTables(own.sparkSession)
+    dollar = F.contains("symbol", F.lit("$"))
+    asked = tables.put(own.groupBy("symbol", "path").agg(F.lit(1).alias("asked")))
+    seen = _words_in(tree, asked.where(~dollar)).withColumn("n", F.lit(1).cast("long"))
+    if not asked.where(dollar).isEmpty():
+        seen = seen.unionByName(_dollars_in(tree, asked.where(dollar)))
+    seen = seen.withColumn("asked", F.lit(0)).unionByName(asked.withColumn("n", F.lit(0).cast("long")))
     at = seen.groupBy("symbol", "path").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
     everywhere = at.groupBy("symbol").agg(F.sum("n").alias("all"), F.max("asked").alias("any")).where("any = 1 and all > 0")
     uses = at.where("asked = 1").join(everywhere, "symbol").select("symbol", "path", (F.col("all") - F.col("n")).alias("uses"))
     return own.join(uses, ["symbol", "path"]).select("diff_id", "file_seq", "hunk_seq", "symbol", "uses")
 
 
-def with_blast_radius(hunks: DataFrame, own: DataFrame, tree: DataFrame) -> DataFrame:
-    """Append the signals of the hunks' symbols (``own``) that a tree (path, text) uses elsewhere."""
-    uses = symbol_uses(own, tree)
+def with_blast_radius(hunks: DataFrame, own: DataFrame, tree: DataFrame, tables: WorkTables | None = None) -> DataFrame:
+    """Append the signals of the hunks' symbols (``own``, read more than once) that a tree (path, text) uses elsewhere."""
+    uses = symbol_uses(own, tree, tables)
     points, label = F.lit(None).cast("int"), F.lit(None).cast("string")
     for least, p, text in reversed(BLAST):
         points, label = F.when(F.col("uses") >= least, p).otherwise(points), F.when(F.col("uses") >= least, text).otherwise(label)

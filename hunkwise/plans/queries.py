@@ -110,7 +110,7 @@ def blast_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = WorkTables(spark)
     hunks = tables.put(_hunks(spark, sf_dir).select(*KEY, "file_path", context_rules.symbols().alias("symbols"), none().alias("signals")))
     own = context_rules.hunk_symbols(hunks, F.col("symbols"))
-    return _long(context_rules.with_blast_radius(hunks, own, corpus.tree(spark, sf_dir)))
+    return _long(context_rules.with_blast_radius(hunks, own, corpus.tree(spark, sf_dir), tables))
 
 
 def owners_index(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -71,7 +71,7 @@ def review(diffs: DataFrame, options: Options = Options(), tables: WorkTables |
         tables = tables or WorkTables(diffs.sparkSession)
         rows = tables.put(rows.withColumn("_symbols", ctx.symbols()).drop(*dropped))
         own = ctx.hunk_symbols(rows.where("hunk_seq > 0"), F.col("_symbols"))
-        rows = _adding(rows, lambda h: ctx.with_blast_radius(h, own, o.tree), weight("blast-radius")).drop("_symbols")
+        rows = _adding(rows, lambda h: ctx.with_blast_radius(h, own, o.tree, tables), weight("blast-radius")).drop("_symbols")
     else:
         rows = rows.drop(*dropped)
     if o.file_stats is not None:

@@ -84,7 +84,7 @@ def test_words_that_nobody_asks_for_are_not_shuffled(spark, tmp_path):
     words = context_rules._words_in(tree, own)
     assert words.count() <= 25  # of 8,020 words
     plan = words._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan
+    assert "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == 1  # that of the map
 
 
 def test_bit_maps_keep_all_that_is_asked_for(spark):
