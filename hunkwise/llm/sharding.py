@@ -128,14 +128,21 @@ def even_bins(sizes: Sizes, bins: int) -> Places:
             break
     lo = -(-rest // left)
     hi = lo + max((size for size, _ in sizes if size <= lo), default=0)  # at which it must succeed
-    while lo < hi:
-        mid = (lo + hi) // 2
-        if best_fit_decreasing(sizes, mid, bins) is None:
-            lo = mid + 1
+    # the mean of what is left mostly does, or little more: steps that double, then halves of the last one
+    out, step = best_fit_decreasing(sizes, lo, bins), 1
+    while out is None:
+        out = best_fit_decreasing(sizes, min(lo + step, hi), bins)
+        if out is None:
+            lo, step = lo + step + 1, 2 * step
         else:
-            hi = mid
-    out = best_fit_decreasing(sizes, lo, bins)
-    assert out is not None
+            hi = min(lo + step, hi)
+            while lo < hi:
+                mid = (lo + hi) // 2
+                found = best_fit_decreasing(sizes, mid, bins)
+                if found is None:
+                    lo = mid + 1
+                else:
+                    hi, out = mid, found
     return out
 
 
