@@ -119,7 +119,7 @@ def _git(repo: str, *args: str, run: Run = subprocess.run) -> str:
     if out.returncode:
         said = ((out.stderr or "").strip().splitlines() or [""])[0]
         low = said.lower()
-        if "not a git repository" in low:
+        if "not a git repository" in low or "unknown option `cached'" in low:  # outside a repository git compares files
             raise SourceError("not a git repository; run inside one, or give a diff on standard input")
         if any(x in low for x in ("unknown revision", "bad revision", "ambiguous argument")):
             raise SourceError(f"git does not know that range or revision: {said}")
