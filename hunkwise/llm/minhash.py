@@ -8,7 +8,7 @@ candidate going as soon as the posterior probability of reaching the wanted simi
 No step emits all pairs of a group. First each class meets one leader per bucket. Then only
 buckets that still hold several components go on: small ones compare across components; in a
 large one the classes outside its largest component meet all its classes, block against block inside
-tasks, on the full sets, and only links that join components leave a block. Large buckets of the same
+tasks, pruned and confirmed alike, and only links that join components leave a block. Large buckets of the same
 classes count once. No step deals rows by bucket where a bucket may be large. Confirmations are done best estimate first, and pairs whose
 ends a confirmed link has joined meanwhile need none.
 
@@ -280,7 +280,8 @@ def near_duplicates(
     left = shelf.put(left.select("bucket"))
     if not left.isEmpty():
         near = shelf.put(large.join(_small(left), "bucket").join(nodes.select("node", "size"), "node"))
-        links.add(shelf.put(_blocks(shelf, near, sets_of(near.select("node").distinct()), per_100)))
+        full = nodes.select("node", "sig").join(sets_of(near.select("node").distinct()), "node")
+        links.add(shelf.put(_blocks(shelf, near, full, per_100, miss)))
 
     out = signed.join(classes, "digest", "left")
     if links.of is not None:
@@ -303,12 +304,59 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _blocks(shelf: Shelf, near: DataFrame, sets: DataFrame, per_100: int) -> DataFrame:
-    """Confirmed links that join the components of each bucket (bucket, node, size, comp).
+def block_links(p: pd.DataFrame, q: pd.DataFrame, per_100: int, miss: float) -> tuple[list[tuple[int, int]], int]:
+    """A spanning forest of the links between two blocks (node, comp, sig, shingles), and how many pairs met on full sets.
+
+    Signatures of different components are compared batch by batch, as candidates of small buckets are. The
+    survivors of a node meet it on the full sets, by an index over the block that is made for the first of them.
+    """
+    links: list[tuple[int, int]] = []
+    up: dict[int, int] = {}
+    met = 0
+
+    def top(c: int) -> int:
+        while up.get(c, c) != c:
+            c = up[c]
+        return c
+
+    if not (len(p) and len(q)):
+        return links, met
+    width = len(p["sig"].iloc[0]) // 2
+    sigs_p, sigs_q = _unpack(p["sig"], width), _unpack(q["sig"], width)
+    yc, yn = q["comp"].to_numpy(), q["node"].to_numpy()
+    flat = None
+    for sig, node, comp, data in zip(sigs_p, p["node"], p["comp"], p["shingles"], strict=True):
+        others = np.flatnonzero(yc != comp)
+        alive, _ = survives(np.broadcast_to(sig, (len(others), width)), sigs_q[others], per_100 / 100, miss)
+        alive = others[alive]
+        if not len(alive):
+            continue
+        if flat is None:
+            sets_q = [np.frombuffer(s, np.uint64) for s in q["shingles"]]
+            sizes, flat = np.array([len(s) for s in sets_q]), np.concatenate(sets_q)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], np.repeat(np.arange(len(sets_q)), sizes)[order]
+        met += len(alive)
+        mine = np.frombuffer(data, np.uint64)
+        lo, hi = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
+        n = hi - lo
+        at = np.arange(n.sum()) + np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+        both = np.bincount(owner[at], minlength=len(sizes))[alive]
+        linked = alive[100 * both >= per_100 * (len(mine) + sizes[alive] - both)]
+        for c, i in zip(*np.unique(yc[linked], return_index=True), strict=True):
+            x, y = top(int(comp)), top(int(c))
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                links.append((int(node), int(yn[linked[i]])))
+    return links, met
+
+
+def _blocks(shelf: Shelf, near: DataFrame, sets: DataFrame, per_100: int, miss: float) -> DataFrame:
+    """Confirmed links that join the components of each bucket (bucket, node, size, comp), by signatures and full sets (node, sig, shingles).
 
     Nodes outside the bucket's largest component meet all its nodes, block against block, in tasks
-    of bounded size that compare the full sets. A block gives a spanning forest of its links: at
-    most one row for each component in it, and no link is lost to the components.
+    of bounded size that compare signatures and then the full sets. A block gives a spanning forest of
+    its links: at most one row for each component in it, and no link is lost to the components.
     """
     parts = near.groupBy("bucket", "comp").agg(F.count("*").alias("m"), F.sum("size").alias("s"))
     parts = parts.groupBy("bucket").agg(F.max(F.struct("m", "comp", "s")).alias("top"), F.sum("m").alias("n"), F.sum("s").alias("s"))
@@ -319,35 +367,10 @@ def _blocks(shelf: Shelf, near: DataFrame, sets: DataFrame, per_100: int) -> Dat
     other = F.pmod(F.xxhash64("node", F.lit(1)), blocks("")).cast("int")
     left = sized.where("comp != main").withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), blocks("") - 1)))
     right = sized.where("n_odd > 0").withColumn("j", other).withColumn("i", F.explode(F.sequence(F.lit(0), blocks("_odd") - 1)))
-    keep = ["bucket", "i", "j", "node", "comp", "shingles"]
+    keep = ["bucket", "i", "j", "node", "comp", "sig", "shingles"]
 
     def run(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out, up = [], {}
-
-        def top(c: int) -> int:
-            while up.get(c, c) != c:
-                c = up[c]
-            return c
-
-        if len(p) and len(q):
-            sets_q = [np.frombuffer(s, np.uint64) for s in q["shingles"]]
-            sizes, yc, yn = np.array([len(s) for s in sets_q]), q["comp"].to_numpy(), q["node"].to_numpy()
-            flat = np.concatenate(sets_q)
-            order = np.argsort(flat, kind="stable")
-            flat, owner = flat[order], np.repeat(np.arange(len(sets_q)), sizes)[order]
-            for node, comp, data in zip(p["node"], p["comp"], p["shingles"], strict=True):
-                mine = np.frombuffer(data, np.uint64)
-                lo, hi = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
-                n = hi - lo
-                at = np.arange(n.sum()) + np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n)
-                both = np.bincount(owner[at], minlength=len(sets_q))
-                linked = np.flatnonzero((100 * both >= per_100 * (len(mine) + sizes - both)) & (yc != comp))
-                for c, i in zip(*np.unique(yc[linked], return_index=True), strict=True):
-                    x, y = top(int(comp)), top(int(c))
-                    if x != y:
-                        up[max(x, y)] = min(x, y)
-                        out.append((int(node), int(yn[linked[i]])))
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        return pd.DataFrame(block_links(p, q, per_100, miss)[0], columns=["a", "b"]).astype("int64")
 
     left, right = left.select(keep).toDF(*keep), right.select(keep).toDF(*keep)  # apart, although of one origin
     return left.groupBy("bucket", "i", "j").cogroup(right.groupBy("bucket", "i", "j")).applyInPandas(run, "a long, b long")

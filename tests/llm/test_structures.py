@@ -4,6 +4,7 @@ import collections
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from hunkwise.llm import queries as q
 from hunkwise.llm import urls
 from hunkwise.llm.keyed import only, without
 from hunkwise.llm.maxscore import Shard, quantised, top_k
-from hunkwise.llm.minhash import near_duplicates
+from hunkwise.llm.minhash import BANDS, MISS, ROWS, block_links, near_duplicates, signature
 from hunkwise.llm.packing import Packer, pack
 from hunkwise.llm.sharding import best_fit_decreasing, even_bins, shards
 from hunkwise.llm.shelf import Shelf, scope, shared_folder
@@ -225,6 +226,24 @@ def test_large_buckets_by_brute_force(spark):
     assert got == components(docs, 2) and len({c for _, c in got.values()}) > 20
 
 
+def test_blocks_prune_by_signatures_and_lose_no_link():
+    rng = np.random.default_rng(6)
+    common = rng.integers(0, 2**63, 70, dtype=np.uint64)  # enough to share a bucket, too little for a link
+    sets, comps = [], []
+    for family in range(60):
+        own = np.concatenate([common, rng.integers(0, 2**63, 130, dtype=np.uint64)])
+        for copy in range(2):
+            sets.append(np.unique(np.concatenate([own[copy * 8 :], rng.integers(0, 2**63, copy * 8, dtype=np.uint64)])))
+            comps.append(2 * family + copy)
+    block = pd.DataFrame({"node": comps, "comp": comps, "sig": [signature(s, BANDS * ROWS).tobytes() for s in sets], "shingles": [s.tobytes() for s in sets]})
+    links, met = block_links(block, block, 80, MISS)
+    assert sorted({(min(x), max(x)) for x in links}) == [(2 * f, 2 * f + 1) for f in range(60)]
+    assert met < 2 * len(links) + 200 < 120 * 119 / 10
+    # nodes of one component are not compared, and an empty side has no links
+    assert block_links(block.assign(comp=0), block.assign(comp=0), 80, MISS) == ([], 0)
+    assert block_links(block, block[:0], 80, MISS) == ([], 0) == block_links(block[:0], block, 80, MISS)
+
+
 def test_windows_of_edge_cases(spark):
     item = " ".join(f"w{i}" for i in range(10))
     docs = [(1, item), (1, item), (None, item), (2, ""), (3, "x " * 50_000 + item + " y" * 50_000)]
