@@ -153,6 +153,36 @@ per as (
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
   sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join per using (row) left join items using (row)
+""",
+    # prefixes of the rarest shingles find every candidate pair; full sets decide
+    "op10_minhash": """
+with recursive d as (
+  select row_number() over () as row, doc_id::bigint as doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \\t-\\r]+') as w
+  from documents
+), sets as (
+  select row, doc_id, case when len(w) < 2 then w else list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) end as s from d
+), classes as materialized (
+  select min(doc_id) as node, list_sort(s) as s from sets where len(s) > 0 and doc_id is not null group by list_sort(s)
+), words as materialized (select node, len(s) as n, unnest(s) as shingle from classes),
+ordered as (
+  select node, n, shingle, row_number() over (partition by node order by f, shingle) as pos
+  from words join (select shingle, count(*) as f from words group by shingle) using (shingle)
+), prefix as materialized (select node, n, shingle from ordered where pos <= n - (80 * n + 99) // 100 + 1),
+pairs as (
+  select distinct a.node as a, b.node as b, a.n as n_a, b.n as n_b
+  from prefix a join prefix b on a.shingle = b.shingle and a.node < b.node and 100 * a.n >= 80 * b.n and 100 * b.n >= 80 * a.n
+), links as materialized (
+  select p.a, p.b from pairs p join classes x on x.node = p.a join classes y on y.node = p.b
+  where 100 * len(list_intersect(x.s, y.s)) >= 80 * (n_a + n_b - len(list_intersect(x.s, y.s)))
+), reach as (
+  select node, node as other from classes
+  union
+  select r.node, case when l.a = r.other then l.b else l.a end from reach r join links l on r.other in (l.a, l.b)
+), component as (select node, min(other) as component_id from reach group by node)
+select sets.doc_id, len(sets.s)::bigint as n_shingles, coalesce(component_id, sets.doc_id) as component_id,
+  sets.doc_id is not distinct from coalesce(component_id, sets.doc_id) as kept
+from sets left join classes on list_sort(sets.s) = classes.s and sets.doc_id is not null left join component using (node)
 """,
     "op12_resampling": f"""
 with crc_table as (
