@@ -55,7 +55,7 @@ URL_RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example
 
 
 def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages"), URL_RULES)
+    return judge(table(spark, sf_dir, "pages"), URL_RULES).drop("score")
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,6 +119,21 @@ QUERIES: dict[str, Query] = {
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 
+#: Labelled URLs that a model of op5 counts: t without the held fold, f with it; 0 rejected, 1 accepted.
+_URL_MODELS = {"t0": "action = 'block' and not held", "t1": "action = 'allow' and not held", "f0": "action = 'block'", "f1": "action = 'allow'"}
+_URL_COUNTS = ", ".join(f"count(*) filter ({rows}) as {m}" for m, rows in _URL_MODELS.items())
+
+
+def _url_level(k: int) -> str:
+    """Probabilities of bytes after k others; a byte is two signs of a gram."""
+    sums, of = (", ".join(f(m) for m in _URL_MODELS) for f in (lambda m: f"sum({m}) as {m}", lambda m: f"{m}, sum({m}) over (partition by left(gram, {2 * k})) as of_{m}"))
+    mixed = ", ".join(f"({m} + 2.0::double * {f'p_{m}' if k else '(1 / 256.0::double)'}) / (of_{m} + 2.0::double) as p_{m}" for m in _URL_MODELS)
+    below = f"join (select gram as shorter, {', '.join(f'p_{m}' for m in _URL_MODELS)} from mixed{k - 1}) y on right(x.gram, {2 * k}) = shorter" if k else ""
+    return f"mixed{k} as materialized (select gram, {mixed} from (select gram, {of} from (select right(gram, {2 * k + 2}) as gram, {sums} from seen group by 1)) x {below})"
+
+
+_URL_LEVELS = ",\n".join(_url_level(k) for k in range(5))
+
 
 def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
@@ -135,6 +150,45 @@ with v as (
   from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
 ), r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 5
+""",
+    "op5_urls": f"""
+with crc_table as (
+  select list_transform(range(256), lambda c: list_reduce(range(8), lambda a, i: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, c)) as crcs
+), p as (
+  select row_number() over () as row, page_id, coalesce(url, '') as url, case when contains(url, '://') then substr(url, strpos(url, '://') + 3) end as rest from pages
+), parts as (
+  select row, page_id, url, hex(encode(url)) as h,
+    translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path
+  from p
+), rules(action, rule) as (values ('allow', 'org/'), ('block', 'example.org/es/'), ('block', 'example.org/en/1'), ('allow', 'com/fr/'), ('block', 'com/de/')),
+fits as (
+  select row, max_by(rule, length(rule)) as rule, max_by(action, length(rule)) as action
+  from parts join rules on (host = split_part(rule, '/', 1) or ends_with(host, '.' || split_part(rule, '/', 1)))
+    and starts_with(path, substr(rule, strpos(rule, '/')))
+  group by row
+), u as materialized (
+  select row, page_id, url, host, path, rule, action, h, xor(list_reduce(
+    list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::bigint),
+    lambda c, x: xor(crcs[(xor(c, x) & 255) + 1], c >> 8), 4294967295::bigint), 4294967295) % 5 = 0 as held
+  from parts left join fits using (row), crc_table
+), grams as materialized (
+  select row, action, held, substr('........' || h, 2 * i + 1, 10) as gram from u, unnest(range(length(h) // 2)) t(i)
+), seen as materialized (
+  select gram, {_URL_COUNTS} from grams group by gram
+), {_URL_LEVELS},
+ratio as (select gram, ln(p_t1 / p_t0) as trial, ln(p_f1 / p_f0) as ratio from mixed4),
+means as materialized (select row, avg(trial) as trial, avg(ratio) as score from grams join ratio using (gram) group by row),
+cells as (
+  select action, floor(greatest(-10, least(10, coalesce(trial, 0))) / 0.01::double)::int as cell, count(*) as n
+  from u left join means using (row) where held and action is not null group by all
+), curve as (
+  select k, sum(n) filter (cell < k and action = 'block') as b, sum(n) filter (cell < k and action = 'allow') as a from range(-1000, 1002) t(k), cells group by k
+), totals as (select sum(n) filter (action = 'block') as b, sum(n) filter (action = 'allow') as a from cells),
+gains as (select k, coalesce(curve.b, 0) / totals.b - coalesce(curve.a, 0) / totals.a as gain from curve, totals),
+best as (select coalesce((min(k) + max(k)) / 2 * 0.01::double, 0) as cut from gains where gain >= (select max(gain) from gains) - 1e-12)
+select page_id, host, path, rule, coalesce(action, case when coalesce(score, 0) >= cut then 'allow' else 'block' end) as verdict
+from u left join means using (row), best
 """,
     "op8_winnowing": f"""
 with d as (select row_number() over () as row, doc_id, {_WORDS} as w from documents),
