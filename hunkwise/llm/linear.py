@@ -111,6 +111,39 @@ def _within(described: DataFrame, most: int) -> DataFrame:
     return described.join(F.broadcast(kept), ["y", "draw"], "left_semi")
 
 
+def flattened(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows of bytes one after another, without a copy for each row, and where each row's begin."""
+    if not len(column):
+        return np.zeros(0, kind), np.zeros(1, np.int64)
+    one = column.cast(pa.large_binary()).combine_chunks()
+    _, at, data = one.buffers()
+    at = np.frombuffer(at, np.int64)[one.offset : one.offset + len(one) + 1]
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(data or b"", kind, (at[-1] - at[0]) // size, at[0]), (at - at[0]) // size
+
+
+def sums(values: np.ndarray, at: np.ndarray, first: np.ndarray, most: int = 1 << 17) -> np.ndarray:
+    """np.add.reduceat(values[at], first) of rising ``first``, for about ``most`` entries at a time."""
+    cuts = np.unique([*np.searchsorted(first, np.arange(0, len(at), most)), len(first)])
+    ends = np.append(first, len(at))
+    return np.concatenate([np.add.reduceat(values[at[first[lo] : ends[hi]]], first[lo:hi] - first[lo]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)])
+
+
+def by_number(ids: np.ndarray, first: np.ndarray, n: int, most: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of all entries, in the order of their numbers (0 to n - 1) and rows, and where each number's begin; ``most`` entries are sorted at a time."""
+    begin = np.concatenate([[0], np.cumsum(np.bincount(ids, minlength=n))[:-1]])
+    row_of, at = np.empty(len(ids), np.int32), begin.copy()
+    for lo in range(0, len(ids), most):
+        part = ids[lo : lo + most]
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        new = np.flatnonzero(np.diff(part, prepend=-1))
+        count = np.diff(new, append=len(part))
+        row_of[at[part] + np.arange(len(part)) - np.repeat(new, count)] = np.searchsorted(first, lo + order, side="right") - 1
+        at[part[new]] += count
+    return row_of, begin
+
+
 def gather(docs: DataFrame, features: Features, dim_bits: int, shelf: Shelf | None = None, least_docs: int = 0, most_share: float = 1.0) -> Rows:
     """The features of every row of docs (y, draw, text): a sample whose bound the caller states.
 
@@ -134,8 +167,7 @@ def gather(docs: DataFrame, features: Features, dim_bits: int, shelf: Shelf | No
     rows = rows.take(np.lexsort((rows.column("draw").to_numpy(), rows.column("y").to_numpy())))
 
     def flat(name: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
-        parts = [np.frombuffer(x, kind) for x in rows.column(name).to_pylist()]
-        return np.concatenate([np.zeros(0, kind), *parts]), np.cumsum([0, *map(len, parts)])
+        return flattened(rows.column(name), kind)
 
     ids, first = flat("ids", np.int32)
     return Rows(rows.column("y").to_numpy(), first, ids, None if least_docs else flat("vals", np.float32)[0])

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hunkwise.llm.linear import Rows, fold, gather, sample, score_column, texts_of
+from hunkwise.llm.linear import Rows, by_number, fold, gather, sample, score_column, sums, texts_of
 from hunkwise.llm.textbits import U, Words
 
 DIM_BITS = 18
@@ -70,10 +70,7 @@ def fit_nnpu(rows: Rows, prior: float, steps: int = 200, rate: float = 0.05, l1:
     place[used] = np.arange(len(used))
     ids = place[rows.ids]
     n = np.diff(rows.first)
-    by_feature = np.argsort(ids, kind="stable").astype(np.int32)
-    doc_of = np.repeat(np.arange(len(y), dtype=np.int32), n)[by_feature]
-    feature_at = np.searchsorted(ids[by_feature], np.arange(len(used)))
-    del by_feature
+    doc_of, feature_at = by_number(ids, rows.first, len(used))
     has, doc_at = np.flatnonzero(n), rows.first[:-1][n > 0]  # documents with a feature left
     w, b = np.zeros(len(used)), np.log(prior / (1 - prior)) if prior < 1 else 0.0
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
@@ -81,14 +78,14 @@ def fit_nnpu(rows: Rows, prior: float, steps: int = 200, rate: float = 0.05, l1:
     share = np.where(pos, prior / pos.sum(), 1 / unl.sum())
     for t in range(1, steps + 1):
         raw = np.full(len(y), b)
-        raw[has] += np.add.reduceat(w[ids], doc_at)
+        raw[has] += sums(w, ids, doc_at)
         p = 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
         # logistic losses: called positive log(1 + e^-raw), called negative log(1 + e^raw)
         negative = np.logaddexp(0, raw) * share
         slack = negative[unl].sum() - negative[pos].sum()
         back = np.where(unl, p * share, -p * share)  # gradient of R_u(-) - pi R_p(-)
         g = np.where(pos, (p - 1) * share, 0) + back if slack >= 0 else -back
-        gw, gb = np.add.reduceat(g[doc_of], feature_at), g.sum()
+        gw, gb = sums(g, doc_of, feature_at), g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         scale = rate / (1 - 0.9**t)

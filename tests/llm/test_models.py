@@ -4,6 +4,7 @@ import math
 import re
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from hunkwise.llm import licenses, quality, secrets, toxicity
@@ -228,3 +229,30 @@ def test_licence_classes_learn_from_all_texts(spark):
     for share in (0.001, 0.0305, 0.5):
         assert abs(licenses._upper(tops, share) - np.quantile(np.arange(1000) / 999, 1 - share)) < 1e-12
     assert licenses._upper(tops.where("false"), 0.001) == 0 and licenses._upper(tops.limit(1), 0.001) >= 0
+
+
+def test_learner_takes_little_memory_beside_its_rows():
+    """The driver's learner sorts and sums by blocks, with the same results."""
+    import tracemalloc
+
+    from hunkwise.llm import linear
+
+    rng = np.random.default_rng(1)
+    n = rng.integers(0, 900, 4000)
+    ids = np.concatenate([np.sort(rng.choice(1 << toxicity.DIM_BITS, k, replace=False)) for k in n]).astype(np.int32)
+    rows = linear.Rows((np.arange(4000) % 3 == 0).astype(np.int32), np.cumsum([0, *n]), ids, None)
+    tracemalloc.start()
+    toxicity.fit_nnpu(rows, 0.1, steps=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 22 * len(ids)  # 28 bytes an entry before
+    some, first = ids[:50_000] % 997, np.unique(np.concatenate([[0], rng.integers(0, 50_000, 300)]))
+    got = linear.by_number(some, np.append(first, 50_000), 997, most=1000)
+    order = np.argsort(some, kind="stable")
+    assert (got[0] == np.repeat(np.arange(len(first)), np.diff(first, append=50_000))[order]).all() and (got[1] == np.searchsorted(some[order], np.arange(997))).all()
+    values = rng.normal(size=997)
+    assert (linear.sums(values, some, first, most=1000) == np.add.reduceat(values[some], first)).all()
+    texts = [x.tobytes() for x in np.split(some.astype(np.int32), first[1:])]
+    flat, at = linear.flattened(pa.chunked_array([pa.array(texts[:7], pa.binary()), pa.array([b"", *texts[7:]], pa.binary())]), np.int32)
+    assert (flat == some).all() and at[-1] == len(some) and len(at) == len(texts) + 2
+    assert len(linear.flattened(pa.chunked_array([], pa.binary()), np.int32)[0]) == 0
